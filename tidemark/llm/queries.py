@@ -13,6 +13,7 @@ from tidemark.llm.p5_near_duplicates import duplicate_classes, expand_pairs, nea
 from tidemark.llm.p6_distinctive import term_weights
 from tidemark.llm.p7_encode import encoded, token_counts
 from tidemark.llm.p8_mixing import mixed_sources
+from tidemark.llm.p9_residue import residue
 from tidemark.sources.tables import table
 
 SCORES = ("okapi_tf", "bm25", "laplace", "jm")
@@ -84,8 +85,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p9_labels(spark: SparkSession, d: str) -> DataFrame:
+    return residue(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_labels(spark, d).select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_split, p4_found, p4_ranking, p5_found, p5_classes, p6_found, p6_weights, p7_ids, p8_mix, p8_shares)
+    f.__name__: f for f in (p1_found, p1_split, p4_found, p4_ranking, p5_found, p5_classes, p6_found, p6_weights, p7_ids, p8_mix, p8_shares, p9_found, p9_labels)
 }
 
 ORACLES: dict[str, str] = {}
