@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import sys
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +31,29 @@ def build_session(master: str = "local[*]", app: str = "tidemark", **conf: str)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is neither installed nor on PYTHONPATH.
+
+    Spark itself copies the archive from the driver to every executor.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    _shipped.add(application)
+    package = Path(__file__).resolve().parent
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *(p for p in sys.path if p.endswith("site-packages"))]
+    if str(package.parent) in known:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / "tidemark_code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in package.rglob("*.py"):
+            z.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
