@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.text import shingles, word_hashes, words
+from tidemark.llm.text import shingle_hashes, shingles, words
 from tidemark.session import materialize
 
 HAMMING = 3
@@ -166,12 +166,12 @@ def masked_words(text: str) -> list[str]:
 
 
 def simhash(tokens: list[str]) -> int:
-    """64 bits, each the majority among the words and word pairs, as a signed long."""
-    h = word_hashes(tokens)
-    with np.errstate(over="ignore"):
-        pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] + np.uint64(0x7F4A7C159E3779B9))
-        pairs = (pairs ^ (pairs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    bits = np.unpackbits(np.concatenate([h, pairs]).view(np.uint8).reshape(-1, 8), axis=1)
+    """64 bits, each the majority among the runs of two and three words (a single word alone), as a signed long.
+
+    Single words are left out: the frequent ones would make all texts of a language alike.
+    """
+    runs = np.concatenate([shingle_hashes(tokens, 2), shingle_hashes(tokens, 3)]) if len(tokens) > 1 else shingle_hashes(tokens, 1)
+    bits = np.unpackbits(runs.view(np.uint8).reshape(-1, 8), axis=1)
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).view(np.int64)[0])
 
 
