@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.text import shingle_hashes, shingles, words
+from tidemark.llm.text import mixed, shingles, word_hashes, words
 from tidemark.session import materialize
 
 HAMMING = 3
@@ -88,8 +88,9 @@ BESIDE = re.compile(
     r"""^(?:(?:please\s)?(?:try|come|check|go|return|visit|contact|reload|refresh|reset|turn|switch|update|use|type|click|press|see|ask|wait|clear|search|log|sign|then|and)\b | thank | thanks | need\shelp | our\s | some\scontent | it\s(?:may|might|could|was|is) | the\s(?:link|requested|server|upstream|page|address|site|request|system|administrator|file|resource|connection|service|url|limit) | (?:request|ref|reference|code|error|incident|ray|trace|event|support|session|ticket)\b.{0,20}[\w-]+ | \(?code\s | [a-z]+x?/\d | [a-z]+/\d[\d.]*\sat\s | \[?(?:back|home)\]? | if\s | you\s | your\s | we\s | /\S+ | bitte\s | die\s(?:adresse|seite) | veuillez | l.adresse | l.url | int[eé]ntelo | vuelva | la\s(?:direcci[oó]n|p[aá]gina) | por\sfavor | le\s(?:lien|serveur) | el\s(?:enlace|servidor) | der\s(?:link|server) | contactez | p[oó]ngase | \d+$)""",
     re.IGNORECASE | re.VERBOSE,
 )
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _MENU = re.compile(r"\s*[|·•»›]\s*")
-_MASK = re.compile(r"/\S+|\b\w*\d\w*\b")
+_PATH = re.compile(r"/\S+")
 
 
 def _menu_line(line: str) -> bool:
@@ -106,8 +107,14 @@ def _chunks(text: str) -> list[str]:
     return [c for c in out if any(x.isalnum() for x in c)]
 
 
+#: Every placeholder holds one of these.
+_SIGN = re.compile(r"[{%<@«\[]|\$[A-Z]|__[A-Z]|XX_|\*\||&lt;")
+
+
 def has_placeholder(text: str) -> bool:
     """A placeholder outside sentences that write about such marks."""
+    if not _SIGN.search(text):
+        return False
     for m in PLACEHOLDER.finditer(text):
         begin = max(text.rfind(x, 0, m.start()) for x in ("\n", ". ", "! ", "? ")) + 1
         ends = [e for x in ("\n", ". ", "! ", "? ") if (e := text.find(x, m.end())) >= 0]
@@ -116,18 +123,23 @@ def has_placeholder(text: str) -> bool:
     return False
 
 
-def is_filler(text: str) -> bool:
+def is_filler(text: str, tokens: list[str] | None = None) -> bool:
     """Pseudo-Latin, one or two words or one sentence over and over, key mashing, or a skeleton of labels."""
+    kinds = set(words(text) if tokens is None else tokens)
+    # Cheap signs first: real content has many words that are neither Latin filler nor repeated.
+    latin, keys = len(kinds & LATIN), len(kinds & KEYS)
+    if len(kinds) > 60 and latin < 0.2 * len(kinds) and keys < 0.2 * len(kinds):
+        return False
     lines = [x.strip().lower().strip(".:") for x in text.splitlines() if x.strip() and not _menu_line(x)]
-    tokens = [w for line in lines for w in re.findall(r"[^\W\d_]+", line)]
-    if not tokens:
+    found = [w for line in lines for w in re.findall(r"[^\W\d_]+", line)]
+    if not found:
         return False
-    n = len(tokens)
-    if n >= 5 and sum(w in LATIN for w in tokens) >= 0.6 * n and len({"sed", "do", "ut", "et", "in", "id", "est", "ad", "ex"} & set(tokens)) < len(set(tokens)):
+    n, kinds = len(found), set(found)
+    if n >= 5 and sum(w in LATIN for w in found) >= 0.6 * n and len(kinds & LATIN) > 2:
         return True
-    if n >= 4 and sum(w in KEYS for w in tokens) >= 0.7 * n:
+    if n >= 4 and sum(w in KEYS for w in found) >= 0.7 * n:
         return True
-    if n >= 8 and len(set(tokens)) <= max(2, n // 20):
+    if n >= 8 and len(kinds) <= max(2, n // 20):
         return True
     if len(lines) >= 3 and sum(x in SKELETON for x in lines) >= 0.8 * len(lines):
         return True
@@ -141,12 +153,16 @@ def is_filler(text: str) -> bool:
 
 def is_notice(text: str) -> bool:
     """An error page, dump or script notice with next to nothing beside it."""
+    if len(text) > 3000:
+        return False
     lines = [x for x in text.splitlines() if x.strip() and not _menu_line(x)]
-    if not lines or len(text) > 3000:
+    if not lines:
         return False
     dump = [bool(DUMP.match(x)) for x in lines]
     if dump[0] and (len(lines) == 1 or sum(dump) >= 0.5 * len(lines) or len(lines) <= 3):
         return sum(len(x.split()) for x, d in zip(lines, dump) if not d) <= 12
+    if sum(map(len, lines)) > 1200:  # beyond 60 words
+        return False
     total = beside = 0
     strong = False
     for i, chunk in enumerate(_chunks(text)):
@@ -162,7 +178,8 @@ def is_notice(text: str) -> bool:
 
 def masked_words(text: str) -> list[str]:
     """Words with paths and everything that holds digits as one mark."""
-    return words(_MASK.sub(" 0 ", text))
+    found = words(_PATH.sub(" 0 ", text) if "/" in text else text)
+    return [w if w.isalpha() else "0" for w in found]
 
 
 def simhash(tokens: list[str]) -> int:
@@ -170,9 +187,12 @@ def simhash(tokens: list[str]) -> int:
 
     Single words are left out: the frequent ones would make all texts of a language alike.
     """
-    runs = np.concatenate([shingle_hashes(tokens, 2), shingle_hashes(tokens, 3)]) if len(tokens) > 1 else shingle_hashes(tokens, 1)
+    h = word_hashes(tokens)
+    with np.errstate(over="ignore"):
+        two = mixed(h[:-1] * _ODD + h[1:]) if len(h) > 1 else mixed(h)
+        runs = np.concatenate([two, mixed(two[:-1] * _ODD + h[2:])]) if len(h) > 2 else two
     bits = np.unpackbits(runs.view(np.uint8).reshape(-1, 8), axis=1)
-    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).view(np.int64)[0])
+    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int32) > len(bits)).view(np.int64)[0])
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +204,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = masked_words(text)
             ids.append(i)
             placeholders.append(has_placeholder(text))
-            residues.append(is_filler(text) or is_notice(text))
+            residues.append(is_filler(text, tokens) or is_notice(text))
             keys.append(xxhash.xxh128_digest(" ".join(tokens)) if tokens else None)
             hashes.append(simhash(tokens) if tokens else None)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(hashes, pa.int64()), pa.array(placeholders, pa.bool_()), pa.array(residues, pa.bool_())], names=["id", "words", "simhash", "placeholder", "residue"])

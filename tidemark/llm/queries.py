@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.p1_splits import clean_id, grouped_splits, related_queries
 from tidemark.llm.p2_boilerplate import main_body
+from tidemark.llm.p3_mail_text import new_text
 from tidemark.llm.p4_borda import borda_points, borda_ranking, first_of_each
 from tidemark.llm.p5_near_duplicates import duplicate_classes, expand_pairs, near_duplicates
 from tidemark.llm.p6_distinctive import term_weights
@@ -34,6 +35,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return main_body(table(spark, d, "page_text_table"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return new_text(table(spark, d, "emails"))
+
+
 def _points(spark: SparkSession, d: str) -> DataFrame:
     return borda_points(table(spark, d, "training_features"), "query_id", clean_id("doc_id"), SCORES)
 
@@ -99,7 +104,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_split, p2_found, p4_found, p4_ranking, p5_found, p5_classes, p6_found, p6_weights, p7_ids, p8_mix, p8_shares, p9_found, p9_labels)
+    f.__name__: f for f in (p1_found, p1_split, p2_found, p3_found, p4_found, p4_ranking, p5_found, p5_classes, p6_found, p6_weights, p7_ids, p8_mix, p8_shares, p9_found, p9_labels)
 }
 
 ORACLES: dict[str, str] = {}
