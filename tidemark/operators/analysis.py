@@ -45,16 +45,16 @@ def folded_terms(text: Column | str) -> Column:
 def query_set(text: Column | str, stop: Iterable[str] = ()) -> Column:
     """Distinct pieces of a query between blanks, each cut at the first of , . ( ) and quotes; U.S. stays whole; case kept."""
     text = F.col(text) if isinstance(text, str) else text
-    pieces = F.transform(F.split(text, r"\s+"), lambda t: F.when(t.rlike(r"^([A-Z]\.)+$"), t).otherwise(F.element_at(F.filter(F.split(t, r'[,.()"]'), lambda p: (p != "") | F.lit(False)), 1)))
+    pieces = F.transform(F.split(text, r"\s+"), lambda t: F.when(t.rlike(r"^([A-Z]\.)+$"), t).otherwise(F.get(F.filter(F.split(t, r'[,.()"]'), lambda p: p != ""), 0)))
     out = F.array_distinct(F.filter(pieces, lambda t: t.isNotNull() & (t != "")))
     stop = list(stop)
     return F.array_except(out, F.array(*map(F.lit, stop))) if stop else out
 
 
 def word_pairs(text: Column | str) -> Column:
-    """Tokens of two or more word characters, lower-cased."""
+    """Runs of two or more letters, digits and underscores, lower-cased."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\b\w\w+\b"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
 def tokens(rows: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = INDEX_TOKEN) -> DataFrame:

@@ -35,7 +35,7 @@ def sinks(edges: DataFrame) -> DataFrame:
 
 def _pagerank_step(state: DataFrame, links: DataFrame, damping: float) -> DataFrame:
     """state: (id, out_degree, pr); the sink mass and N come from one aggregate of one row."""
-    given = links.join(state.select(F.col("id").alias("src"), (F.col("pr") / F.col("out_degree")).alias("share")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("x"))
+    given = links.join(state.select(F.col("id").alias("src"), (F.col("pr") / F.nullif("out_degree", F.lit(0))).alias("share")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("x"))
     whole = state.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("pr"))), F.lit(0.0)).alias("sink"))
     new = (1 - damping) / F.col("n") + damping * F.col("sink") / F.col("n") + damping * F.coalesce("x", F.lit(0.0))
     return state.join(given, "id", "left").crossJoin(F.broadcast(whole)).select("id", "out_degree", new.alias("pr"))  # one row

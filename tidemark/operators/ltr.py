@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.index import Index
+from tidemark.session import materialize
 from tidemark.operators.ranking import bm25, matches, okapi
 
 FEATURES = ("okapi_tf", "tf_idf", "bm25", "laplace", "jm", "title_unique_term", "text_unique_term", "text_term_appeared_in_query_len", "title_term_appeared_in_query_len", "doc_len")
@@ -90,7 +91,7 @@ def fit_rank_svm(train: DataFrame, features: Sequence[str] = SCORES, label: str
     diff = up.join(down, [group, "_b"]).select(*((F.col(f"a_{f}") - F.col(f"b_{f}")).alias(f) for f in features))
     signs = diff.withColumn("y", F.lit(1.0)).unionByName(diff.select(*((-F.col(f)).alias(f) for f in features)).withColumn("y", F.lit(0.0)))
     stages = [VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip"), LinearSVC(featuresCol="_x", labelCol="y", regParam=1.0 / c, maxIter=20, fitIntercept=False)]
-    return Pipeline(stages=stages).fit(signs)
+    return Pipeline(stages=stages).fit(materialize(signs))
 
 
 def scored_by_svm(model, rows: DataFrame, features: Sequence[str] = SCORES) -> DataFrame:

@@ -61,7 +61,7 @@ def parse_mime(files: DataFrame) -> DataFrame:
 def address(header: Column | str) -> Column:
     """The last non-blank piece between angle brackets, lower case; the whole where there are none."""
     x = F.col(header) if isinstance(header, str) else header
-    return F.lower(F.element_at(F.filter(F.transform(F.split(x, "[<>]"), lambda p: F.trim(p)), lambda p: p != ""), -1))
+    return F.lower(F.get(F.reverse(F.filter(F.transform(F.split(x, "[<>]"), lambda p: F.trim(p)), lambda p: p != "")), F.lit(0)))
 
 
 def domain(addr: Column) -> Column:
@@ -111,7 +111,7 @@ def dictionary_words(text: Column | str, words: DataFrame | Iterable[str]) -> Co
     """The blank-separated words that a dictionary (a list given by the caller) holds, case kept in the test, lower-cased."""
     x = F.col(text) if isinstance(text, str) else text
     known = F.array(*(F.lit(w) for w in words))
-    return F.lower(F.concat_ws(" ", F.filter(F.split(x, r"\s+"), lambda w: F.array_contains(known, w))))
+    return F.when(x.isNotNull(), F.lower(F.concat_ws(" ", F.filter(F.split(x, r"\s+"), lambda w: F.array_contains(known, w)))))
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, share: float = 0.2, buckets: int = 1024) -> DataFrame:

@@ -21,7 +21,7 @@ def html_text(html: Column | str) -> Column:
     # The entities decoded, the ampersand last.
     for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(entity), F.lit(plain))
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(x, r"\s+", " "), "^ | $", "")
 
 
 def page_title(html: Column | str) -> Column:

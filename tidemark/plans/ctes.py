@@ -32,10 +32,12 @@ def ranked(scores: str, depth: int = 1000, order: str = "doc_id") -> str:
 # A run from the feature table (documents by BM25) and the grades, both by clean document id.
 CLEAN = "nullif(upper(regexp_replace(doc_id, '\\s+', '', 'g')), '')"
 RUN = f"""
-best as (select query_id, {CLEAN} doc_id, max(bm25) score from training_features where bm25 is not null and not isnan(bm25) and not isinf(bm25) group by all having {CLEAN} is not null),
+clean_tf as (select query_id, {CLEAN} did, bm25 from training_features),
+best as (select query_id, did doc_id, max(bm25) score from clean_tf where did is not null and query_id is not null and bm25 is not null and not isnan(bm25) and not isinf(bm25) group by query_id, did),
 run as (select query_id, doc_id, rank, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from best) where rank <= 1000)"""
 GRADES = f"""
-grades as (select query_id, {CLEAN} doc_id, sum(coalesce(grade, 0)) grade, {CLEAN} pos from qrels group by all having {CLEAN} is not null),
+clean_q as (select query_id, {CLEAN} did, grade from qrels),
+grades as (select query_id, did doc_id, sum(coalesce(grade, 0)) grade, did pos from clean_q where did is not null and query_id is not null group by query_id, did),
 nrel as (select query_id, count(*) filter (grade >= 1) n_rel from grades group by all)"""
 JUDGED = RUN + "," + GRADES + """,
 j0 as (select run.*, n_rel, coalesce(grade, 0) grade, case when grade >= 1 then 1 else 0 end rel from run join nrel using (query_id) left join (select query_id, doc_id, grade from grades) g using (query_id, doc_id)),

@@ -72,7 +72,7 @@ _DCG = "sum(case when {r} = 1 then grade else grade / log2({r}) end)"
 
 ORACLES = {
     "eval_run": f"with {RUN} select query_id, doc_id, rank, round(score, 6) score from run",
-    "majority_qrels": f"with v as (select query_id, {CLEAN} doc_id, grade, count(*) n from qrels where grade is not null group by all having {CLEAN} is not null), r as (select *, row_number() over (partition by query_id, doc_id order by n desc, grade) k from v) select query_id, doc_id, case when n = 1 then 1.0::double else grade end grade from r where k = 1",
+    "majority_qrels": f"with c as (select query_id, {CLEAN} did, grade from qrels), v as (select query_id, did doc_id, grade, count(*) n from c where grade is not null and did is not null group by query_id, did, grade), r as (select *, row_number() over (partition by query_id, doc_id order by n desc, grade) k from v) select query_id, doc_id, case when n = 1 then 1.0::double else grade end grade from r where k = 1",
     "summed_qrels": f"with {GRADES} select query_id, doc_id, grade from grades",
     "eval_ap": f"with {JUDGED} select query_id, round(coalesce(sum(rel * precision) / nullif(max(n_rel), 0), 0), 6) ap from j group by all",
     "eval_ap_graded": f"with {RUN}, {GRADES}, t as (select query_id, sum(grade) n from grades group by all having sum(grade) > 0), g as (select run.*, n, coalesce(grade, 0) grade from run join t using (query_id) left join (select query_id, doc_id, grade from grades) using (query_id, doc_id)), c as (select *, sum(grade) over (partition by query_id order by rank rows unbounded preceding) - grade so_far from g) select query_id, round(sum(grade * (1 + so_far) / rank) / max(n), 6) ap from c group by all",

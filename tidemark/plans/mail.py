@@ -97,7 +97,7 @@ QUERIES = {
 }
 
 _MAILS = "m as (select distinct * from emails where email_id is not null)"
-_ADDR = "lower(list_extract(list_filter(list_transform(regexp_split_to_array({c}, '[<>]'), p -> trim(p)), p -> p <> ''), -1))"
+_ADDR = "lower(list_extract(list_filter(list_transform(regexp_split_to_array({c}, '[<>]'), lambda p: trim(p)), lambda p: p <> ''), -1))"
 _GREEK = "[\u0391-\u03a9\u03b1-\u03c9]"
 _CLEAN = "trim(regexp_replace(text, '[^a-zA-Z0-9\\\\$%'']+', ' ', 'g'))"
 
@@ -111,7 +111,7 @@ _MTOK = TOKENS.replace("documents", "documents_")
 
 ORACLES = {
     "clean_text": f"with {_MAILS} select email_id, {_CLEAN} as text from m",
-    "english_only": f"with {_MAILS} select email_id, lower(array_to_string(list_filter(regexp_split_to_array({_CLEAN}, '\\s+'), w -> w in ({', '.join(repr(w) for w in DICTIONARY)})), ' ')) as text from m",
+    "english_only": f"with {_MAILS} select email_id, lower(array_to_string(list_filter(regexp_split_to_array({_CLEAN}, '\\s+'), lambda w: w in ({', '.join(repr(w) for w in DICTIONARY)})), ' ')) as text from m",
     "header_flags": _flag_sql(f"regexp_matches(coalesce(subject, ''), '{_GREEK}') or regexp_matches(coalesce(subject, ''), '[$%!*#@^~]')"),
     "header_flags_compat": _flag_sql("length(coalesce(subject, '')) > 0"),
     "spam_phrase_features": f"with {_MAILS}, documents_ as (select email_id doc_id, text from m), {_MTOK}, ph as (select * from (values " + ", ".join(f"({i}, {k}, '{t}', {len(p.split())})" for i, p in enumerate(PHRASES) for k, t in enumerate(p.split())) + ") t(phrase_id, k, term, len)), b as (select phrase_id, doc_id, pos - k begin_, len, count(*) met from tokens join ph using (term) group by all) select doc_id email_id, phrase_id, count(*) freq from b where met = len group by all",

@@ -110,8 +110,8 @@ _MARK = "|".join(MARKED)
 _LAPLACE = "select query_id, doc_id, {s} s from qn cross join docs cross join stats left join (select query_id, doc_id, sum(qtf * {log}(tf + 1)) g from met group by all) using (query_id, doc_id)"
 
 _SPANS = """occ as (select query_id, doc_id, term, pos from q join tokens using (term)), two as (select query_id, doc_id, count(distinct term) n_met from occ group by all having count(distinct term) >= 2),
-w as (select a.query_id, a.doc_id, a.pos, b.term, min(b.pos) p from occ a join occ b on a.query_id = b.query_id and a.doc_id = b.doc_id and b.pos >= a.pos group by all),
-sp as (select query_id, doc_id, n_met, min(span) span from (select query_id, doc_id, pos, max(p) - pos span, count(*) c from w group by all) join two using (query_id, doc_id) where c = n_met group by all)"""
+w as (select a.query_id, a.doc_id, a.pos, b.term, min(b.pos) p from occ a join occ b on a.query_id = b.query_id and a.doc_id = b.doc_id and b.pos >= a.pos group by a.query_id, a.doc_id, a.pos, b.term),
+sp as (select query_id, doc_id, n_met, min(wide) span from (select query_id, doc_id, pos, max(p) - pos wide, count(*) c from w group by query_id, doc_id, pos) join two using (query_id, doc_id) where c = n_met group by query_id, doc_id, n_met)"""
 
 QUERIES = {
     "okapi_tf": _run(rk.okapi_tf),

@@ -81,7 +81,7 @@ u1 as (select url, lower(regexp_extract(x, '^([^:]*)://', 1)) sc, lower(regexp_e
 u2 as (select url, sc, case when sc = 'http' then regexp_replace(h, ':80$', '') when sc = 'https' then regexp_replace(h, ':443$', '') else h end h, regexp_replace(regexp_replace(case when regexp_matches(p, '%[0-9A-Fa-f]{2}') then url_decode(p) else p end, '/(\\.{0,2}/)+', '/', 'g'), '/index\\.html?$', '/', 'i') p from u1)"""
 
 ORACLES = {
-    "html_text": f"with {HTML} select page_id, trim(regexp_replace({_TEXT}, '\\s+', ' ', 'g')) as text from html",
+    "html_text": f"with {HTML} select page_id, regexp_replace(regexp_replace({_TEXT}, '\\s+', ' ', 'g'), '^ | $', '', 'g') as text from html",
     "page_title": f"with {HTML} select page_id, case when html is null or trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) = '' then 'N/A' else trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) end title from html",
     "page_links": f"with {HTML}, l as (select page_id, regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1, 'i') l from html) select page_id, generate_subscripts(l, 1)::int pos, unnest(l) href from l",
     "wanted_links": f"with {HTML}, l as (select page_id, regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1, 'i') l from html), x as (select page_id, generate_subscripts(l, 1)::int pos, unnest(l) href from l) select * from x where trim(href) <> '' and not regexp_matches(lower(href), '^(javascript|mailto|ftp|tel|data):') and lower(regexp_extract(regexp_replace(href, '[?#].*$', ''), '(\\.[A-Za-z0-9]+)$', 1)) <> '.html'",
