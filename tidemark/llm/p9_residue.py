@@ -139,7 +139,7 @@ def is_filler(text: str, tokens: list[str] | None = None) -> bool:
         return True
     if n >= 4 and sum(w in KEYS for w in found) >= 0.7 * n:
         return True
-    if n >= 8 and len(kinds) <= max(2, n // 20):
+    if n >= 8 and len(kinds) <= max(2, n // 60):
         return True
     if len(lines) >= 3 and sum(x in SKELETON for x in lines) >= 0.8 * len(lines):
         return True
