@@ -10,6 +10,7 @@ from tidemark.operators import index as ix
 from tidemark.operators import proximity as px
 from tidemark.operators import ranking as rk
 from tidemark.plans.ctes import BM25, INDEX, OKAPI, SEARCH, TOKENS, ranked
+from tidemark.session import spread
 from tidemark.sources.tables import table
 
 # Parameters of the registered queries: categories, phrases and words that the collections hold.
@@ -21,7 +22,7 @@ MARKED = ["harbour", "crew", "vessel"]
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def built(spark: SparkSession, d: str, positions: bool = False) -> ix.Index:

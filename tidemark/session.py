@@ -79,6 +79,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than the session has cores, dealt out to all of them.
+
+    For tables of few row groups whose rows are costly to work on; larger scans stay as they are,
+    without a shuffle. ``scan`` must be a plain read with projections and filters.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() * 2 <= cores else scan
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`materialize` that nothing will read again."""
     spark = df.sparkSession
