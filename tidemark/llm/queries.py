@@ -16,6 +16,7 @@ from tidemark.llm.p6_distinctive import term_weights
 from tidemark.llm.p7_encode import encoded, token_counts
 from tidemark.llm.p8_mixing import mixed_sources
 from tidemark.llm.p9_residue import residue
+from tidemark.session import spread
 from tidemark.sources.tables import table
 
 SCORES = ("okapi_tf", "bm25", "laplace", "jm")
@@ -32,11 +33,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return main_body(table(spark, d, "page_text_table"))
+    return main_body(spread(table(spark, d, "page_text_table").select("page_id", "url", "title", "text")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return new_text(table(spark, d, "emails"))
+    return new_text(spread(table(spark, d, "emails").select("email_id", "subject", "text", "from_addr", "received_at")))
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
@@ -54,12 +55,12 @@ def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = expand_pairs(*near_duplicates(table(spark, d, "page_text_table"), "page_id", "text"))
+    pairs = expand_pairs(*near_duplicates(spread(table(spark, d, "page_text_table").select("page_id", "text")), "page_id", "text"))
     return pairs.select(F.col("a").alias("page_id_a"), F.col("b").alias("page_id_b"))
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
-    return duplicate_classes(*near_duplicates(table(spark, d, "page_text_table"), "page_id", "text"))
+    return duplicate_classes(*near_duplicates(spread(table(spark, d, "page_text_table").select("page_id", "text")), "page_id", "text"))
 
 
 def _weights(spark: SparkSession, d: str, min_tf: int) -> DataFrame:
@@ -77,11 +78,11 @@ def p6_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encoded(table(spark, d, "documents"))
+    return encoded(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    sized = token_counts(table(spark, d, "documents"), keep=("source",))
+    sized = token_counts(spread(table(spark, d, "documents").select("doc_id", "source", "text")), keep=("source",))
     return mixed_sources(sized, table(spark, d, "mix_targets"))
 
 
@@ -96,7 +97,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_labels(spark: SparkSession, d: str) -> DataFrame:
-    return residue(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+    return residue(spread(table(spark, d, "documents").select("doc_id", "text"))).withColumnRenamed("id", "doc_id")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
