@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.session import drop_materialized, materialize
 
 #: A forest of at most this many edges may be merged in one task (two longs an edge).
-MERGE_ROWS = 2_000_000
+MERGE_ROWS = 1_000_000
 FAN_IN = 8
 
 

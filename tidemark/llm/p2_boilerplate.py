@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.web import host
 from tidemark.session import materialize
 
-#: A line is the host's own if so many pages, and this share of the host's, hold it.
-PAGES, SHARE = 3, 0.03
+#: A line is the host's own if pages of so many titles, and this share of the host's, hold it;
+#: sentences and headlines, which copies of an article share too, need the larger share.
+PAGES, SHARE, SHARE_OF_TEXT = 3, 0.03, 0.1
 #: A path is not body if the host has at least this many lines on it and at most this share judged body.
 PATH_LINES, PATH_SHARE = 12, 0.15
 
@@ -115,6 +116,9 @@ def shapes(text: str, title: str | None) -> list[tuple[int, int, int, str]]:
     # Wrapped paragraphs: unfinished lines of about the page's width that go on in the next.
     width = sorted((len(s) for s, o in zip(stripped, out) if o[1] == HEADLINE and len(s) > 40), reverse=True)
     wide = width[len(width) // 10] if width else 0
+    running = [s for s, o in zip(stripped, out) if o[1] in (HEADLINE, SHORT, TEXT, LONG)]
+    if sum(s[0].islower() for s in running) < 0.15 * len(running):
+        wide = 0  # lists of headlines have lines of like width too, but none that goes on in lower case
     for i, (no, shape, ind, low) in enumerate(out):
         if shape in (HEADLINE, SHORT, ITEM, MENU) and i + 1 < len(out) and out[i + 1][1] != BLANK:
             follows = stripped[i + 1]
@@ -137,13 +141,16 @@ def body(lines: list[tuple[int, int, int]], own: frozenset[int] = frozenset(), b
     column of other stories or footer; a page that only lists stories has none.
     """
     full = [x for x in lines if x[1] != BLANK]
-    off = lambda x: x[1] in _OFF or x[0] in own or (x[2], x[1]) in bad
+    shift = [0]
+    off = lambda x: x[1] in _OFF or x[0] in own or (x[2], x[1]) in bad or (x[2] not in shift and x[1] not in (ITEM, HEADING))
     start = next((i for i, x in enumerate(full) if x[1] == HEADING and x[0] not in own and (x[2], x[1]) not in bad), None)
     titled = start is not None
     if start is None:
+        shift.append(1), shift.append(2), shift.append(3)
         start = next((i for i, x in enumerate(full) if x[1] in (HEADLINE, TEXT, LONG) and not off(x)), None)
         if start is None:
             return []
+    shift[:] = [full[start][2]]  # the body stands where its heading stands
     end = len(full)
     for i in range(start + 1, len(full)):
         no, shape, _ = full[i]
@@ -172,17 +179,17 @@ def _key(plain: str) -> int:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, host, numbers, shapes, indents, keys, local): what the second pass needs of a page, without its text."""
+    """(page_id, host, title's key, numbers, shapes, indents, keys, local): what the second pass needs of a page, without its text."""
     for batch in batches:
-        cols: list[list] = [[], [], [], [], [], [], []]
+        cols: list[list] = [[], [], [], [], [], [], [], []]
         for page, site, title, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
             lines = shapes(text, title)
             local = set(body([x[:3] for x in lines]))
             lines = [x for x in lines if x[1] != BLANK]
-            for col, value in zip(cols, (page, site, [x[0] for x in lines], [x[1] for x in lines], [x[2] for x in lines], [_key(x[3]) for x in lines], [x[0] in local for x in lines])):
+            for col, value in zip(cols, (page, site, _key(_plain(title or "") or str(page)), [x[0] for x in lines], [x[1] for x in lines], [x[2] for x in lines], [_key(x[3]) for x in lines], [x[0] in local for x in lines])):
                 col.append(value)
-        types = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.int8()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["page_id", "host", "numbers", "shapes", "indents", "keys", "local"])
+        types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.int8()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["page_id", "host", "head", "numbers", "shapes", "indents", "keys", "local"])
 
 
 def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,14 +217,17 @@ def main_body(pages: DataFrame, key: str = "page_id", url: str = "url", title: s
     site = F.regexp_replace(host(url), r"^www\.", "")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), site.alias("host"), F.col(title).alias("title"), F.col(text).alias("text"))
     rows = rows.filter("page_id is not null and text is not null")
-    made = rows.mapInArrow(_first_pass, "page_id long, host string, numbers array<int>, shapes array<tinyint>, indents array<tinyint>, keys array<long>, local array<boolean>")
+    made = rows.mapInArrow(_first_pass, "page_id long, host string, head long, numbers array<int>, shapes array<tinyint>, indents array<tinyint>, keys array<long>, local array<boolean>")
     made = materialize(made)
     once = made.dropDuplicates(["page_id"])
-    line = once.filter("host is not null").select("page_id", "host", F.explode(F.arrays_zip("numbers", "shapes", "indents", "keys", "local")).alias("x"))
-    per_page = line.select("page_id", "host", F.col("x.keys").alias("k"), F.col("x.numbers").alias("no"), F.col("x.shapes").alias("shape"))
-    votes = per_page.groupBy("host", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= PAGES)
-    sizes = once.filter("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    won = votes.join(sizes, "host").filter(F.col("n") >= SHARE * F.col("pages")).select("host", "k")
+    line = once.filter("host is not null").select("page_id", "host", "head", F.explode(F.arrays_zip("numbers", "shapes", "indents", "keys", "local")).alias("x"))
+    per_page = line.select("page_id", "host", "head", F.col("x.keys").alias("k"), F.col("x.numbers").alias("no"), F.col("x.shapes").alias("shape"))
+    # Copies of one article under several addresses share its title and vote once.
+    by_title = per_page.groupBy("host", "k", "head").agg(F.min("shape").alias("shape"))
+    votes = by_title.groupBy("host", "k").agg(F.count(F.lit(1)).alias("n"), F.min("shape").alias("shape")).filter(F.col("n") >= PAGES)
+    sizes = once.filter("host is not null").select("host", "head").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    share = F.when(F.col("shape").isin(HEADLINE, TEXT, ITEM, LONG), SHARE_OF_TEXT).otherwise(SHARE)
+    won = votes.join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "k")
     own = per_page.join(won, ["host", "k"]).groupBy("page_id").agg(F.collect_list("no").alias("own"))
     path = (F.col("x.indents").cast("int") * 64 + F.col("x.shapes").cast("int")).alias("path")
     paths = line.filter("x.indents > 0").select("host", path, F.col("x.local").cast("int").alias("b")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"))

@@ -11,6 +11,7 @@ document's own text, so that label is checked there and not passed on.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components
+from tidemark.llm.components import MERGE_ROWS, components
 from tidemark.llm.text import mixed, shingles, word_hashes, words
 from tidemark.session import materialize
 
@@ -59,7 +60,7 @@ ERROR = re.compile(
     r"""(?:https?\s|http\s|error\s|code\s|status\s|erreur\s|fehler\s)*[45]\d\d\b | (?:http\s)?error\b | (?:the\s)?(?:requested\s)?(?:page|file|address|document|url|resource)\s(?:was\s|is\s|could\s)?(?:not\s(?:be\s)?(?:found|available)|no\slonger|missing|gone) | not\sfound | nothing\sat\sthis | (?:we|i)\s(?:could\snot|couldn.t|can.t|cannot|were\sunable) | (?:oops|whoops|uh[\s-]oh)\b
     | (?:internal\s)?server\s(?:error|too\sbusy|is\s(?:too\s)?busy|unavailable|not\sresponding|overloaded) | application\serror | (?:the\s|this\s)?(?:service|site|server|system|page)\s(?:is\s)?(?:temporarily\s|currently\s)?(?:unavailable|down|offline|closed|out\sof) | bad\s(?:gateway|request) | gateway\stime | (?:request|connection)\s(?:timed?\sout|time-?out|refused|reset) | too\smany\srequests
     | forbidden | (?:access|permission)\s(?:denied|refused) | you\s(?:are\snot\s(?:allowed|authori[sz]ed|permitted)|do\snot\shave|don.t\shave|have\sbeen\sblocked|need\sto\s(?:log|sign)|must\s(?:log|sign)) | (?:log[\s-]?in|sign[\s-]?in|authentication|authori[sz]ation)\s(?:is\s)?required | unauthori[sz]ed | please\s(?:log|sign)\s?in | your\s(?:session|login|account|ip|address)\s(?:has|is|was) | session\sexpired | this\s(?:account|site|domain|content|list|page|folder|section|table|feed)\s(?:has\sbeen|is\s(?:empty|not|no|currently|temporarily|down|suspended)|does\snot|could\snot) | account\ssuspended
-    | sorry\b | something\swent\swrong | an?\s(?:unexpected\s)?error\s | unexpected\serror | (?:down|closed)\s(?:for|due)\b | (?:scheduled|planned|under|undergoing|routine)\smaintenance | we.(?:ll|re)\s(?:be\sback|down) | back\ssoon | unusual\s(?:traffic|activity) | are\syou\s(?:a\s|an?\s)?(?:robot|human|real) | (?:please\s)?(?:verify|confirm|prove)\s(?:that\s)?you | checking\s(?:your|that|the)\s?(?:browser|connection|you) | (?:please\s)?(?:complete|solve)\s(?:the|this)\s | i.?\s?a?m\snot\sa\srobot | just\sa\smoment | one\smoment | type\sthe\s(?:letters|characters)
+    | sorry\b | something\swent\swrong | an?\s(?:unexpected\s)?error\s | unexpected\serror | (?:down|closed)\s(?:for|due)\b | (?:scheduled|planned|under|undergoing|routine)\smaintenance | we.(?:ll|re)\s(?:be\sback|down) | back\ssoon | unusual\s(?:traffic|activity) | are\syou\s(?:a\s|an?\s)?(?:robot|human|real) | (?:please\s)?(?:verify|confirm|prove)\s(?:that\s)?you | checking\s(?:your|that|the)\s?(?:browser|connection|you) | one\smore\sstep | (?:security|human|browser|bot)\s(?:check|verification) | please\s(?:wait|stand\sby) | tick\sthe\sbox | (?:please\s)?(?:complete|solve)\s(?:the|this)\s | i.?\s?a?m\snot\sa\srobot | just\sa\smoment | one\smoment | type\sthe\s(?:letters|characters)
     | your\ssearch\s | (?:no|zero|0)\s(?:results?|hits?|match(?:es)?|entries|items?|records?|pages?|documents?|articles?|posts?)\b | nothing\s(?:to|was|matched|found|here) | there\s(?:are|is)\s(?:no|nothing) | gone\b | attention\srequired
     | seite\s(?:nicht|wurde\snicht) | (?:interner\s)?server-?fehler | fehler\b | zugriff\s(?:verweigert|gesperrt|nicht) | kein(?:e|en)?\s(?:treffer|ergebnis|zugriff|berechtigung|eintr) | dienst\s(?:nicht|derzeit) | wartung | nicht\sgefunden | sitzung\s
     | page\s(?:introuvable|non\strouv|inexistante) | erreur\b | service\s(?:indisponible|temporairement) | acc[eè]s\s(?:refus|interdit|non) | aucune?\sr[eé]sultat | site\sen\smaintenance | introuvable
@@ -85,7 +86,7 @@ ASKS = re.compile(
 REPORTED = re.compile(r"\b(?:announced|said|told|traced|heard|wrote|reported)\b", re.IGNORECASE)
 # What commonly stands beside such messages.
 BESIDE = re.compile(
-    r"""^(?:(?:please\s)?(?:try|come|check|go|return|visit|contact|reload|refresh|reset|turn|switch|update|use|type|click|press|see|ask|wait|clear|search|log|sign|then|and)\b | thank | thanks | need\shelp | our\s | some\scontent | it\s(?:may|might|could|was|is) | the\s(?:link|requested|server|upstream|page|address|site|request|system|administrator|file|resource|connection|service|url|limit) | (?:request|ref|reference|code|error|incident|ray|trace|event|support|session|ticket)\b.{0,20}[\w-]+ | \(?code\s | [a-z]+x?/\d | [a-z]+/\d[\d.]*\sat\s | \[?(?:back|home)\]? | if\s | you\s | your\s | we\s | /\S+ | bitte\s | die\s(?:adresse|seite) | veuillez | l.adresse | l.url | int[eé]ntelo | vuelva | la\s(?:direcci[oó]n|p[aá]gina) | por\sfavor | le\s(?:lien|serveur) | el\s(?:enlace|servidor) | der\s(?:link|server) | contactez | p[oó]ngase | \d+$)""",
+    r"""^(?:(?:please\s)?(?:try|come|check|go|return|visit|contact|reload|refresh|reset|turn|switch|update|use|type|click|press|see|ask|wait|clear|search|log|sign|tick|then|and)\b | this\s(?:takes|may\stake|should\stake|process) | thank | thanks | need\shelp | our\s | some\scontent | it\s(?:may|might|could|was|is) | the\s(?:link|requested|server|upstream|page|address|site|request|system|administrator|file|resource|connection|service|url|limit) | (?:request|ref|reference|code|error|incident|ray|trace|event|support|session|ticket)\b.{0,20}[\w-]+ | \(?code\s | [a-z]+x?/\d | [a-z]+/\d[\d.]*\sat\s | \[?(?:back|home)\]? | if\s | you\s | your\s | we\s | /\S+ | bitte\s | die\s(?:adresse|seite) | veuillez | l.adresse | l.url | int[eé]ntelo | vuelva | la\s(?:direcci[oó]n|p[aá]gina) | por\sfavor | le\s(?:lien|serveur) | el\s(?:enlace|servidor) | der\s(?:link|server) | contactez | p[oó]ngase | \d+$)""",
     re.IGNORECASE | re.VERBOSE,
 )
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +94,27 @@ _MENU = re.compile(r"\s*[|·•»›]\s*")
 _PATH = re.compile(r"/\S+")
 
 
+_ODDITIES = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]|<\\|[a-z]+\\|>")
+_FOREIGN = re.compile("[^\x00-\u024f\u2010-\u203a\\n]+")
+_BLANKS = re.compile("[ \t\xa0\u2000-\u200a]+")
+
+
+def _readable(text: str, latin: bool = True) -> str:
+    """Text without marks of no width, of broken encodings put right where they can be, and, with ``latin``, without other scripts."""
+    if not text.isascii():
+        if "Ã" in text or "â€" in text:
+            try:
+                text = text.encode("cp1252").decode("utf-8")
+            except UnicodeError:
+                pass
+        text = unicodedata.normalize("NFC", _ODDITIES.sub("", text))
+        if latin:
+            text = _FOREIGN.sub(" ", text)
+    elif "<|" in text:
+        text = _ODDITIES.sub("", text)
+    return "\n".join(_BLANKS.sub(" ", x).strip() for x in text.splitlines())
+
+
 def _menu_line(line: str) -> bool:
     parts = [p for p in _MENU.split(line.strip()) if p]
     return len(parts) > 1 and all(len(p.split()) <= 3 for p in parts)
@@ -104,7 +126,7 @@ def _chunks(text: str) -> list[str]:
     for line in text.splitlines():
         if line.strip() and not _menu_line(line):
             out += [c.strip(" \t.·-–—") for c in re.split(r"(?<=[.!?…])\s+|\s[-–—]\s|\.\.\s", line)]
-    return [c for c in out if any(x.isalnum() for x in c)]
+    return [c for c in out if any(x.isalpha() for x in c) or c.isdigit()]
 
 
 #: Every placeholder holds one of these.
@@ -115,6 +137,8 @@ def has_placeholder(text: str) -> bool:
     """A placeholder outside sentences that write about such marks."""
     if not _SIGN.search(text):
         return False
+    if not text.isascii():
+        text = _ODDITIES.sub("", text)
     for m in PLACEHOLDER.finditer(text):
         begin = max(text.rfind(x, 0, m.start()) for x in ("\n", ". ", "! ", "? ")) + 1
         ends = [e for x in ("\n", ". ", "! ", "? ") if (e := text.find(x, m.end())) >= 0]
@@ -130,6 +154,7 @@ def is_filler(text: str, tokens: list[str] | None = None) -> bool:
     latin, keys = len(kinds & LATIN), len(kinds & KEYS)
     if len(kinds) > 60 and latin < 0.2 * len(kinds) and keys < 0.2 * len(kinds):
         return False
+    text = _readable(text)
     lines = [x.strip().lower().strip(".:") for x in text.splitlines() if x.strip() and not _menu_line(x)]
     found = [w for line in lines for w in re.findall(r"[^\W\d_]+", line)]
     if not found:
@@ -155,6 +180,7 @@ def is_notice(text: str) -> bool:
     """An error page, dump or script notice with next to nothing beside it."""
     if len(text) > 3000:
         return False
+    text = _readable(text)
     lines = [x for x in text.splitlines() if x.strip() and not _menu_line(x)]
     if not lines:
         return False
@@ -239,7 +265,7 @@ def _table_keys(column: str) -> list:
     return [F.struct(F.lit(t).alias("t"), (F.shiftleft(blocks[i], 13) + blocks[j]).alias("k")) for t, (i, j) in enumerate(TABLES)]
 
 
-def residue(documents: DataFrame, key: str = "doc_id", text: str = "text", merge_rows: int = 2_000_000) -> DataFrame:
+def residue(documents: DataFrame, key: str = "doc_id", text: str = "text", merge_rows: int = MERGE_ROWS) -> DataFrame:
     """(id, placeholder, residue) of the documents that should be left out.
 
     ``placeholder``: one was left unfilled in the document's own text. ``residue``: filler, an error

@@ -74,7 +74,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_weights(spark: SparkSession, d: str) -> DataFrame:
-    return _weights(spark, d, 1)
+    return _weights(spark, d, 1).withColumn("weight", F.round("weight", 8))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -108,4 +108,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_split, p2_found, p3_found, p4_found, p4_ranking, p5_found, p5_classes, p6_found, p6_weights, p7_ids, p8_mix, p8_shares, p9_found, p9_labels)
 }
 
-ORACLES: dict[str, str] = {}
+_CLEAN = "nullif(upper(regexp_replace(doc_id, '\\s+', '', 'g')), '')"
+_POINTS = (
+    f"c as (select query_id, {_CLEAN} did, " + ", ".join(f"case when isnan({s}) or isinf({s}) then null else {s} end {s}" for s in SCORES) + " from training_features), "
+    "i as (select query_id, did doc_id, " + ", ".join(f"max({s}) {s}" for s in SCORES) + " from c where query_id is not null and did is not null group by query_id, did), "
+    "n as (select *, count(*) over (partition by query_id) n from i), "
+    "k as (select query_id, doc_id, n, " + ", ".join(f"case when {s} is null then (n + 1) / 2 else (rank() over (partition by query_id order by {s} desc nulls last) + count({s}) over (partition by query_id order by {s} desc nulls last range between unbounded preceding and current row)) / 2 end r_{s}" for s in SCORES) + " from n), "
+    "p as (select query_id, doc_id, n, round(" + " + ".join(f"n - r_{s}" for s in SCORES) + ", 9) points from k), "
+    "o as (select *, row_number() over (partition by query_id order by points desc, doc_id) place from p)"
+)
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_TERMS = f"""
+d as (select distinct 'page' kind, page_id record_id, text from page_text_table union all select distinct 'email', email_id, text from emails),
+t as (select kind, record_id, unnest({_WORDS}) term from d),
+f as (select kind, record_id, term, count(*) tf from t group by all),
+g as (select kind, term, count(*) df from f group by all)"""
+
+#: The queries whose definition SQL can state over whole tables.
+ORACLES: dict[str, str] = {
+    "p1_found": f"""with recursive x as (select distinct query_id q, {_CLEAN} did from training_features where query_id is not null),
+e as (select distinct a.q a, b.q b from x a join x b on a.did = b.did and a.q <> b.q),
+r as (select q, q g from (select distinct q from x) union select e.b, r.g from r join e on r.q = e.a)
+select min(g)::bigint group_query_id, q::bigint query_id from r group by q having min(g) <> q""",
+    "p4_found": f"with {_POINTS} select query_id::bigint query_id, doc_id from o where place = 1 and n >= 8",
+    "p4_ranking": f"with {_POINTS} select query_id, doc_id, place, points from o",
+    "p5_found": f"""with d as (select distinct page_id, {_WORDS} w from page_text_table where text is not null),
+s as (select distinct page_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) s from d where len(w) >= 3),
+n as (select page_id, count(*) n from s group by all),
+j as (select a.page_id a, b.page_id b, count(*) c from s a join s b on a.s = b.s and a.page_id < b.page_id group by all)
+select a page_id_a, b page_id_b from j join n x on x.page_id = a join n y on y.page_id = b where c >= 0.6 * (x.n + y.n - c)""",
+    "p6_found": f"with {_TERMS} select kind, record_id, term from f join g using (kind, term) where tf >= 3 and df <= 5",
+    "p6_weights": f"""with {_TERMS}, l as (select kind, record_id, sum(tf) dl from f group by all), s as (select kind, count(*) n, (select sum(dl) from l where l.kind = d.kind) / count(*) avgdl from d group by kind)
+select kind, record_id, term, tf, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 8) weight from f join g using (kind, term) join l using (kind, record_id) join s using (kind)""",
+}
