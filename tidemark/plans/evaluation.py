@@ -42,8 +42,13 @@ def _majority(s: SparkSession, d: str) -> DataFrame:
     return ev.majority_grades(clean)
 
 
+def _octant() -> Column:
+    """A cluster by the signs of the first four coordinates."""
+    return sum(((F.get("embedding", F.lit(i)) > 0).cast("int") * 2**i for i in range(4)), F.lit(0))
+
+
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    return ev.pair_counts(table(s, d, "embeddings").select("label", (F.col("vec_id") % 25).alias("cluster")), "label", "cluster")
+    return ev.pair_counts(table(s, d, "embeddings").select("label", _octant().alias("cluster")), "label", "cluster")
 
 
 QUERIES = {
@@ -85,6 +90,6 @@ ORACLES = {
     "eval_11pt": f"with {JUDGED}, b as (select *, max(precision) over (partition by query_id order by rank rows between current row and unbounded following) best from j where n_rel > 0) select query_id, (x / 10)::double as level, round(coalesce(max(best) filter (recall >= x / 10), 0), 6) as precision from b cross join range(11) r(x) group by all",
     "eval_pr_curve": f"with {JUDGED} select query_id, rank, round(recall, 6) recall, round(precision, 6) as precision, round(min(precision) over (partition by query_id order by rank rows unbounded preceding), 6) monotone from j where rel = 1 and n_rel > 0",
     "eval_summary": f"with {JUDGED}, p as (select query_id, count(*) ret, max(n_rel) n_rel, sum(rel) rr, sum(rel * precision) sp from j group by all having max(n_rel) > 0) select (select count(distinct query_id) from run) n_queries, count(*) n_relevant_queries, sum(ret)::bigint retrieved, sum(n_rel)::bigint relevant, sum(rr)::bigint relevant_retrieved, round(sum(sp / n_rel) / (select count(distinct query_id) from run), 6) map_all, round(sum(sp / n_rel) / count(*), 6) map_relevant from p",
-    "cluster_pair_eval": "with e as (select vec_id, label, vec_id % 25 c from embeddings), p as (select a.label = b.label q, a.c = b.c k from e a join e b on a.vec_id <= b.vec_id) select count(*) filter (q and k) same_both, count(*) filter (q and not k) same_query, count(*) filter (k and not q) same_cluster, count(*) filter (not q and not k) neither, round(count(*) filter (q = k) / count(*), 6) accuracy from p",
+    "cluster_pair_eval": "with e as (select vec_id, label, " + " + ".join(f"(embedding[{i + 1}] > 0)::int * {2**i}" for i in range(4)) + " c from embeddings), p as (select a.label = b.label q, a.c = b.c k from e a join e b on a.vec_id <= b.vec_id) select count(*) filter (q and k) same_both, count(*) filter (q and not k) same_query, count(*) filter (k and not q) same_cluster, count(*) filter (not q and not k) neither, round(count(*) filter (q = k) / count(*), 6) accuracy from p",
     "eval_grade_counts": f"with {GRADES} select * from nrel",
 }

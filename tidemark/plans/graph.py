@@ -10,6 +10,7 @@ from tidemark.plans.ctes import BIPARTITE, DEGREES, SUCCESSOR, hits, pagerank
 from tidemark.sources.tables import table
 
 STEPS = 5
+ROOT_SIZE = 7
 
 
 def supplies(s: SparkSession, d: str) -> DataFrame:
@@ -28,8 +29,8 @@ def _rounded(df: DataFrame, places: int = 12) -> DataFrame:
 
 
 def _root(s: SparkSession, d: str) -> DataFrame:
-    """Parts of one brand and kind: a topic's root set."""
-    return table(s, d, "part").filter("p_partkey % 97 = 1").select(F.col("p_partkey").alias("id"))
+    """Parts of one size: a topic's root set."""
+    return table(s, d, "part").filter(F.col("p_size") == ROOT_SIZE).select(F.col("p_partkey").alias("id"))
 
 
 def _base(s: SparkSession, d: str) -> DataFrame:
@@ -85,7 +86,7 @@ QUERIES = {
 }
 
 _TOP = "select row_number() over (order by score desc, id) rank, id, score, in_degree, out_degree from (select id, round({c}, 12) score from {t}) join deg using (id) order by score desc, id limit 500"
-_ROOT = "root as (select p_partkey id from part where p_partkey % 97 = 1)"
+_ROOT = f"root as (select p_partkey id from part where p_size = {ROOT_SIZE})"
 _BASE = f"{SUCCESSOR}, {_ROOT}, ins as (select src, row_number() over (partition by dst order by md5(src::varchar), src) r from edges where dst in (select id from root)), base as (select id from root union select dst from edges where src in (select id from root) union select src from ins where r <= 5)"
 
 ORACLES = {

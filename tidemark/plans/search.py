@@ -77,8 +77,9 @@ def _phrase_freq(s: SparkSession, d: str) -> DataFrame:
 
 
 def _merge(s: SparkSession, d: str) -> DataFrame:
-    odd = F.col("doc_id") % 2 == 1
-    parts = [ix.postings(an.tokens(documents(s, d).filter(c))) for c in (odd, ~odd)]
+    """Two partial indexes, of the English documents and of all others."""
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    parts = [ix.postings(an.tokens(table(s, d, "documents").filter(c))) for c in (english, ~english)]
     return ix.term_stats(ix.merged(*parts)).select("term", "df", "ttf")
 
 

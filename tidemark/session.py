@@ -71,11 +71,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: short lineage that survives lost executors.
 
     A Parquet table is preferred to ``DataFrame.checkpoint`` because it is compressed and its
-    columns can be pruned by the readers.
+    columns can be pruned by the readers. The files go when the application ends, or with
+    :func:`drop_materialized`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
