@@ -152,7 +152,7 @@ def is_filler(text: str, tokens: list[str] | None = None) -> bool:
     kinds = set(words(text) if tokens is None else tokens)
     # Cheap signs first: real content has many words that are neither Latin filler nor repeated.
     latin, keys = len(kinds & LATIN), len(kinds & KEYS)
-    if len(kinds) > 60 and latin < 0.2 * len(kinds) and keys < 0.2 * len(kinds):
+    if len(kinds) > 30 and latin < 0.2 * len(kinds) and keys < 0.2 * len(kinds):
         return False
     text = _readable(text)
     lines = [x.strip().lower().strip(".:") for x in text.splitlines() if x.strip() and not _menu_line(x)]
@@ -176,9 +176,9 @@ def is_filler(text: str, tokens: list[str] | None = None) -> bool:
     return len(sentences) >= 4 and len(counts) <= max(1, len(sentences) // 4) and n >= 12
 
 
-def is_notice(text: str) -> bool:
+def is_notice(text: str, tokens: list[str] | None = None) -> bool:
     """An error page, dump or script notice with next to nothing beside it."""
-    if len(text) > 3000:
+    if len(text) > 3000 or len(words(text) if tokens is None else tokens) > 150:  # 60 words, menus and dumps aside
         return False
     text = _readable(text)
     lines = [x for x in text.splitlines() if x.strip() and not _menu_line(x)]
@@ -230,7 +230,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = masked_words(text)
             ids.append(i)
             placeholders.append(has_placeholder(text))
-            residues.append(is_filler(text, tokens) or is_notice(text))
+            residues.append(is_filler(text, tokens) or is_notice(text, tokens))
             keys.append(xxhash.xxh128_digest(" ".join(tokens)) if tokens else None)
             hashes.append(simhash(tokens) if tokens else None)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(hashes, pa.int64()), pa.array(placeholders, pa.bool_()), pa.array(residues, pa.bool_())], names=["id", "words", "simhash", "placeholder", "residue"])

@@ -21,12 +21,11 @@ def word_hashes(tokens: list[str]) -> np.ndarray:
     """64-bit hashes of the words; a bounded cache spares the frequent ones."""
     if len(_known) > 500_000:
         _known.clear()
-    get, out = _known.get, []
-    for w in tokens:
-        h = get(w)
-        if h is None:
-            h = _known[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
+    out = list(map(_known.get, tokens))
+    if None in out:
+        for i, h in enumerate(out):
+            if h is None:
+                out[i] = _known[tokens[i]] = xxhash.xxh64_intdigest(tokens[i])
     return np.array(out, dtype=np.uint64)
 
 
