@@ -218,8 +218,7 @@ def main_body(pages: DataFrame, key: str = "page_id", url: str = "url", title: s
     rows = pages.select(F.col(key).cast("long").alias("page_id"), site.alias("host"), F.col(title).alias("title"), F.col(text).alias("text"))
     rows = rows.filter("page_id is not null and text is not null")
     made = rows.mapInArrow(_first_pass, "page_id long, host string, head long, numbers array<int>, shapes array<tinyint>, indents array<tinyint>, keys array<long>, local array<boolean>")
-    made = materialize(made)
-    once = made.dropDuplicates(["page_id"])
+    once = materialize(made.dropDuplicates(["page_id"]))
     line = once.filter("host is not null").select("page_id", "host", "head", F.explode(F.arrays_zip("numbers", "shapes", "indents", "keys", "local")).alias("x"))
     per_page = line.select("page_id", "host", "head", F.col("x.keys").alias("k"), F.col("x.numbers").alias("no"), F.col("x.shapes").alias("shape"))
     # Copies of one article under several addresses share its title and vote once.
