@@ -22,7 +22,7 @@ MARKED = ["harbour", "crew", "vessel"]
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").select("doc_id", "text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def built(spark: SparkSession, d: str, positions: bool = False) -> ix.Index:

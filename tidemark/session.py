@@ -82,14 +82,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than the session has cores, dealt out to all of them.
+def spread(scan: DataFrame, key: str | None = None) -> DataFrame:
+    """A scan of fewer partitions than the session has cores, dealt out to all of them, by ``key`` if given.
+
+    By a key that later steps group on, their shuffles are spared.
 
     For tables of few row groups whose rows are costly to work on; larger scans stay as they are,
     without a shuffle. ``scan`` must be a plain read with projections and filters.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() * 2 <= cores else scan
+    if scan.rdd.getNumPartitions() * 2 > cores:
+        return scan
+    return scan.repartition(cores, key) if key else scan.repartition(cores)
 
 
 def drop_materialized(df: DataFrame) -> None:
