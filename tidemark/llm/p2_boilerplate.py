@@ -50,6 +50,7 @@ _WORDS = "accessibility,imprint,privacy,site map,sitemap,rss,careers,terms of us
 WORDS = frozenset(_WORDS.split(","))
 FOOTER = re.compile(r"^(?:©|\(c\)|copyright\b|&copy;).{0,90}$|^.{0,60}\ball rights reserved\.?$|^.{0,60}\balle rechte vorbehalten\.?$|^.{0,60}\btous droits réservés\.?$|^.{0,60}\btodos los derechos reservados\.?$", re.IGNORECASE)
 _SEPARATED = re.compile(r"\s*[|·•»›→]\s*|\s+[>/]\s+|\s{2,}|\t+")
+_HINT = re.compile(r"[|·•»›→\t]|  | [>/] |\s{2}")
 _TERMINAL = re.compile(r"[.!?…:][\"'»”’)\]]*$")
 _BULLET = re.compile(r"^(?:[-*•–—‣▪·]\s+|\d{1,2}[.)]\s+|[a-z]\)\s+)")
 _TWO_SENTENCES = re.compile(r"[.!?…][\"'»”’)]*\s+[\"'«“‘(]?\w")
@@ -81,8 +82,7 @@ def shapes(text: str, title: str | None) -> list[tuple[int, int, int, str]]:
         low = _plain(s)
         bare = low.strip(" :›»>|-–—*·")
         count = len(low.split())
-        follows = stripped[i + 1] if i + 1 < len(stripped) else ""
-        parts = [p for p in _SEPARATED.split(s.strip("|·•»›→ ")) if p]
+        parts = [p for p in _SEPARATED.split(s.strip("|·•»›→ ")) if p] if _HINT.search(s) else [s]
         ended = bool(_TERMINAL.search(s))
         if head and (low == head or (len(head) > 30 and low.startswith(head[:60]) and count <= len(head.split()))):
             shape = HEADING
@@ -90,13 +90,13 @@ def shapes(text: str, title: str | None) -> list[tuple[int, int, int, str]]:
             shape = LABEL
         elif ":" in low and low.split(":", 1)[0].strip() in LABELS:
             shape = INLINE
-        elif FOOTER.match(s):
+        elif len(s) < 160 and FOOTER.match(s):
             shape = FOOT
-        elif ADS.match(low.rstrip(".!:")) and count <= 9:
+        elif count <= 9 and ADS.match(low.rstrip(".!:")):
             shape = AD
-        elif bare in BUTTONS or all(p.casefold() in BUTTONS for p in parts):
+        elif bare in BUTTONS or len(parts) > 1 and all(p.casefold() in BUTTONS for p in parts):
             shape = BUTTON
-        elif bare in WORDS or all(p.casefold() in WORDS for p in parts):
+        elif bare in WORDS or len(parts) > 1 and all(p.casefold() in WORDS for p in parts):
             shape = MENU
         elif _NOTICE_BEGIN.match(s) and _NOTICE_ABOUT.search(s):
             shape = NOTICE
