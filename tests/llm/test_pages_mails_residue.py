@@ -139,3 +139,14 @@ def test_label_passes_over_links(spark, monkeypatch):
     monkeypatch.setattr(rs, "_reader", _labelled)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.id for r in rs.residue(df).collect()} == {1, 2}
+
+
+def test_ancestor_is_found_behind_older_mails_of_the_same_wordings(spark):
+    words_ = [f"{a}{b}" for a in ("ship", "dock", "crew", "port", "tide") for b in ("one", "two", "three", "four", "five", "six", "seven", "eight")]
+    old = " ".join(words_)
+    t = lambda d: datetime(2014, 1, d)
+    rows = [(i, "other", " ".join(words_[10 * i - 10 : 10 * i + 3]), f"x{i}@x.example", t(i)) for i in range(1, 5)]  # each claims a part
+    rows += [(10, "plan", old, "ann@a.example", t(10)), (11, "Re: plan", "I agree.\n\n" + old, "bob@b.example", t(11)), (12, "Re: plan", "Not me.\n\nYes " + old + " indeed", "eve@e.example", t(12))]
+    rows.append((13, "Re: plan", "So it is.\n\n" + " ".join(words_[:12] + ["my", "own"] * 15), "kim@k.example", t(13)))
+    df = spark.createDataFrame(rows, "email_id long, subject string, text string, from_addr string, received_at timestamp")
+    assert {tuple(r) for r in new_text(df).collect() if r.email_id > 10} == {(11, 1), (12, 1), (13, 1), (13, 3)}

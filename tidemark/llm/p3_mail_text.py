@@ -1,9 +1,9 @@
 """Problem 3: the text newly written by the sender of an e-mail.
 
 Marks tell most of it: quote signs and their lead-ins, header blocks, closings, signatures,
-disclaimers and list footers. What carries no marks is found in the corpus: the lines a mail
-claims as its own are winnowed into fingerprints, an inverted index over all mails gives the
-earliest holder of each, and spans that verify against such an ancestor's text are quotation.
+disclaimers and list footers. What carries no marks is found in the corpus: the paragraphs that a
+reply claims as its own are looked up in an inverted index of the 5-word runs of all mails, and
+those that an earlier mail holds most of are quotation.
 Lines that one sender ends mail after mail with are closings.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.text import shingle_hashes, words
 from tidemark.session import materialize
 
-RUN, WINDOW = 5, 4
+RUN = 5
 #: A span needs so many words in common with its ancestor, and this share of its own runs.
 SPAN_WORDS, SPAN_SHARE = 12, 0.8
 #: Mails of one sender that must end with a line before it counts as a closing.
@@ -285,27 +285,6 @@ def _cut_signature(lines: list[str], state: list[str], own: list[int], names: fr
             state[k] = "s"
 
 
-def fingerprints(tokens: list[str]) -> set[int]:
-    """Winnowed hashes of 5-word runs: the least of every 4 successive ones."""
-    from tidemark.llm.text import mixed, word_hashes
-
-    if len(tokens) < RUN:
-        return set()
-    import numpy as np
-
-    h = word_hashes(tokens)
-    m = len(h) - RUN + 1
-    with np.errstate(over="ignore"):
-        x = np.zeros(m, dtype=np.uint64)
-        for k in range(RUN):
-            x = mixed(x * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m] + np.uint64(k + 1))
-    x = x.view(np.int64)
-    if m <= WINDOW:
-        return {int(x.min())}
-    pairs = np.minimum(x[:-1], x[1:])
-    return set(np.minimum(pairs[:-2], pairs[2:]).tolist())  # the least of each 4
-
-
 def _spans(numbers: list[int]) -> list[list[int]]:
     """Runs of successive line numbers: the paragraphs of own lines."""
     out: list[list[int]] = []
@@ -318,41 +297,55 @@ def _spans(numbers: list[int]) -> list[list[int]]:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, sender, at, new lines, fingerprints of their paragraphs, last own lines)."""
+    """(id, sender, ord, new lines, runs of the whole text, paragraphs of own lines, last own lines).
+
+    A paragraph has its first and last line and a digest of its words; its runs are only kept in replies.
+    """
+    import xxhash
+
+    paragraph = pa.struct([("begin", pa.int32()), ("last", pa.int32()), ("digest", pa.int64()), ("runs", pa.list_(pa.int64()))])
     for batch in batches:
-        cols: list[list] = [[], [], [], [], [], [], [], []]
-        for i, sender, at, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
+        cols: list[list] = [[], [], [], [], [], [], []]
+        for i, sender, order, reply, text in zip(*(batch.column(c).to_pylist() for c in range(5))):
             lines = text.split("\n")
             new = [k for k, x in enumerate(marked(text, sender)) if x]
-            prints: list[int] = []
-            begins: list[int] = []
-            sizes: list[int] = []
+            spans = []
             for span in _spans(new):
-                found = fingerprints(words("\n".join(lines[k] for k in span)))
-                prints += found
-                begins += [span[0]] * len(found)
-                sizes += [len(found)] * len(found)
+                tokens = words("\n".join(lines[k] for k in span))
+                if len(tokens) >= SPAN_WORDS:
+                    digest = xxhash.xxh64_intdigest(" ".join(tokens)) - 2**63
+                    spans.append({"begin": span[0] + 1, "last": span[-1] + 1, "digest": digest, "runs": shingle_hashes(tokens, RUN) if reply else None})
             tail = [" ".join(lines[k].split()).casefold() for k in new[-3:] if not re.search(r"[.!?…]\s*$", lines[k])] if len(new) > 3 else []
-            for col, value in zip(cols, (i, sender, at, [k + 1 for k in new], prints, begins, sizes, tail)):
+            for col, value in zip(cols, (i, sender, order, [k + 1 for k in new], shingle_hashes(words(text), RUN), spans, tail)):
                 col.append(value)
-        types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "sender", "at", "new", "v", "span", "n", "tail"])
+        types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(paragraph), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "sender", "ord", "new", "runs", "spans", "tail"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, line_no) of own lines that stand in spans of an ancestor's text."""
-    for batch in batches:
-        ids, numbers = [], []
-        for i, text, new, ancestor in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            lines = text.split("\n")
-            older = set(shingle_hashes(words(ancestor), RUN).tolist())
-            for block in _spans(new):
-                tokens = words("\n".join(lines[no - 1] for no in block))
-                runs = shingle_hashes(tokens, RUN).tolist()
-                if len(tokens) >= SPAN_WORDS and runs and sum(r in older for r in runs) >= SPAN_SHARE * len(runs):
-                    ids += [i] * len(block)
-                    numbers += block
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], names=["id", "no"])
+def _held(made: DataFrame) -> DataFrame:
+    """(id, begin, last) of the replies' paragraphs that one earlier mail holds ``SPAN_SHARE`` of, by their runs.
+
+    Exact: no holder of a run is left out. The earliest holder of each run, and of each whole
+    paragraph, settles most paragraphs; and those whose runs too few earlier mails hold at all fall
+    away. For the rest, an ancestor that holds ``need`` of the ``met`` runs with earlier holders
+    holds one of the ``met - need + 1`` rarest of them, so that all earlier holders of these are compared.
+    """
+    paragraphs = made.select("id", "ord", F.explode("spans").alias("s")).select("id", "ord", "s.*")
+    asked = paragraphs.filter("runs is not null").withColumn("need", F.ceil(F.size("runs") * SPAN_SHARE - 1e-9).cast("int"))
+    holders = made.select(F.col("id").alias("ancestor"), F.col("ord").alias("older"), F.explode("runs").alias("v"))
+    earliest = holders.groupBy("v").agg(F.min("older").alias("first"), F.count(F.lit(1)).alias("df")).filter("df > 1")
+    met = materialize(asked.select("id", "ord", "begin", "last", "need", F.explode("runs").alias("v")).join(earliest, "v").filter("first < ord"))
+    by_first = met.groupBy("id", "ord", "begin", "last", "need", "first").agg(F.count(F.lit(1)).alias("c"))
+    able = materialize(by_first.groupBy("id", "ord", "begin", "last", "need").agg(F.max("c").alias("best"), F.sum("c").alias("met")).filter("met >= need"))
+    same = paragraphs.groupBy("digest").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    equal = asked.select("id", "ord", "begin", "last", "digest").join(same, "digest").filter("first < ord").select("id", "begin", "last")
+    open_ = able.filter("best < need").join(equal, ["id", "begin"], "left_anti").select("id", "begin", "met")
+    rarest = met.join(open_, ["id", "begin"]).groupBy("id", "ord", "begin").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.first("need").alias("need"), F.first("met").alias("met"))
+    rarest = rarest.select("id", "ord", "begin", F.explode(F.expr("slice(vs, 1, cast(met as int) - need + 1)")).alias("x")).select("id", "ord", "begin", "x.v")
+    pairs = rarest.join(holders, "v").filter("older < ord").select("id", "begin", "ancestor").distinct()
+    full = pairs.join(asked.select("id", "begin", "last", "need", F.col("runs").alias("own")), ["id", "begin"]).join(made.select(F.col("id").alias("ancestor"), "runs"), "ancestor")
+    compared = full.filter(F.size(F.array_intersect("own", "runs")) >= F.col("need")).select("id", "begin", "last")
+    return able.filter("best >= need").select("id", "begin", "last").unionByName(equal).unionByName(compared).distinct()
 
 
 def new_text(mails: DataFrame, key: str = "email_id", subject: str = "subject", text: str = "text", sender: str = "from_addr", at: str = "received_at") -> DataFrame:
@@ -368,17 +361,12 @@ def new_text(mails: DataFrame, key: str = "email_id", subject: str = "subject",
     """
     rows = mails.select(F.col(key).cast("long").alias("id"), F.col(sender).alias("sender"), F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(2**62)).alias("at"), F.col(text).alias("text"), F.coalesce(F.col(subject), F.lit("")).alias("subject"))
     rows = rows.filter("id is not null and text is not null").dropDuplicates(["id"])
-    made = materialize(rows.select("id", "sender", "at", "text").mapInArrow(_first_pass, "id long, sender string, at long, new array<int>, v array<long>, span array<int>, n array<int>, tail array<string>"))
-    posted = made.select("id", "at", F.explode(F.arrays_zip("v", "span", "n")).alias("p")).select("id", "at", "p.*")
-    earliest = posted.groupBy("v").agg(F.min(F.struct("at", "id")).alias("first"), F.count(F.lit(1)).alias("df")).filter("df > 1").select("v", "first")
-    replies = rows.filter(F.col("subject").rlike(r"(?i)^\s*(?:\[[^\]]*\]\s*)?(?:re|fw|fwd|aw|wg|sv|antw|antwort|r[ée]p|tr|rv|res|ref|i|enc)(?:\[\d+\])?\s*:")).select("id")
-    asked = posted.join(replies, "id", "left_semi").join(earliest, "v").filter("first.id != id")
-    # A span that can verify shares at least half of its own fingerprints with the ancestor.
-    pairs = asked.groupBy("id", "span", "n", F.col("first.id").alias("ancestor")).agg(F.count(F.lit(1)).alias("c")).filter("c >= 2 and 2 * c >= n").select("id", "ancestor").distinct()
-    pairs = materialize(pairs)
-    texts = rows.select("id", "text")
-    held = pairs.join(texts, "id").join(made.select("id", "new"), "id").join(texts.select(F.col("id").alias("ancestor"), F.col("text").alias("older")), "ancestor")
-    spans = held.select("id", "text", "new", "older").mapInArrow(_verified, "id long, no int").distinct()
+    # One number in the order of receipt.
+    order = materialize(rows.select("id", "at").sort("at", "id").select("id", F.monotonically_increasing_id().alias("ord")))
+    reply = F.col("subject").rlike(r"(?i)^\s*(?:\[[^\]]*\]\s*)?(?:re|fw|fwd|aw|wg|sv|antw|antwort|r[ée]p|tr|rv|res|ref|i|enc)(?:\[\d+\])?\s*:")
+    read = rows.join(order, "id").select("id", "sender", "ord", reply.alias("reply"), "text")
+    made = materialize(read.mapInArrow(_first_pass, "id long, sender string, ord long, new array<int>, runs array<long>, spans array<struct<begin: int, last: int, digest: long, runs: array<long>>>, tail array<string>"))
+    spans = _held(made).select("id", F.explode(F.sequence("begin", "last")).alias("no")).distinct()
     # Recurring closings: short lines that a sender's mails end with again and again.
     ends = made.filter("sender is not null").select("id", "sender", F.explode(F.array_distinct("tail")).alias("line")).filter("length(line) between 2 and 60 and size(split(line, ' ')) <= 6")
     recurring = ends.groupBy("sender", "line").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= RECURRING).select("sender", "line")
