@@ -150,3 +150,44 @@ def test_ancestor_is_found_behind_older_mails_of_the_same_wordings(spark):
     rows.append((13, "Re: plan", "So it is.\n\n" + " ".join(words_[:12] + ["my", "own"] * 15), "kim@k.example", t(13)))
     df = spark.createDataFrame(rows, "email_id long, subject string, text string, from_addr string, received_at timestamp")
     assert {tuple(r) for r in new_text(df).collect() if r.email_id > 10} == {(11, 1), (12, 1), (13, 1), (13, 3)}
+
+
+def test_residue_spreads_to_all_texts_of_the_similarity(spark):
+    """Against brute force, also at distances that SimHash bits do not show."""
+    import random
+
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pool = ["".join(rng.choices(letters, k=6)) for _ in range(3000)]
+    rows = []
+    for k in range(60):
+        base = ["lorem", "ipsum", "dolor", "sit", "amet"] + rng.choices(pool, k=rng.choice([30, 60, 120, 300]))
+        rows.append((10 * k, "Your text goes here. " * 5 + " ".join(base[:3])))
+        for j in range(1, 8):
+            made = list(base)
+            for _ in range(rng.randrange(max(2, len(base) // 40) + 1)):
+                made[rng.randrange(len(made))] = rng.choice(pool)
+            rows.append((10 * k + j, " ".join(made)))
+    runs = {i: rs.shingles(rs.masked_words(t), rs.SHINGLE) for i, t in rows}
+    near = lambda a, b: len(a & b) >= rs.SIMILARITY * len(a | b) - 1e-9
+    want = {i for i, t in rows if rs.is_filler(t) or rs.is_notice(t)} | {10 * k + 1 for k in range(60)}
+    first = set(want)
+    while more := {i for i in runs if i not in want and any(near(runs[i], runs[j]) for j in want)}:
+        want |= more
+    assert len(want) > len(first) + 60
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(rs, "_reader", _trusting_of(rs._reader))
+        assert {r.id for r in rs.residue(df).collect()} == want
+
+
+def _trusting_of(reader):
+    def run(batches):
+        import pyarrow as pa
+
+        for out in reader(batches):
+            trusted = [r or i % 10 == 1 for i, r in zip(out.column(0).to_pylist(), out.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*out.columns[:4], pa.array(trusted, pa.bool_())], names=out.schema.names)
+
+    return run

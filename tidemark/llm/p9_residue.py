@@ -2,36 +2,30 @@
 
 Texts are read for trusted marks first: a placeholder left where a value should stand, or filler,
 an error page, a program's dump or a script notice with next to nothing beside it. Near-duplicates
-are then found with SimHash tables over ten choices of two of five blocks of bits, verified by
-Hamming distance and by the similarity of their 5-word runs, and joined into components; the
-trusted label of a whole-text residue holds for its component. A placeholder must stand in a
+are then found exactly: texts whose sets of 5-word runs have a Jaccard similarity of at least 0.8
+share one of the least hashes of either, a fifth of its runs and one. From the trusted texts on,
+round after round, the label passes to those that are similar until no more are found. A placeholder must stand in a
 document's own text, so that label is checked there and not passed on.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import MERGE_ROWS, components
-from tidemark.llm.text import mixed, shingles, word_hashes, words
+from tidemark.llm.text import mixed, shingle_hashes, shingles, word_hashes, words
 from tidemark.session import materialize
 
-HAMMING = 3
 SIMILARITY = 0.8
 SHINGLE = 5
-#: Bits of the five blocks of a 64-bit SimHash.
-BLOCKS = (13, 13, 13, 13, 12)
-TABLES = list(combinations(range(5), 2))
-
 # Forms of unfilled placeholders.
 PLACEHOLDER = re.compile(
     r"""\{\{\s*[\w .|-]{1,40}\s*\}\} | \{%\s*[\w .|-]{1,40}\s*%\} | <%=?\s*[\w .-]{1,40}\s*%> | [$#]\{\s*[\w .-]{1,40}\s*\}
@@ -232,10 +226,31 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             placeholders.append(has_placeholder(text))
             residues.append(is_filler(text, tokens) or is_notice(text, tokens))
             keys.append(xxhash.xxh128_digest(" ".join(tokens)) if tokens else None)
-            hashes.append(simhash(tokens) if tokens else None)
+            hashes.append(None)  # no step needs it
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(hashes, pa.int64()), pa.array(placeholders, pa.bool_()), pa.array(residues, pa.bool_())], names=["id", "words", "simhash", "placeholder", "residue"])
 
 
+def _with_prefix(reader):
+    """What ``reader`` gives, with the number of distinct 5-word runs and the least hashes of them.
+
+    Of two texts with the similarity each holds that share of the other's runs, so both have one
+    of the ``n - share * n + 1`` least hashes in common, by any order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for out in reader(iter([batch])):
+                sizes, prefixes = [], []
+                for text in batch.column(1).to_pylist():
+                    h = shingle_hashes(masked_words(text), SHINGLE)
+                    n = len(h)
+                    sizes.append(n)
+                    prefixes.append(h[: n - math.ceil(SIMILARITY * n - 1e-9) + 1])
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=[*out.schema.names, "size", "prefix"])
+
+    return run
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) whose sets of 5-word runs have a Jaccard similarity of at least 0.8; shorter texts are one run."""
 
@@ -256,16 +271,27 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
-def _table_keys(column: str) -> list:
-    """The tables' keys: two blocks of bits, with the table's number."""
-    at, blocks = 0, []
-    for size in BLOCKS:
-        blocks.append(F.shiftrightunsigned(F.col(column), at).bitwiseAND(F.lit((1 << size) - 1)))
-        at += size
-    return [F.struct(F.lit(t).alias("t"), (F.shiftleft(blocks[i], 13) + blocks[j]).alias("k")) for t, (i, j) in enumerate(TABLES)]
-
-
-def residue(documents: DataFrame, key: str = "doc_id", text: str = "text", merge_rows: int = MERGE_ROWS) -> DataFrame:
+def _near_seeds(made: DataFrame, rows: DataFrame) -> DataFrame:
+    """(words) of the texts that links of similarity tie to a residue, over any number of links."""
+    rest = made.filter("not residue and size > 0")
+    seen = materialize(made.filter("residue and words is not null").select("words").distinct())
+    fresh = materialize(made.filter("residue and size > 0").groupBy("words").agg(F.min("id").alias("id")))
+    while True:
+        known = materialize(made.join(fresh.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("size").alias("m"), F.explode("prefix").alias("v")))
+        entry = rest.select(F.col("id").alias("b"), F.col("size").alias("n"), F.explode("prefix").alias("v"))
+        near = known.join(entry, "v").filter((F.col("n") >= SIMILARITY * F.col("m") - 1e-9) & (F.col("m") >= SIMILARITY * F.col("n") - 1e-9)).select("a", "b").distinct()
+        near = materialize(near.join(made.select(F.col("id").alias("b"), "words"), "b").join(seen, "words", "left_anti").select("a", "b"))
+        ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
+        texts = materialize(rows.join(ends, "id", "left_semi").dropDuplicates(["id"]))
+        full = near.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        links = full.select("a", "ta", "b", "tb").mapInArrow(_similar, "a long, b long")
+        fresh = materialize(made.join(links.select(F.col("b").alias("id")), "id", "left_semi").groupBy("words").agg(F.min("id").alias("id")))
+        if fresh.isEmpty():
+            return seen
+        seen = materialize(seen.union(fresh.select("words")))
+
+
+def residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, placeholder, residue) of the documents that should be left out.
 
     ``placeholder``: one was left unfilled in the document's own text. ``residue``: filler, an error
@@ -275,21 +301,7 @@ def residue(documents: DataFrame, key: str = "doc_id", text: str = "text", merge
     no rows; other columns are not read.
     """
     rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
-    made = materialize(rows.mapInArrow(_reader, "id long, words binary, simhash long, placeholder boolean, residue boolean"))
-    # Texts of equal masked words are one class; a class has one SimHash.
-    classes = made.filter("words is not null").groupBy("words").agg(F.min("id").alias("rep"), F.first("simhash").alias("simhash"), F.max("residue").alias("seed"))
-    classes = materialize(classes)
-    entry = classes.select("rep", "simhash", F.explode(F.array(*_table_keys("simhash"))).alias("key"))
-    x, y = entry.select(F.col("rep").alias("a"), F.col("simhash").alias("sa"), "key"), entry.select(F.col("rep").alias("b"), F.col("simhash").alias("sb"), "key")
-    near = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= HAMMING)).select("a", "b").distinct()
-    near = materialize(near)
-    ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    texts = materialize(rows.join(ends, "id", "left_semi").dropDuplicates(["id"]))
-    full = near.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    links = full.select("a", "ta", "b", "tb").mapInArrow(_similar, "a long, b long")
-    label = components(links, merge_rows)
-    grouped = classes.join(label.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    trusted = grouped.groupBy("component").agg(F.max("seed").alias("seed")).filter("seed").select("component")
-    held = grouped.join(trusted, "component", "left_semi").select("words", F.lit(True).alias("spread"))
-    out = made.join(held, "words", "left").withColumn("residue", F.coalesce("spread", "residue"))
+    made = materialize(rows.mapInArrow(_with_prefix(_reader), "id long, words binary, simhash long, placeholder boolean, residue boolean, size int, prefix array<long>"))
+    held = _near_seeds(made, rows).select("words", F.lit(True).alias("spread"))
+    out = made.select("id", "words", "placeholder", "residue").join(held, "words", "left").withColumn("residue", F.coalesce("spread", "residue"))
     return out.filter("placeholder or residue").groupBy("id").agg(F.max("placeholder").alias("placeholder"), F.max("residue").alias("residue"))
