@@ -64,3 +64,13 @@ def test_bfs(spark, edges):
 def test_empty_graph(spark):
     none = spark.createDataFrame([], "src string, dst string")
     assert gr.pagerank(none, 2).count() == 0 and gr.hits(none, 2).count() == 0
+
+
+def test_base_set_200_keeps_in_links_from_the_sixth_on(spark, small):
+    from tidemark.plans import graph as plans
+
+    root, links = plans._root(spark, small), plans.successors(spark, small)
+    into = {r.src for r in links.join(root.withColumnRenamed("id", "dst"), "dst", "left_semi").collect()}
+    count = links.join(root.withColumnRenamed("id", "dst"), "dst", "left_semi").groupBy("dst").count().agg({"count": "max"}).first()[0]
+    assert 5 < count <= 200
+    assert into <= {r.id for r in plans.QUERIES["base_set_200"](spark, small).collect()}

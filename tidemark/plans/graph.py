@@ -37,6 +37,11 @@ def _base(s: SparkSession, d: str) -> DataFrame:
     return gr.base_set(successors(s, d), _root(s, d), 5)
 
 
+def _base_200(s: SparkSession, d: str) -> DataFrame:
+    """The base set with the surveyed number of in-links (GR6), the operator's default."""
+    return gr.base_set(successors(s, d), _root(s, d))
+
+
 def _hits_top(column: str):
     def query(s: SparkSession, d: str) -> DataFrame:
         e = supplies(s, d)
@@ -79,6 +84,8 @@ QUERIES = {
     "hits_top_hub": _hits_top("hub"),
     "base_set": _base,
     "induced_subgraph": lambda s, d: gr.induced(successors(s, d), _base(s, d)),
+    "base_set_200": _base_200,
+    "induced_subgraph_200": lambda s, d: gr.induced(successors(s, d), _base_200(s, d)),
     "bfs_depth": lambda s, d: gr.bfs(successors(s, d), s.createDataFrame([(1,)], "id long"), 3),
     "link_lists": _link_lists,
     "frontier_except": _frontier_except,
@@ -88,6 +95,7 @@ QUERIES = {
 _TOP = "select row_number() over (order by score desc, id) rank, id, score, in_degree, out_degree from (select id, round({c}, 12) score from {t}) join deg using (id) order by score desc, id limit 500"
 _ROOT = f"root as (select p_partkey id from part where p_size = {ROOT_SIZE})"
 _BASE = f"{SUCCESSOR}, {_ROOT}, ins as (select src, row_number() over (partition by dst order by md5(src::varchar), src) r from edges where dst in (select id from root)), base as (select id from root union select dst from edges where src in (select id from root) union select src from ins where r <= 5)"
+_BASE_200 = _BASE.replace("r <= 5", "r <= 200")
 
 ORACLES = {
     "degrees": f"with {BIPARTITE}, {DEGREES} select * from deg",
@@ -101,6 +109,8 @@ ORACLES = {
     "hits_top_hub": f"with {BIPARTITE}, {DEGREES}, {hits(3)} " + _TOP.format(c="hub", t="h3"),
     "base_set": f"with {_BASE} select id from base",
     "induced_subgraph": f"with {_BASE} select src, dst from edges where src in (select id from base) and dst in (select id from base)",
+    "base_set_200": f"with {_BASE_200} select id from base",
+    "induced_subgraph_200": f"with {_BASE_200} select src, dst from edges where src in (select id from base) and dst in (select id from base)",
     "bfs_depth": f"with {SUCCESSOR}, d0 as (select 1::bigint id, 0 depth), d1 as (select distinct dst id, 1 depth from edges join d0 on id = src where dst not in (select id from d0)), s1 as (select * from d0 union all select * from d1), d2 as (select distinct dst id, 2 depth from edges join d1 on id = src where dst not in (select id from s1)), s2 as (select * from s1 union all select * from d2), d3 as (select distinct dst id, 3 depth from edges join d2 on id = src where dst not in (select id from s2)) select * from s2 union all select * from d3",
     "link_lists": f"with {SUCCESSOR}, {DEGREES}, i as (select dst id, string_agg(src::varchar, ',' order by src) l from edges group by all), o as (select src id, string_agg(dst::varchar, ',' order by dst) l from edges group by all) select id, coalesce(i.l, '') in_links, coalesce(o.l, '') out_links from deg left join i using (id) left join o using (id)",
     "frontier_except": f"with {SUCCESSOR}, {_ROOT} select dst id from edges where src in (select id from root) except select id from root",
