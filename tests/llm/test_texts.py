@@ -163,3 +163,21 @@ def test_mixing_with_a_total_and_without_rows(spark):
     assert by == {"a": (180, 2), "b": (60, 1)}
     taken, report = mixed_sources(sized(spark, []), targets(spark, ("a", 1.0, 2)))
     assert taken.count() == 0 and [r.tokens for r in report.collect()] == [0]
+
+
+def test_near_duplicates_of_much_copied_texts_need_no_more_shared_values(spark):
+    """Many copies with many edits: the required overlap does not rise with the length of the lists."""
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(5000)]
+    base = rng.choices(pool, k=300)
+    texts = []
+    for _ in range(150):
+        made = list(base)
+        for _ in range(rng.randrange(10, 14)):
+            made[rng.randrange(300)] = rng.choice(pool)
+        texts.append(" ".join(made))
+    runs = [nd.shingles(nd.words(t), 3) for t in texts]
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if len(runs[i] & runs[j]) >= 0.6 * len(runs[i] | runs[j])}
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r.a, r.b) for r in nd.near_duplicates(df, "id", "text")[1].collect()}
+    assert got == want

@@ -3,12 +3,12 @@
 Three kinds of inverted lists give the candidates, all over hashes of word runs from one hash
 function, and all candidates are verified on the texts:
 
-* values that at most ``SHORT_LIST`` sketches retain: two records are candidates when they share
-  ``LEAST_SHARED`` such values;
+* values that at most ``SHORT_LIST`` sketches retain: their pairs are counted, and where these
+  are fewer than ``LEAST_SHARED``, the frequent values that both hold are added;
 * the more frequent values, which a site's menus or a widely copied text give rise to: records
-  with many of them enter the lists of their rarest ones only (two sketches that share more than
-  ``SPARE`` frequent values share one outside the ``SPARE`` most frequent of either), and lists
-  of any length are met in blocks;
+  enter the lists of all but their ``LEAST_SHARED - 1`` most frequent ones (two sketches that
+  share ``LEAST_SHARED`` share one of these), and lists of any length are met in blocks. As
+  menus alone let many pairs through, a signature of the 3-word runs has to agree as well;
 * records of few runs: the same with all runs in place of a sketch, which is exact.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,10 +34,33 @@ SHORT_LIST = 60
 #: Least number of shared retained values. Random edits that leave a Jaccard of 0.6 on 3-word
 #: runs leave about 0.3 on 8-word runs: of the union's 48 smallest values both hold about 14.
 LEAST_SHARED = 5
-SPARE = 14
+#: Bins of the signature, and the share of them that must agree: 4.6 standard deviations below a similarity of 0.6.
+BINS, AGREE = 128, 0.4
 #: Records with at most this many distinct runs are compared by all of them.
 FEW = 40
 BLOCK = 500
+MET = 1000
+
+
+def signature(values: np.ndarray) -> bytes:
+    """A byte for each bin of the sorted hashes: of the least hash in it, 0 where it is empty."""
+    edges = (np.arange(-BINS // 2, BINS // 2 + 1) * (2**64 // BINS)).tolist()
+    at = np.searchsorted(values, np.array([*edges[:-1], 2**63 - 1], dtype=np.int64))
+    out = np.zeros(BINS, dtype=np.uint8)
+    full = at[:-1] < at[1:]
+    out[full] = values[at[:-1][full]] % 255 + 1
+    return out.tobytes()
+
+
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the rows of signatures agree in the share ``AGREE`` of the bins that either fills."""
+    return ((x == y) & (x > 0)).sum(axis=1) >= AGREE * ((x > 0) | (y > 0)).sum(axis=1) - 1e-9
+
+
+def _agreeing_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in (2, 3))
+        yield batch.select([0, 1]).filter(pa.array(agreeing(x, y)))
 
 
 def _sketcher(size: int, k: int):
@@ -44,17 +68,18 @@ def _sketcher(size: int, k: int):
         import xxhash
 
         for batch in batches:
-            ids, keys, sketches, alls = [], [], [], []
+            ids, keys, sketches, alls, signed = [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = words(text)
                 if len(tokens) < size:
                     continue
                 ids.append(i)
                 keys.append(xxhash.xxh128_digest(" ".join(tokens)))
-                few = len(tokens) < 4 * FEW and len(values := shingle_hashes(tokens, size)) <= FEW
-                alls.append(values if few else None)
+                values = shingle_hashes(tokens, size)
+                alls.append(values if len(tokens) < 4 * FEW and len(values) <= FEW else None)
+                signed.append(signature(values))
                 sketches.append(shingle_hashes(tokens, size + LONGER)[:k])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(alls, pa.list_(pa.int64()))], names=["id", "words", "sketch", "runs"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(alls, pa.list_(pa.int64())), pa.array(signed, pa.binary())], names=["id", "words", "sketch", "runs", "signature"])
 
     return run
 
@@ -78,8 +103,8 @@ def _verifier(size: int, similarity: float):
 
 
 def sketch_table(records: DataFrame, key: str, text: str, size: int = 3, k: int = SKETCH) -> DataFrame:
-    """(id, words, sketch, runs): a digest of the word sequence, the k smallest hashes of the longer runs, and all runs of records of few."""
-    return records.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null").mapInArrow(_sketcher(size, k), "id long, words binary, sketch array<long>, runs array<long>")
+    """(id, words, sketch, runs, signature): a digest of the word sequence, the k smallest hashes of the longer runs, all runs of records of few, and :func:`signature`."""
+    return records.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null").mapInArrow(_sketcher(size, k), "id long, words binary, sketch array<long>, runs array<long>, signature binary")
 
 
 def _blocks(entries: DataFrame, need: Column) -> DataFrame:
@@ -107,6 +132,31 @@ def _blocks(entries: DataFrame, need: Column) -> DataFrame:
     return found.filter(F.col("both") >= need).select("a", "b")
 
 
+def _met(entries: DataFrame) -> DataFrame:
+    """Pairs (a, b) of entries (v, id, values, signature) of one list that share ``LEAST_SHARED`` values and agree, in blocks as above."""
+    sizes = entries.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("v", F.ceil(F.col("c") / MET).cast("int").alias("parts"))
+    met = entries.join(sizes, "v").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        ids, own = group["id"].to_numpy(), group["own"].to_numpy()
+        _, column = np.unique(np.concatenate(group["values"].to_list()), return_inverse=True)
+        holds = np.zeros((len(ids), column.max() + 1), dtype=np.float32)
+        holds[np.repeat(np.arange(len(ids)), [len(v) for v in group["values"]]), column] = 1
+        signs = np.frombuffer(b"".join(group["signature"]), dtype=np.uint8).reshape(-1, BINS)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        x, y = np.nonzero(holds[left] @ holds[right].T >= LEAST_SHARED)
+        x, y = left[x], right[y]
+        keep = ids[x] < ids[y] if i == j else ids[x] != ids[y]
+        x, y = x[keep], y[keep]
+        found = [np.flatnonzero(agreeing(signs[x[at : at + 20_000]], signs[y[at : at + 20_000]])) + at for at in range(0, len(x), 20_000)]
+        k = np.concatenate(found) if found else np.empty(0, dtype=int)
+        return pd.DataFrame({"a": np.minimum(ids[x[k]], ids[y[k]]), "b": np.maximum(ids[x[k]], ids[y[k]])})
+
+    return met.groupBy("v", "i", "j").applyInPandas(pairs, "a long, b long")
+
+
 def _rarest(values: DataFrame, keep: Column) -> DataFrame:
     """(v, id, values) for the ``keep`` rarest values of each id; ``values`` has (id, v, df)."""
     per = values.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs")).withColumn("n", F.size("vs"))
@@ -115,17 +165,25 @@ def _rarest(values: DataFrame, keep: Column) -> DataFrame:
 
 
 def candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b, of the three kinds of lists; ``classes`` has (id, sketch, runs)."""
+    """(a, b), a < b, of the three kinds of lists; ``classes`` has (id, sketch, runs, signature)."""
     posted = classes.select("id", F.explode("sketch").alias("v"))
     shared = materialize(posted.join(posted.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "v"))
     lists = shared.filter(F.col("df") <= SHORT_LIST).groupBy("v").agg(F.collect_list("id").alias("ids"))  # at most SHORT_LIST ids
     pairs = lists.select("ids", F.explode("ids").alias("a")).select("a", F.explode(F.expr("filter(ids, x -> x > a)")).alias("b"))
-    rare = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LEAST_SHARED).select("a", "b")
-    frequent = _blocks(_rarest(shared.filter(F.col("df") > SHORT_LIST), F.col("n") - SPARE), F.lit(SPARE + 1))
+    counted = materialize(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")))
+    rare = counted.filter(F.col("c") >= LEAST_SHARED).select("a", "b")
+    often = shared.filter(F.col("df") > SHORT_LIST)
+    signs = classes.select("id", "signature")
+    # Few rare values, and the rest frequent ones.
+    held = materialize(often.groupBy("id").agg(F.collect_list("v").alias("values")).join(signs, "id"))
+    sides = [held.select(F.col("id").alias(x), F.col("values").alias(f"v{x}"), F.col("signature").alias(f"s{x}")) for x in "ab"]
+    mixed = counted.filter(F.col("c") < LEAST_SHARED).join(sides[0], "a").filter(F.size("va") + F.col("c") >= LEAST_SHARED).join(sides[1], "b")
+    mixed = mixed.filter(F.size(F.array_intersect("va", "vb")) + F.col("c") >= LEAST_SHARED).select("a", "b", "sa", "sb").mapInArrow(_agreeing_pairs, "a long, b long")
+    frequent = _met(_rarest(often, F.col("n") - LEAST_SHARED + 1).join(signs, "id"))
     runs = classes.filter("runs is not null").select("id", F.explode("runs").alias("v"))
     runs = runs.join(runs.groupBy("v").agg(F.count(F.lit(1)).alias("df")), "v")
     few = _blocks(_rarest(runs, F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1), F.ceil(similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9))
-    return rare.unionByName(frequent).unionByName(few).distinct()
+    return rare.unionByName(mixed).unionByName(frequent).unionByName(few).distinct()
 
 
 def near_duplicates(records: DataFrame, key: str, text: str, size: int = 3, similarity: float = 0.6, k: int = SKETCH) -> tuple[DataFrame, DataFrame]:
@@ -141,7 +199,7 @@ def near_duplicates(records: DataFrame, key: str, text: str, size: int = 3, simi
     member = made.select("id", "words").distinct()
     member = materialize(member.join(member.groupBy("words").agg(F.min("id").alias("rep")), "words").select("id", "rep"))
     again = made.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("id")  # delivered twice
-    first = made.join(member.filter("id != rep").select("id"), "id", "left_anti").select("id", "sketch", "runs")
+    first = made.join(member.filter("id != rep").select("id"), "id", "left_anti").select("id", "sketch", "runs", "signature")
     classes = first.join(again, "id", "left_anti").unionByName(first.join(again, "id", "left_semi").dropDuplicates(["id"]))
     pairs = materialize(candidates(classes, similarity))
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
