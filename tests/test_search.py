@@ -1,5 +1,6 @@
 """Analysis, index and ranking on three hand-made documents."""
 
+import inspect
 import math
 
 import pytest
@@ -151,3 +152,28 @@ def test_index_round_trip(spark, index, tmp_path):
 def test_empty_collection(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert rk.bm25_scores(ix.Index.build(none), queries(spark, (1, "x", 1))).count() == 0
+
+
+def test_topic_queries_take_the_surveyed_sizes(spark, small, monkeypatch):
+    from tidemark.operators import topics as tp
+    from tidemark.plans import topics as plans
+
+    seen = {}
+
+    def noting(name):
+        made = getattr(tp, name)
+
+        def run(*args, **kwargs):
+            bound = inspect.signature(made).bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen[name] = {k: bound.arguments[k] for k in ("size", "k", "iterations", "starts") if k in bound.arguments}
+            return made(*args, **kwargs)
+
+        monkeypatch.setattr(tp, name, run)
+
+    for name in ("count_pipeline", "fit_lda", "best_kmeans"):
+        noting(name)
+    assert plans.QUERIES["lda_topics_200"](spark, small).select("topic").distinct().count() == 200
+    assert seen == {"count_pipeline": {"size": 1 << 16}, "fit_lda": {"k": 200, "iterations": 20}}
+    plans.QUERIES["kmeans_pair_eval"](spark, small).collect()
+    assert seen["best_kmeans"] == {"k": 10, "starts": 20}
