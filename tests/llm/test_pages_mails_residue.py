@@ -191,3 +191,12 @@ def _trusting_of(reader):
             yield pa.RecordBatch.from_arrays([*out.columns[:4], pa.array(trusted, pa.bool_())], names=out.schema.names)
 
     return run
+
+
+def test_short_paragraphs_go_with_a_found_one(spark):
+    old = "The surveyor in Port Anna compared the whole list of the ships and sent the corrected table to the harbour office yesterday evening."
+    short = "The boats left at seven sharp."
+    t = lambda d: datetime(2014, 1, d)
+    rows = [(1, "plan", old + "\n\n" + short, "ann@a.example", t(1)), (2, "Re: plan", f"I agree with that.\n\n{old}\n\n{short}", "bob@b.example", t(2)), (3, "Re: plan", f"I agree with you all here.\n\n{short}", "eve@e.example", t(3))]
+    df = spark.createDataFrame(rows, "email_id long, subject string, text string, from_addr string, received_at timestamp")
+    assert {tuple(r) for r in new_text(df).collect()} == {(1, 1), (1, 3), (2, 1), (3, 1), (3, 3)}

@@ -20,7 +20,8 @@ from tidemark.llm.text import shingle_hashes, words
 from tidemark.session import materialize
 
 RUN = 5
-#: A span needs so many words in common with its ancestor, and this share of its own runs.
+#: A paragraph needs so many words to be found by itself, and this share of its runs in an ancestor.
+#: Shorter ones need all their runs in an ancestor that holds a longer one of the same mail.
 SPAN_WORDS, SPAN_SHARE = 12, 0.8
 #: Mails of one sender that must end with a line before it counts as a closing.
 RECURRING = 3
@@ -303,7 +304,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     import xxhash
 
-    paragraph = pa.struct([("begin", pa.int32()), ("last", pa.int32()), ("digest", pa.int64()), ("runs", pa.list_(pa.int64()))])
+    paragraph = pa.struct([("begin", pa.int32()), ("last", pa.int32()), ("digest", pa.int64()), ("short", pa.bool_()), ("runs", pa.list_(pa.int64()))])
     for batch in batches:
         cols: list[list] = [[], [], [], [], [], [], []]
         for i, sender, order, reply, text in zip(*(batch.column(c).to_pylist() for c in range(5))):
@@ -312,9 +313,9 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = []
             for span in _spans(new):
                 tokens = words("\n".join(lines[k] for k in span))
-                if len(tokens) >= SPAN_WORDS:
+                if len(tokens) >= RUN:
                     digest = xxhash.xxh64_intdigest(" ".join(tokens)) - 2**63
-                    spans.append({"begin": span[0] + 1, "last": span[-1] + 1, "digest": digest, "runs": shingle_hashes(tokens, RUN) if reply else None})
+                    spans.append({"begin": span[0] + 1, "last": span[-1] + 1, "digest": digest, "short": len(tokens) < SPAN_WORDS, "runs": shingle_hashes(tokens, RUN) if reply else None})
             tail = [" ".join(lines[k].split()).casefold() for k in new[-3:] if not re.search(r"[.!?…]\s*$", lines[k])] if len(new) > 3 else []
             for col, value in zip(cols, (i, sender, order, [k + 1 for k in new], shingle_hashes(words(text), RUN), spans, tail)):
                 col.append(value)
@@ -330,7 +331,8 @@ def _held(made: DataFrame) -> DataFrame:
     away. For the rest, an ancestor that holds ``need`` of the ``met`` runs with earlier holders
     holds one of the ``met - need + 1`` rarest of them, so that all earlier holders of these are compared.
     """
-    paragraphs = made.select("id", "ord", F.explode("spans").alias("s")).select("id", "ord", "s.*")
+    every = made.select("id", "ord", F.explode("spans").alias("s")).select("id", "ord", "s.*")
+    paragraphs = every.filter("not short")
     asked = paragraphs.filter("runs is not null").withColumn("need", F.ceil(F.size("runs") * SPAN_SHARE - 1e-9).cast("int"))
     holders = made.select(F.col("id").alias("ancestor"), F.col("ord").alias("older"), F.explode("runs").alias("v"))
     earliest = holders.groupBy("v").agg(F.min("older").alias("first"), F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -345,7 +347,17 @@ def _held(made: DataFrame) -> DataFrame:
     pairs = rarest.join(holders, "v").filter("older < ord").select("id", "begin", "ancestor").distinct()
     full = pairs.join(asked.select("id", "begin", "last", "need", F.col("runs").alias("own")), ["id", "begin"]).join(made.select(F.col("id").alias("ancestor"), "runs"), "ancestor")
     compared = full.filter(F.size(F.array_intersect("own", "runs")) >= F.col("need")).select("id", "begin", "last")
-    return able.filter("best >= need").select("id", "begin", "last").unionByName(equal).unionByName(compared).distinct()
+    found = materialize(able.filter("best >= need").select("id", "begin", "last").unionByName(equal).unionByName(compared).distinct())
+    # Short paragraphs: of the mails with a found one, those that an ancestor of a found one holds all of.
+    short = every.filter("short and runs is not null").join(found.select("id").distinct(), "id", "left_semi").select("id", "ord", F.col("begin").alias("at"), F.col("last").alias("until"), F.col("runs").alias("few"))
+    once = short.select("id", "ord", "at", F.explode("few").alias("v")).join(earliest, "v").groupBy("id", "ord", "at").agg(F.min(F.struct("df", "v")).alias("x"), F.max("first").alias("first"), F.count(F.lit(1)).alias("c"))
+    once = once.filter("first < ord").select("id", "ord", "at", "c", "x.v")
+    near = once.join(holders, "v").filter("older < ord").select("id", "at", "c", "ancestor")
+    own = found.join(asked.select("id", "begin", "need", "runs"), ["id", "begin"]).groupBy("id").agg(F.collect_list(F.struct("need", F.col("runs").alias("own"))).alias("owns"))
+    whole = near.join(short.select("id", "at", "until", "few"), ["id", "at"]).join(made.select(F.col("id").alias("ancestor"), "runs"), "ancestor")
+    whole = whole.filter("c = size(few) and size(array_intersect(few, runs)) = size(few)").select("id", "at", "until", "runs").join(own, "id")
+    whole = whole.filter("exists(owns, x -> size(array_intersect(x.own, runs)) >= x.need)").select("id", F.col("at").alias("begin"), F.col("until").alias("last"))
+    return found.unionByName(whole).distinct()
 
 
 def new_text(mails: DataFrame, key: str = "email_id", subject: str = "subject", text: str = "text", sender: str = "from_addr", at: str = "received_at") -> DataFrame:
@@ -365,7 +377,7 @@ def new_text(mails: DataFrame, key: str = "email_id", subject: str = "subject",
     order = materialize(rows.select("id", "at").sort("at", "id").select("id", F.monotonically_increasing_id().alias("ord")))
     reply = F.col("subject").rlike(r"(?i)^\s*(?:\[[^\]]*\]\s*)?(?:re|fw|fwd|aw|wg|sv|antw|antwort|r[ée]p|tr|rv|res|ref|i|enc)(?:\[\d+\])?\s*:")
     read = rows.join(order, "id").select("id", "sender", "ord", reply.alias("reply"), "text")
-    made = materialize(read.mapInArrow(_first_pass, "id long, sender string, ord long, new array<int>, runs array<long>, spans array<struct<begin: int, last: int, digest: long, runs: array<long>>>, tail array<string>"))
+    made = materialize(read.mapInArrow(_first_pass, "id long, sender string, ord long, new array<int>, runs array<long>, spans array<struct<begin: int, last: int, digest: long, short: boolean, runs: array<long>>>, tail array<string>"))
     spans = _held(made).select("id", F.explode(F.sequence("begin", "last")).alias("no")).distinct()
     # Recurring closings: short lines that a sender's mails end with again and again.
     ends = made.filter("sender is not null").select("id", "sender", F.explode(F.array_distinct("tail")).alias("line")).filter("length(line) between 2 and 60 and size(split(line, ' ')) <= 6")
