@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import p5_near_duplicates as nd
 from tidemark.llm.p6_distinctive import term_weights
-from tidemark.llm.p7_encode import TOKENIZERS, Encoder, encoded, token_counts
+from tidemark.llm.p7_encode import TOKENIZERS, Encoder, encoded, token_counts, tokenizer_files
 from tidemark.llm.p8_mixing import mixed_sources
 
 WORD = re.compile(r"[^\W_]+")
@@ -118,7 +118,7 @@ def test_encoding_equals_the_tokenizer(spark):
 
 
 def test_decoding_gives_the_text_back():
-    e = Encoder()
+    e = Encoder(*tokenizer_files())
     raw = {r: t for t, r in e.rank.items()}
     for text in TEXTS[1:]:
         assert b"".join(raw[i] for i in e.encode_batch([text])[0]) == text.encode()
@@ -127,7 +127,7 @@ def test_decoding_gives_the_text_back():
 def test_seams_are_compatible_exactly_when_merging_keeps_them():
     import numpy as np
 
-    e = Encoder()
+    e = Encoder(*tokenizer_files())
     raw = {r: t for t, r in e.rank.items()}
     rng = random.Random(2)
     pairs = [(rng.randrange(e.n), rng.randrange(e.n)) for _ in range(3000)] + [(rng.randrange(2000), rng.randrange(2000)) for _ in range(3000)]
@@ -181,3 +181,16 @@ def test_near_duplicates_of_much_copied_texts_need_no_more_shared_values(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = {(r.a, r.b) for r in nd.near_duplicates(df, "id", "text")[1].collect()}
     assert got == want
+
+
+def test_mixing_counts_a_document_once(spark):
+    rows = [(i, "a", 10) for i in range(40)] * 2 + [(100 + i, "b", 10) for i in range(45)] + [(1, "b", 10), (None, "a", 10), (None, "b", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    taken, report = mixed_sources(df, targets, total=900.0)
+    got = [tuple(r) for r in taken.select("doc_id", "source", "copies").collect()]
+    assert len(got) == len({g[:2] for g in got}) and all(g[0] is not None for g in got)
+    assert {g[1] for g in got if g[0] == 1} == {"a", "b"}
+    by = {r.source: r for r in report.collect()}
+    assert by["a"].tokens == 450 and by["b"].tokens == 450 and abs(by["a"].actual_share - 0.5) < 1e-9
+    assert by["a"].most_copies <= 2 and by["b"].most_copies == 1

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import drop_materialized, materialize
+from tidemark.session import drop_materialized, materialize, ship_package
 
 #: A forest of at most this many edges may be merged in one task (two longs an edge).
 MERGE_ROWS = 1_000_000
@@ -70,6 +70,7 @@ def components(edges: DataFrame, merge_rows: int = MERGE_ROWS, fan_in: int = FAN
     them (``merge_rows`` edges at most). A forest that stays larger is finished by rounds of
     large-star and small-star, which hold no more than a partition anywhere.
     """
+    ship_package(edges.sparkSession)
     edges = edges.select("a", "b").filter("a is not null and b is not null and a != b")
     now = materialize(_forests(edges))
     n, parts = now.count(), max(1, now.rdd.getNumPartitions())

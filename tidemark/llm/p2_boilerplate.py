@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.web import host
-from tidemark.session import materialize
+from tidemark.session import materialize, ship_package
 
 #: A line is the host's own if pages of so many titles, and this share of the host's, hold it;
 #: sentences and headlines, which copies of an article share too, need the larger share.
@@ -214,6 +214,7 @@ def main_body(pages: DataFrame, key: str = "page_id", url: str = "url", title: s
     The first pass leaves a few bytes for each line, so the texts are read once and never
     shuffled; votes are counted in the tasks before they are shuffled by host and line.
     """
+    ship_package(pages.sparkSession)
     site = F.regexp_replace(host(url), r"^www\.", "")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), site.alias("host"), F.col(title).alias("title"), F.col(text).alias("text"))
     rows = rows.filter("page_id is not null and text is not null")

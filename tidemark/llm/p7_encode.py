@@ -8,6 +8,7 @@ are merged exactly, pair by pair.
 
 from __future__ import annotations
 
+import ast
 import base64
 import os
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import ship_package
+
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words remembered in a worker; beyond it the memory starts anew.
@@ -25,14 +28,13 @@ _ABSENT = np.int64(2**40)
 
 
 class Encoder:
-    """Ids of texts under a vocabulary of byte strings in merge order (base64, rank)."""
+    """Ids of texts under a vocabulary of byte strings in merge order (lines of base64 and rank)."""
 
-    def __init__(self, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> None:
+    def __init__(self, vocabulary: bytes, pattern: str) -> None:
         import regex
 
-        with open(os.path.join(folder, vocabulary), "rb") as lines:
-            self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-        self.split_words = regex.compile(self._pattern(folder))
+        self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
+        self.split_words = regex.compile(pattern)
         self.longest = max(map(len, self.rank))
         n = len(self.rank)
         # The two parts of each token: those that its last merge joined.
@@ -50,18 +52,6 @@ class Encoder:
         self.single = np.array([len(t) == 1 for t, _ in sorted(self.rank.items(), key=lambda x: x[1])])
         self.cache: dict[str, list[int]] = {}
 
-    @staticmethod
-    def _pattern(folder: str) -> str:
-        """The pattern that comes with the tokenizer files."""
-        space: dict = {}
-        with open(os.path.join(folder, "__init__.py")) as code:
-            import ast
-
-            for node in ast.parse(code.read()).body:
-                if isinstance(node, ast.Assign) and node.targets[0].id == "PATTERN":
-                    space["p"] = ast.literal_eval(node.value)
-        return space["p"]
-
     def _parts(self, token: bytes, limit: int) -> tuple[int, int]:
         ids = self._merge(token, limit)
         if len(ids) != 2:
@@ -203,14 +193,31 @@ class Encoder:
         return [[i for w in ws for i in get[w]] for ws in split]
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+def tokenizer_files(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> tuple[bytes, str]:
+    """The vocabulary file as it is, and the pattern of words that comes with it."""
+    with open(os.path.join(folder, vocabulary), "rb") as lines:
+        data = lines.read()
+    with open(os.path.join(folder, "__init__.py")) as code:
+        body = ast.parse(code.read()).body
+    pattern = next(ast.literal_eval(x.value) for x in body if isinstance(x, ast.Assign) and getattr(x.targets[0], "id", "") == "PATTERN")
+    return data, pattern
+
+
+_encoders: dict[tuple[int, str], Encoder] = {}
 
 
-def encoder(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Encoder:
+def encoder(files: tuple[bytes, str]) -> Encoder:
     """One encoder for each worker and vocabulary."""
-    if (folder, vocabulary) not in _encoders:
-        _encoders[folder, vocabulary] = Encoder(folder, vocabulary)
-    return _encoders[folder, vocabulary]
+    key = (hash(files[0]), files[1])
+    if key not in _encoders:
+        _encoders[key] = Encoder(*files)
+    return _encoders[key]
+
+
+def _broadcast_files(documents: DataFrame, folder: str, vocabulary: str):
+    """The tokenizer's files for the workers: of the size of one vocabulary (about a megabyte), whatever the corpus."""
+    ship_package(documents.sparkSession)
+    return documents.sparkSession.sparkContext.broadcast(tokenizer_files(folder, vocabulary))
 
 
 def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -221,8 +228,10 @@ def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", folde
     other columns are not read; an empty table gives no rows.
     """
 
+    files = _broadcast_files(documents, folder, vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(folder, vocabulary)
+        enc = encoder(files.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # lists of ids are wide in Python
                 part = batch.slice(at, 500)
@@ -236,8 +245,10 @@ def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", folde
 def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, keep..., n_tokens): the number of ids of each text, the ids themselves staying in the worker."""
 
+    files = _broadcast_files(documents, folder, vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(folder, vocabulary)
+        enc = encoder(files.value)
         for batch in batches:
             sizes: list[int] = []
             texts = batch.column(batch.num_columns - 1)

@@ -49,16 +49,19 @@ def mixed_sources(sized: DataFrame, targets: DataFrame, key: str = "doc_id", tot
     of fixed size in tokens (to half a document) whose inclusion odds grow with a document's
     tokens, by order of odds(random) / odds(inclusion), the random number being a hash of
     ``seed`` and the key.
-    Documents of null or unlisted source and without tokens are not taken; null targets count
-    as 0; an empty table gives no rows. Shares are of the tokens taken, all sources together.
+    A document is a key within a source: rows that repeat both count once, with the most tokens
+    given for it; one key in two sources is two documents. Documents of null key, of null or
+    unlisted source and without tokens are not taken; null targets count as 0, of targets that
+    repeat a source the largest share and repeats hold; an empty table gives no rows. Shares are of the tokens taken, all sources together.
 
     To the driver come one row for each source of the small target table and the counts by
     size class, at most 64 for each doubling of the largest document.
     """
     spark = sized.sparkSession
-    docs = sized.select(F.col(key).alias(key), clean_source("source").alias("source"), F.col("n_tokens").cast("long").alias("n_tokens")).filter("n_tokens > 0 and source is not null")
-    wanted = {r[0]: (float(r[1] or 0), int(r[2] or 0)) for r in targets.select(clean_source("source"), "target_share", "max_repeats").collect() if r[0] is not None}
-    docs = materialize(docs)
+    docs = sized.select(F.col(key).alias(key), clean_source("source").alias("source"), F.col("n_tokens").cast("long").alias("n_tokens")).filter(F.col(key).isNotNull() & F.expr("n_tokens > 0 and source is not null"))
+    listed = targets.select(clean_source("source").alias("source"), "target_share", "max_repeats").groupBy("source").agg(F.max("target_share"), F.max("max_repeats"))
+    wanted = {r[0]: (max(0.0, float(r[1] or 0)), int(r[2] or 0)) for r in sorted(listed.filter("source is not null").collect())}
+    docs = materialize(docs.groupBy(key, "source").agg(F.max("n_tokens").alias("n_tokens")))
     size_class = F.floor(F.log2("n_tokens") * FINENESS).cast("int")
     gathered = docs.groupBy("source", size_class.alias("k")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("c")).collect()
     classes: dict[str, list[tuple[float, int]]] = {}
@@ -79,7 +82,7 @@ def mixed_sources(sized: DataFrame, targets: DataFrame, key: str = "doc_id", tot
         scale = inclusion_scale(classes[source], rest) if rest > 0.5 and copies < repeats else 0.0
         plan.append((source, share, repeats, copies, scale, rest if scale else 0.0))
     plan_table = F.broadcast(spark.createDataFrame(plan, "source string, target_share double, max_repeats int, whole int, scale double, sample double"))  # a row for each target
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "source", F.col(key).cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
     pi = F.col("scale") * F.col("n_tokens")
     order = F.when(pi >= 1, 0.0).otherwise(u / (1 - u) / (pi / (1 - pi)))
     planned = docs.join(plan_table, "source")
@@ -90,8 +93,8 @@ def mixed_sources(sized: DataFrame, targets: DataFrame, key: str = "doc_id", tot
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     upto = F.sum("n_tokens").over(Window.partitionBy("source", "_part").orderBy("_order", key).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     chosen = spread.withColumn("_middle", upto - F.col("n_tokens") / 2).join(before, ["source", "_part"]).join(plan_table.select("source", "sample"), "source")
-    chosen = chosen.filter("_middle + before <= sample").select(key, F.lit(1).alias("extra"))
-    taken = planned.join(chosen, key, "left").withColumn("copies", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int")).filter("copies > 0").select(key, "source", "n_tokens", "copies")
+    chosen = chosen.filter("_middle + before <= sample").select(key, "source", F.lit(1).alias("extra"))
+    taken = planned.join(chosen, [key, "source"], "left").withColumn("copies", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int")).filter("copies > 0").select(key, "source", "n_tokens", "copies")
     taken = materialize(taken)
     given = taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sum("copies").cast("long").alias("copies"), F.max("copies").alias("most_copies"))
     sums = given.agg(F.sum("tokens").alias("all_tokens"))
