@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.porter2 import stem
+from tidemark.session import ship_package
 
 # The token patterns results are compared under.
 INDEX_TOKEN = r"([a-z0-9]+\.)*[a-z0-9]+"
@@ -87,6 +88,7 @@ def _stem_series(terms: pd.Series) -> pd.Series:
 
 def stems(terms: DataFrame, term: str = "term") -> DataFrame:
     """(term, stem) of the distinct terms: Python sees each term once, however often it occurs."""
+    ship_package(terms.sparkSession)
     return terms.select(term).filter(F.col(term).isNotNull()).distinct().withColumn("stem", F.pandas_udf(_stem_series, "string")(term))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import ship_package
+
 MIME_SCHEMA = "path string, subject string, from_addr string, to_addr string, reply_to string, bcc string, message_id string, received array<string>, text string"
 
 
@@ -55,6 +57,7 @@ def parse_mime(files: DataFrame) -> DataFrame:
             rows = [{"path": p} | parse_message(bytes(c) if c is not None else b"") for p, c in zip(batch["path"], batch["content"])]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in MIME_SCHEMA.split(", ")])
 
+    ship_package(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, MIME_SCHEMA)
 
 
