@@ -194,3 +194,48 @@ def test_mixing_counts_a_document_once(spark):
     by = {r.source: r for r in report.collect()}
     assert by["a"].tokens == 450 and by["b"].tokens == 450 and abs(by["a"].actual_share - 0.5) < 1e-9
     assert by["a"].most_copies <= 2 and by["b"].most_copies == 1
+
+
+def _near(spark, texts, **options):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    return {(r.a, r.b) for r in nd.near_duplicates(df, "id", "text", **options)[1].collect()}
+
+
+def _all_pairs(texts, similarity=0.6):
+    """Brute force by a matrix: each pair's shared runs, of those that any two texts share."""
+    import numpy as np
+
+    sets = [runs(t) for t in texts]
+    shared = {r: k for k, r in enumerate(r for r, c in Counter(r for s in sets for r in s).items() if c > 1)}
+    holds = np.zeros((len(texts), len(shared)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        holds[i, [shared[r] for r in s if r in shared]] = 1
+    both, n = holds @ holds.T, np.array(list(map(len, sets)))
+    a, b = np.nonzero(np.triu(both >= similarity * (n[:, None] + n - both) - 1e-9, 1))
+    return set(zip(a.tolist(), b.tolist()))
+
+
+@pytest.mark.parametrize("copies, every", [(40, 12), (80, 12), (80, 13), (80, 14), (200, 13), (1000, 13)])
+def test_form_letters_of_any_number_are_found(spark, copies, every):
+    """One template in which every so-many-th word is another value: unlike runs of eight words, most of three are shared."""
+    rng = random.Random(copies * every)
+    template = [f"t{rng.randrange(4000)}" for _ in range(260)]
+    texts = [" ".join(f"s{rng.randrange(10**7)}" if i % every == every - 1 else w for i, w in enumerate(template)) for _ in range(copies)]
+    want = _all_pairs(texts)
+    got = _near(spark, texts)
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_long_texts_of_few_distinct_runs_are_compared(spark):
+    rng = random.Random(9)
+    texts = []
+    for p in range(20):
+        base = [f"p{p}x{k}" for k in range(rng.randrange(8, 20))]
+        texts += [" ".join(base * 12), " ".join(base[:-1] * 12)]
+    want = brute_pairs(list(enumerate(texts)))
+    assert len(want) > 10 and _near(spark, texts) == want
+
+
+def test_blocks_give_the_same_pairs(spark, pages):
+    texts = [t for _, t in pages]
+    assert _near(spark, texts, block=7) == _near(spark, texts)

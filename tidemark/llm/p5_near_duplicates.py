@@ -1,66 +1,70 @@
 """Problem 5: near-duplicate records, by bottom-k sketches.
 
-Three kinds of inverted lists give the candidates, all over hashes of word runs from one hash
-function, and all candidates are verified on the texts:
-
-* values that at most ``SHORT_LIST`` sketches retain: their pairs are counted, and where these
-  are fewer than ``LEAST_SHARED``, the frequent values that both hold are added;
-* the more frequent values, which a site's menus or a widely copied text give rise to: records
-  enter the lists of all but their ``LEAST_SHARED - 1`` most frequent ones (two sketches that
-  share ``LEAST_SHARED`` share one of these), and lists of any length are met in blocks. As
-  menus alone let many pairs through, a signature of the 3-word runs has to agree as well;
-* records of few runs: the same with all runs in place of a sketch, which is exact.
+One hash function over the runs of words that similarity is defined on gives each record the
+``k`` least values of its runs. A pair that is similar enough shares at least :func:`need` of them
+(what a union sketch can lack by chance, 3.7 standard deviations, is allowed for), so that the two
+share one of the ``k - need + 1`` values that are rarest in the collection, whichever order is
+taken as long as it is one for all. Records enter the inverted lists of these values only. There,
+pairs are filtered by size and by a signature of 128 bits; the pairs left over are estimated on
+their union sketches, and the rest is verified on the texts. No list is cut: long ones are met in
+blocks. All thresholds follow from ``similarity`` and hold for lists of any length.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import shingle_hashes, shingles, words
-from tidemark.session import materialize
+from tidemark.llm.text import mixed, shingle_hashes, shingles, words
+from tidemark.session import materialize, ship_package
 
 #: Values kept of each record.
-SKETCH = 48
-#: The sketches hold runs of this many words more than the runs that similarity is defined on:
-#: unrelated texts of one style share many short runs, but few long ones.
-LONGER = 5
-SHORT_LIST = 60
-#: Least number of shared retained values. Random edits that leave a Jaccard of 0.6 on 3-word
-#: runs leave about 0.3 on 8-word runs: of the union's 48 smallest values both hold about 14.
-LEAST_SHARED = 5
-#: Bins of the signature, and the share of them that must agree: 4.6 standard deviations below a similarity of 0.6.
-BINS, AGREE = 128, 0.4
-#: Records with at most this many distinct runs are compared by all of them.
-FEW = 40
-BLOCK = 500
-MET = 1000
-
-
-def signature(values: np.ndarray) -> bytes:
-    """A byte for each bin of the sorted hashes: of the least hash in it, 0 where it is empty."""
-    edges = (np.arange(-BINS // 2, BINS // 2 + 1) * (2**64 // BINS)).tolist()
-    at = np.searchsorted(values, np.array([*edges[:-1], 2**63 - 1], dtype=np.int64))
-    out = np.zeros(BINS, dtype=np.uint8)
-    full = at[:-1] < at[1:]
-    out[full] = values[at[:-1][full]] % 255 + 1
-    return out.tobytes()
-
-
-def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether the rows of signatures agree in the share ``AGREE`` of the bins that either fills."""
-    return ((x == y) & (x > 0)).sum(axis=1) >= AGREE * ((x > 0) | (y > 0)).sum(axis=1) - 1e-9
-
-
-def _agreeing_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in (2, 3))
-        yield batch.select([0, 1]).filter(pa.array(agreeing(x, y)))
+SKETCH = 64
+#: Standard deviations of an estimate that are allowed for: one pair in 10,000 at the threshold itself is lost to each filter.
+DEVIATIONS = 3.7
+#: Bits of the signature.
+BITS = 128
+#: Two tables of so many counters tell how frequent a value is; a value's estimate is the smaller of its two.
+#: They only order the values, so their size, which is fixed, decides speed and not results.
+COUNTERS = 1 << 17
+#: Records of a list that are met in one block.
+BLOCK = 1000
+
+_FACTORS = mixed(np.arange(1, BITS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def signature(values: np.ndarray) -> tuple[int, int]:
+    """128 bits, each of the value least under its own order: two records agree in a bit with probability (1 + Jaccard) / 2."""
+    least, bits = None, None
+    x = values.view(np.uint64)
+    for at in range(0, len(x), 2048):
+        part = x[at : at + 2048, None] * _FACTORS
+        now = part.min(axis=0)
+        least = now if least is None else np.minimum(least, now)
+    bits = np.packbits((mixed(least) & np.uint64(1)).astype(np.uint8))
+    first, second = bits.view(np.int64)
+    return int(first), int(second)
+
+
+def least_agreeing(similarity: float) -> int:
+    """Bits of the signature in which records of that similarity agree at least."""
+    p = (1 + similarity) / 2
+    return math.floor(BITS * p - DEVIATIONS * math.sqrt(BITS * p * (1 - p)))
+
+
+def sampled_need(similarity: float, k: int) -> int:
+    """Values of a union sketch of ``k`` that records of that similarity both hold at least."""
+    return max(1, math.ceil(k * similarity - DEVIATIONS * math.sqrt(k * similarity * (1 - similarity))))
+
+
+def need(similarity: float, k: int, n: int) -> int:
+    """Retained values that a record of ``n`` distinct runs shares at least with any similar one; exact where all are retained."""
+    return min(math.ceil(similarity * n - 1e-9), sampled_need(similarity, k))
 
 
 def _sketcher(size: int, k: int):
@@ -68,18 +72,173 @@ def _sketcher(size: int, k: int):
         import xxhash
 
         for batch in batches:
-            ids, keys, sketches, alls, signed = [], [], [], [], []
+            ids, keys, sizes, sketches, first, second = [], [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = words(text)
                 if len(tokens) < size:
                     continue
+                values = shingle_hashes(tokens, size)
                 ids.append(i)
                 keys.append(xxhash.xxh128_digest(" ".join(tokens)))
-                values = shingle_hashes(tokens, size)
-                alls.append(values if len(tokens) < 4 * FEW and len(values) <= FEW else None)
-                signed.append(signature(values))
-                sketches.append(shingle_hashes(tokens, size + LONGER)[:k])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(alls, pa.list_(pa.int64())), pa.array(signed, pa.binary())], names=["id", "words", "sketch", "runs", "signature"])
+                sizes.append(len(values))
+                sketches.append(values[:k])
+                a, b = signature(values)
+                first.append(a), second.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["id", "words", "n", "sketch", "s1", "s2"])
+
+    return run
+
+
+def sketch_table(records: DataFrame, key: str, text: str, size: int = 3, k: int = SKETCH) -> DataFrame:
+    """(id, words, n, sketch, s1, s2): a digest of the word sequence, the number of distinct runs, the ``k`` least hashes of them, and :func:`signature`."""
+    ship_package(records.sparkSession)
+    rows = records.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
+    return rows.mapInArrow(_sketcher(size, k), "id long, words binary, n int, sketch array<long>, s1 long, s2 long")
+
+
+def _cells(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of both tables that count each value."""
+    x = mixed(values.view(np.uint64))
+    return (x & np.uint64(COUNTERS - 1)).astype(np.int64), ((x >> np.uint64(32)) & np.uint64(COUNTERS - 1)).astype(np.int64) + COUNTERS
+
+
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, c) of one task: at most two tables."""
+    table = np.zeros(2 * COUNTERS, dtype=np.int64)
+    for batch in batches:
+        values = np.asarray(batch.column(0).flatten())
+        for cells in _cells(values):
+            table += np.bincount(cells, minlength=2 * COUNTERS)
+    full = np.flatnonzero(table)
+    for at in range(0, len(full), 50_000):
+        part = full[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(table[part])], names=["cell", "c"])
+
+
+def frequencies(sketches: DataFrame) -> np.ndarray:
+    """Both counter tables over all sketches: a quarter of a million numbers reach the driver, whatever the collection."""
+    counted = sketches.select("sketch").mapInArrow(_counter, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c"))
+    found = counted.toPandas()
+    table = np.zeros(2 * COUNTERS, dtype=np.int64)
+    table[found["cell"].to_numpy()] = found["c"].to_numpy()
+    return table
+
+
+def _entries(table, similarity: float, k: int, block: int, long_only: bool):
+    """(v, id, n, s1, s2, long) for the rarest retained values of each record; ``long`` where the list may exceed a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = table.value
+        for batch in batches:
+            column = batch.column(2)
+            flat, length = np.asarray(column.flatten()), np.diff(np.asarray(column.offsets))
+            if not len(flat):
+                continue
+            first, second = _cells(flat)
+            df = np.minimum(counts[first], counts[second])
+            own = np.repeat(np.arange(len(length)), length)
+            order = np.lexsort((flat, df, own))
+            place = np.arange(len(flat)) - np.repeat(np.concatenate([[0], np.cumsum(length)[:-1]]), length)
+            keep = np.array([m - need(similarity, k, n) + 1 for m, n in zip(length.tolist(), batch.column(1).to_pylist())])
+            chosen = order[place < np.repeat(keep, length)]
+            if long_only:
+                chosen = chosen[df[chosen] > block]
+                yield pa.RecordBatch.from_arrays([pa.array(flat[chosen])], names=["v"])
+                continue
+            rows = pa.array(own[chosen])
+            others = [batch.column(c).take(rows) for c in (0, 1, 3, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[chosen]), *others, pa.array(df[chosen] > block)], names=["v", "id", "n", "s1", "s2", "long"])
+
+    return run
+
+
+def _pairs_of(v, i, j, ids, n, s1, s2, own, similarity: float, agreeing: int) -> np.ndarray:
+    """Distinct pairs (two rows) within the runs of equal (v, i, j) that pass the filters of size and signature."""
+    same = (v[1:] == v[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1])
+    group = np.concatenate([[0], np.cumsum(~same)])
+    s1, s2 = s1.view(np.uint64), s2.view(np.uint64)  # of signed numbers NumPy counts the bits of the absolute value
+    found, alive, d = [], np.arange(len(v)), 0
+    while True:
+        d += 1
+        alive = alive[alive + d < len(v)]
+        alive = alive[group[alive] == group[alive + d]]
+        if not len(alive):
+            break
+        x, y = alive, alive + d
+        least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        fine = least >= similarity * most - 1e-9
+        x, y = x[fine], y[fine]
+        apart = np.bitwise_count(s1[x] ^ s1[y]).astype(np.int16) + np.bitwise_count(s2[x] ^ s2[y])
+        fine = (apart <= BITS - agreeing) & (ids[x] != ids[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+        if fine.any():
+            a, b = ids[x[fine]], ids[y[fine]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+    return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), dtype=np.int64)
+
+
+def _meet(similarity: float, agreeing: int):
+    """Pairs (a, b) of rows (v, i, j, own, id, n, s1, s2) that come sorted by list and block; a list runs on into the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = [np.asarray(batch.column(c)) for c in range(8)]
+            if held is not None:
+                table = [np.concatenate([x, y]) for x, y in zip(held, table)]
+            v, i, j = table[:3]
+            if not len(v):
+                continue
+            last = np.flatnonzero((v != v[-1]) | (i != i[-1]) | (j != j[-1]))
+            cut = last[-1] + 1 if len(last) else 0
+            held = [x[cut:] for x in table]  # one block of one list at most
+            yield from pairs([x[:cut] for x in table])
+        if held is not None:
+            yield from pairs(held)
+
+    def pairs(t) -> Iterator[pa.RecordBatch]:
+        if len(t[0]) > 1:
+            v, i, j, own, ids, n, s1, s2 = t
+            a, b = _pairs_of(v, i, j, ids, n, s1, s2, own, similarity, agreeing)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def candidates(classes: DataFrame, similarity: float, k: int = SKETCH, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b, of records that meet in a list and pass the filters; ``classes`` has (id, n, sketch, s1, s2)."""
+    spark = classes.sparkSession
+    table = spark.sparkContext.broadcast(frequencies(classes))  # two tables of COUNTERS numbers
+    rows = classes.select("id", "n", "sketch", "s1", "s2")
+    entries = rows.mapInArrow(_entries(table, similarity, k, block, False), "v long, id long, n int, s1 long, s2 long, long boolean")
+    hot = rows.mapInArrow(_entries(table, similarity, k, block, True), "v long").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    hot = materialize(hot.filter(F.col("c") > block).select("v", F.ceil(F.col("c") / block).cast("int").alias("parts")))
+    zero = F.lit(0)
+    plain = entries.withColumns({"i": zero, "j": zero, "own": zero})
+    if not hot.isEmpty():
+        # A long list is split into blocks, and each pair of blocks is a group of its own.
+        split = entries.filter("long").join(hot, "v").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        split = split.withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        rest = plain.filter("not long").unionByName(plain.filter("long").join(hot, "v", "left_anti"))
+        plain = rest.unionByName(split.drop("parts", "other"))
+    met = plain.select("v", "i", "j", "own", "id", "n", "s1", "s2").repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
+    return met.mapInArrow(_meet(similarity, least_agreeing(similarity)), "a long, b long").distinct()
+
+
+def _estimator(similarity: float, k: int):
+    """Pairs whose union sketch (the ``k`` least values of both) holds enough values that both retain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [batch.column(c) for c in (2, 3)]
+            flats, bounds = [np.asarray(s.flatten()) for s in sides], [np.asarray(s.offsets) - s.offsets[0].as_py() for s in sides]
+            keep = []
+            for r in range(batch.num_rows):
+                x, y = (f[o[r] : o[r + 1]] for f, o in zip(flats, bounds))
+                union, times = np.unique(np.concatenate([x, y]), return_counts=True)
+                both = int((times[:k] == 2).sum())
+                # Of fewer than k values in all nothing is left out, so the share is exact.
+                keep.append(both >= (sampled_need(similarity, k) if len(union) >= k else similarity * len(union) - 1e-9))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -102,114 +261,40 @@ def _verifier(size: int, similarity: float):
     return run
 
 
-def sketch_table(records: DataFrame, key: str, text: str, size: int = 3, k: int = SKETCH) -> DataFrame:
-    """(id, words, sketch, runs, signature): a digest of the word sequence, the k smallest hashes of the longer runs, all runs of records of few, and :func:`signature`."""
-    return records.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null").mapInArrow(_sketcher(size, k), "id long, words binary, sketch array<long>, runs array<long>, signature binary")
-
+def _sides(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+    """``pairs`` with the value of either end."""
+    a, b = (rows.select(F.col("id").alias(x), F.col(value).alias(f"{value}_{x}")) for x in "ab")
+    return pairs.join(b, "b").join(a, "a").select("a", f"{value}_a", "b", f"{value}_b")
 
-def _blocks(entries: DataFrame, need: Column) -> DataFrame:
-    """Pairs (a, b) of entries (v, id, values) of one list that share at least ``need`` values (of na and nb).
 
-    A list is split into blocks, and each pair of blocks is a group of its own, so that neither
-    memory nor time of a task follow the longest list.
-    """
-    sizes = entries.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("v", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
-    met = entries.join(sizes, "v").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        rows = [(x, own, set(v)) for x, own, v in zip(group["id"].tolist(), group["own"].tolist(), group["values"])]
-        left, right = [r for r in rows if r[1] == i], [r for r in rows if r[1] == j]
-        out = []
-        for x, _, s in left:
-            for y, _, t in right:
-                if (x < y or i != j) and x != y and (both := len(s & t)):
-                    out.append((min(x, y), max(x, y), both, len(s), len(t)))
-        return pd.DataFrame(out, columns=["a", "b", "both", "na", "nb"])
-
-    found = met.groupBy("v", "i", "j").applyInPandas(pairs, "a long, b long, both int, na int, nb int")
-    return found.filter(F.col("both") >= need).select("a", "b")
-
-
-def _met(entries: DataFrame) -> DataFrame:
-    """Pairs (a, b) of entries (v, id, values, signature) of one list that share ``LEAST_SHARED`` values and agree, in blocks as above."""
-    sizes = entries.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("v", F.ceil(F.col("c") / MET).cast("int").alias("parts"))
-    met = entries.join(sizes, "v").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        ids, own = group["id"].to_numpy(), group["own"].to_numpy()
-        _, column = np.unique(np.concatenate(group["values"].to_list()), return_inverse=True)
-        holds = np.zeros((len(ids), column.max() + 1), dtype=np.float32)
-        holds[np.repeat(np.arange(len(ids)), [len(v) for v in group["values"]]), column] = 1
-        signs = np.frombuffer(b"".join(group["signature"]), dtype=np.uint8).reshape(-1, BINS)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        x, y = np.nonzero(holds[left] @ holds[right].T >= LEAST_SHARED)
-        x, y = left[x], right[y]
-        keep = ids[x] < ids[y] if i == j else ids[x] != ids[y]
-        x, y = x[keep], y[keep]
-        found = [np.flatnonzero(agreeing(signs[x[at : at + 20_000]], signs[y[at : at + 20_000]])) + at for at in range(0, len(x), 20_000)]
-        k = np.concatenate(found) if found else np.empty(0, dtype=int)
-        return pd.DataFrame({"a": np.minimum(ids[x[k]], ids[y[k]]), "b": np.maximum(ids[x[k]], ids[y[k]])})
-
-    return met.groupBy("v", "i", "j").applyInPandas(pairs, "a long, b long")
-
-
-def _rarest(values: DataFrame, keep: Column) -> DataFrame:
-    """(v, id, values) for the ``keep`` rarest values of each id; ``values`` has (id, v, df)."""
-    per = values.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs")).withColumn("n", F.size("vs"))
-    per = per.withColumn("keep", keep.cast("int")).filter("keep > 0")
-    return per.select("id", F.expr("transform(vs, x -> x.v)").alias("values"), F.explode(F.expr("transform(slice(vs, 1, keep), x -> x.v)")).alias("v"))
-
-
-def candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b, of the three kinds of lists; ``classes`` has (id, sketch, runs, signature)."""
-    posted = classes.select("id", F.explode("sketch").alias("v"))
-    shared = materialize(posted.join(posted.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "v"))
-    lists = shared.filter(F.col("df") <= SHORT_LIST).groupBy("v").agg(F.collect_list("id").alias("ids"))  # at most SHORT_LIST ids
-    pairs = lists.select("ids", F.explode("ids").alias("a")).select("a", F.explode(F.expr("filter(ids, x -> x > a)")).alias("b"))
-    counted = materialize(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")))
-    rare = counted.filter(F.col("c") >= LEAST_SHARED).select("a", "b")
-    often = shared.filter(F.col("df") > SHORT_LIST)
-    signs = classes.select("id", "signature")
-    # Few rare values, and the rest frequent ones.
-    held = materialize(often.groupBy("id").agg(F.collect_list("v").alias("values")).join(signs, "id"))
-    sides = [held.select(F.col("id").alias(x), F.col("values").alias(f"v{x}"), F.col("signature").alias(f"s{x}")) for x in "ab"]
-    mixed = counted.filter(F.col("c") < LEAST_SHARED).join(sides[0], "a").filter(F.size("va") + F.col("c") >= LEAST_SHARED).join(sides[1], "b")
-    mixed = mixed.filter(F.size(F.array_intersect("va", "vb")) + F.col("c") >= LEAST_SHARED).select("a", "b", "sa", "sb").mapInArrow(_agreeing_pairs, "a long, b long")
-    frequent = _met(_rarest(often, F.col("n") - LEAST_SHARED + 1).join(signs, "id"))
-    runs = classes.filter("runs is not null").select("id", F.explode("runs").alias("v"))
-    runs = runs.join(runs.groupBy("v").agg(F.count(F.lit(1)).alias("df")), "v")
-    few = _blocks(_rarest(runs, F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1), F.ceil(similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9))
-    return rare.unionByName(mixed).unionByName(frequent).unionByName(few).distinct()
-
-
-def near_duplicates(records: DataFrame, key: str, text: str, size: int = 3, similarity: float = 0.6, k: int = SKETCH) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, key: str, text: str, size: int = 3, similarity: float = 0.6, k: int = SKETCH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Membership (id, rep) of all records of at least ``size`` words, and pairs (a, b, similarity) of different reps.
 
     Records of equal word sequences form a class under its smallest id; pairs are between
     classes, a < b, with exact similarity of their sets of ``size``-word runs of at least
     ``similarity``. Null texts and ids and shorter texts are left out; rows delivered twice
     count once; other columns are not looked at; an empty table gives two empty frames. No list
-    is cut.
+    is cut, and no threshold depends on a list's length.
     """
     made = materialize(sketch_table(records, key, text, size, k))
     member = made.select("id", "words").distinct()
     member = materialize(member.join(member.groupBy("words").agg(F.min("id").alias("rep")), "words").select("id", "rep"))
-    again = made.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("id")  # delivered twice
-    first = made.join(member.filter("id != rep").select("id"), "id", "left_anti").select("id", "sketch", "runs", "signature")
-    classes = first.join(again, "id", "left_anti").unionByName(first.join(again, "id", "left_semi").dropDuplicates(["id"]))
-    pairs = materialize(candidates(classes, similarity))
+    classes = made.join(member.filter("id != rep").select("id"), "id", "left_anti").drop("words")
+    pairs = materialize(candidates(classes, similarity, k, block))
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sketches = classes.select("id", "sketch").join(ends, "id", "left_semi").dropDuplicates(["id"])
+    likely = materialize(_sides(pairs, sketches, "sketch").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimator(similarity, k), "a long, b long"))
+    ends = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
     texts = materialize(records.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ends, "id", "left_semi").dropDuplicates(["id"]))
-    full = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return member, full.select("a", "ta", "b", "tb").mapInArrow(_verifier(size, similarity), "a long, b long, similarity double")
+    return member, _sides(likely, texts, "text").mapInArrow(_verifier(size, similarity), "a long, b long, similarity double")
 
 
 def expand_pairs(member: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All pairs of records (a < b): of different classes in ``pairs``, and within a class."""
+    """All pairs of records (a < b): of different classes in ``pairs``, and within a class.
+
+    Only for a result that has to list pairs: m exact copies give m (m - 1) / 2 rows.
+    :func:`duplicate_classes` has a row for each record instead.
+    """
     left, right = member.select(F.col("id").alias("x"), F.col("rep").alias("a")), member.select(F.col("id").alias("y"), F.col("rep").alias("b"))
     across = pairs.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
     same = left.join(right.withColumnRenamed("b", "a"), "a").filter("x < y").select("x", "y")
