@@ -5,7 +5,7 @@ One hash function over the runs of words that similarity is defined on gives eac
 (what a union sketch can lack by chance, 3.7 standard deviations, is allowed for), so that the two
 share one of the ``k - need + 1`` values that are rarest in the collection, whichever order is
 taken as long as it is one for all. Records enter the inverted lists of these values only. There,
-pairs are filtered by size and by a signature of 128 bits; the pairs left over are estimated on
+pairs are filtered by size and by a signature of 192 bits; the pairs left over are estimated on
 their union sketches, and the rest is verified on the texts. No list is cut: long ones are met in
 blocks. All thresholds follow from ``similarity`` and hold for lists of any length.
 """
@@ -28,7 +28,7 @@ SKETCH = 64
 #: Standard deviations of an estimate that are allowed for: one pair in 10,000 at the threshold itself is lost to each filter.
 DEVIATIONS = 3.7
 #: Bits of the signature.
-BITS = 128
+BITS = 192
 #: Two tables of so many counters tell how frequent a value is; a value's estimate is the smaller of its two.
 #: They only order the values, so their size, which is fixed, decides speed and not results.
 COUNTERS = 1 << 17
@@ -38,8 +38,8 @@ BLOCK = 1000
 _FACTORS = mixed(np.arange(1, BITS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def signature(values: np.ndarray) -> tuple[int, int]:
-    """128 bits, each of the value least under its own order: two records agree in a bit with probability (1 + Jaccard) / 2."""
+def signature(values: np.ndarray) -> list[int]:
+    """192 bits in three longs, each of the value least under its own order: two records agree in a bit with probability (1 + Jaccard) / 2."""
     least, bits = None, None
     x = values.view(np.uint64)
     for at in range(0, len(x), 2048):
@@ -47,8 +47,7 @@ def signature(values: np.ndarray) -> tuple[int, int]:
         now = part.min(axis=0)
         least = now if least is None else np.minimum(least, now)
     bits = np.packbits((mixed(least) & np.uint64(1)).astype(np.uint8))
-    first, second = bits.view(np.int64)
-    return int(first), int(second)
+    return bits.view(np.int64).tolist()
 
 
 def least_agreeing(similarity: float) -> int:
@@ -72,7 +71,7 @@ def _sketcher(size: int, k: int):
         import xxhash
 
         for batch in batches:
-            ids, keys, sizes, sketches, first, second = [], [], [], [], [], []
+            ids, keys, sizes, sketches, signs = [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = words(text)
                 if len(tokens) < size:
@@ -82,18 +81,17 @@ def _sketcher(size: int, k: int):
                 keys.append(xxhash.xxh128_digest(" ".join(tokens)))
                 sizes.append(len(values))
                 sketches.append(values[:k])
-                a, b = signature(values)
-                first.append(a), second.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["id", "words", "n", "sketch", "s1", "s2"])
+                signs.append(signature(values))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), *(pa.array([x[c] for x in signs], pa.int64()) for c in range(3))], names=["id", "words", "n", "sketch", "s1", "s2", "s3"])
 
     return run
 
 
 def sketch_table(records: DataFrame, key: str, text: str, size: int = 3, k: int = SKETCH) -> DataFrame:
-    """(id, words, n, sketch, s1, s2): a digest of the word sequence, the number of distinct runs, the ``k`` least hashes of them, and :func:`signature`."""
+    """(id, words, n, sketch, s1, s2, s3): a digest of the word sequence, the number of distinct runs, the ``k`` least hashes of them, and :func:`signature`."""
     ship_package(records.sparkSession)
     rows = records.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
-    return rows.mapInArrow(_sketcher(size, k), "id long, words binary, n int, sketch array<long>, s1 long, s2 long")
+    return rows.mapInArrow(_sketcher(size, k), "id long, words binary, n int, sketch array<long>, s1 long, s2 long, s3 long")
 
 
 def _cells(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +123,7 @@ def frequencies(sketches: DataFrame) -> np.ndarray:
 
 
 def _entries(table, similarity: float, k: int, block: int, long_only: bool):
-    """(v, id, n, s1, s2, long) for the rarest retained values of each record; ``long`` where the list may exceed a block."""
+    """(v, id, n, s1, s2, s3, long) for the rarest retained values of each record; ``long`` where the list may exceed a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
@@ -146,17 +144,17 @@ def _entries(table, similarity: float, k: int, block: int, long_only: bool):
                 yield pa.RecordBatch.from_arrays([pa.array(flat[chosen])], names=["v"])
                 continue
             rows = pa.array(own[chosen])
-            others = [batch.column(c).take(rows) for c in (0, 1, 3, 4)]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[chosen]), *others, pa.array(df[chosen] > block)], names=["v", "id", "n", "s1", "s2", "long"])
+            others = [batch.column(c).take(rows) for c in (0, 1, 3, 4, 5)]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[chosen]), *others, pa.array(df[chosen] > block)], names=["v", "id", "n", "s1", "s2", "s3", "long"])
 
     return run
 
 
-def _pairs_of(v, i, j, ids, n, s1, s2, own, similarity: float, agreeing: int) -> np.ndarray:
+def _pairs_of(v, i, j, own, ids, n, signs, similarity: float, agreeing: int) -> np.ndarray:
     """Distinct pairs (two rows) within the runs of equal (v, i, j) that pass the filters of size and signature."""
     same = (v[1:] == v[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1])
     group = np.concatenate([[0], np.cumsum(~same)])
-    s1, s2 = s1.view(np.uint64), s2.view(np.uint64)  # of signed numbers NumPy counts the bits of the absolute value
+    signs = [s.view(np.uint64) for s in signs]  # of signed numbers NumPy counts the bits of the absolute value
     found, alive, d = [], np.arange(len(v)), 0
     while True:
         d += 1
@@ -168,7 +166,7 @@ def _pairs_of(v, i, j, ids, n, s1, s2, own, similarity: float, agreeing: int) ->
         least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
         fine = least >= similarity * most - 1e-9
         x, y = x[fine], y[fine]
-        apart = np.bitwise_count(s1[x] ^ s1[y]).astype(np.int16) + np.bitwise_count(s2[x] ^ s2[y])
+        apart = sum(np.bitwise_count(s[x] ^ s[y]).astype(np.int16) for s in signs)
         fine = (apart <= BITS - agreeing) & (ids[x] != ids[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
         if fine.any():
             a, b = ids[x[fine]], ids[y[fine]]
@@ -177,12 +175,12 @@ def _pairs_of(v, i, j, ids, n, s1, s2, own, similarity: float, agreeing: int) ->
 
 
 def _meet(similarity: float, agreeing: int):
-    """Pairs (a, b) of rows (v, i, j, own, id, n, s1, s2) that come sorted by list and block; a list runs on into the next batch."""
+    """Pairs (a, b) of rows (v, i, j, own, id, n, s1, s2, s3) that come sorted by list and block; a list runs on into the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            table = [np.asarray(batch.column(c)) for c in range(8)]
+            table = [np.asarray(batch.column(c)) for c in range(9)]
             if held is not None:
                 table = [np.concatenate([x, y]) for x, y in zip(held, table)]
             v, i, j = table[:3]
@@ -197,19 +195,18 @@ def _meet(similarity: float, agreeing: int):
 
     def pairs(t) -> Iterator[pa.RecordBatch]:
         if len(t[0]) > 1:
-            v, i, j, own, ids, n, s1, s2 = t
-            a, b = _pairs_of(v, i, j, ids, n, s1, s2, own, similarity, agreeing)
+            a, b = _pairs_of(*t[:6], t[6:], similarity, agreeing)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
 def candidates(classes: DataFrame, similarity: float, k: int = SKETCH, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b, of records that meet in a list and pass the filters; ``classes`` has (id, n, sketch, s1, s2)."""
+    """(a, b), a < b, of records that meet in a list and pass the filters; ``classes`` has (id, n, sketch, s1, s2, s3)."""
     spark = classes.sparkSession
     table = spark.sparkContext.broadcast(frequencies(classes))  # two tables of COUNTERS numbers
-    rows = classes.select("id", "n", "sketch", "s1", "s2")
-    entries = rows.mapInArrow(_entries(table, similarity, k, block, False), "v long, id long, n int, s1 long, s2 long, long boolean")
+    rows = classes.select("id", "n", "sketch", "s1", "s2", "s3")
+    entries = rows.mapInArrow(_entries(table, similarity, k, block, False), "v long, id long, n int, s1 long, s2 long, s3 long, long boolean")
     hot = rows.mapInArrow(_entries(table, similarity, k, block, True), "v long").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     hot = materialize(hot.filter(F.col("c") > block).select("v", F.ceil(F.col("c") / block).cast("int").alias("parts")))
     zero = F.lit(0)
@@ -220,7 +217,7 @@ def candidates(classes: DataFrame, similarity: float, k: int = SKETCH, block: in
         split = split.withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
         rest = plain.filter("not long").unionByName(plain.filter("long").join(hot, "v", "left_anti"))
         plain = rest.unionByName(split.drop("parts", "other"))
-    met = plain.select("v", "i", "j", "own", "id", "n", "s1", "s2").repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
+    met = plain.select("v", "i", "j", "own", "id", "n", "s1", "s2", "s3").repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
     return met.mapInArrow(_meet(similarity, least_agreeing(similarity)), "a long, b long").distinct()
 
 
