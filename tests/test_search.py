@@ -2,6 +2,7 @@
 
 import inspect
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tidemark.operators import analysis as an
 from tidemark.operators import index as ix
 from tidemark.operators import proximity as px
 from tidemark.operators import ranking as rk
+from tidemark.operators.order import placed
 
 DOCS = [(1, "u.s. ships sank"), (2, "Ships sank near the U.S."), (3, "the the the"), (4, None), (5, "")]
 
@@ -66,6 +68,27 @@ def test_nested_lists_by_falling_frequency(index):
     assert [(p.doc_id, p.tf, p.tp) for p in row.postings] == [(3, 3, [1, 2, 3]), (2, 1, [4])]
 
 
+def test_lists_are_cut_into_blocks_and_merged(spark, docs, index):
+    posts = ix.postings(an.tokens(docs), positions=True)
+    whole = ix.nested(posts, 1)
+    assert [(r.block, r.postings[0].doc_id, r.df) for r in whole.filter("term = 'the'").orderBy("block").collect()] == [(0, 3, 2), (1, 2, 2)]
+    parts = [ix.nested(ix.postings(an.tokens(docs.filter(c)), positions=True)) for c in ("doc_id <= 2", "doc_id > 2")]
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(ix.merged_lists(parts)) == key(ix.nested(posts))
+    assert ix.nested(posts.limit(0)).count() == 0
+
+
+def test_places_in_groups(spark):
+    rows = [(g, v) for g in (1, 1, 1, 2, None) for v in range(50)]
+    df = spark.createDataFrame([(g, v, i) for i, (g, v) in enumerate(rows)], "g int, v int, i int")
+    got = {r.i: r.place for r in placed(df, ["g"], [-F.col("v"), F.col("i")]).collect()}
+    want = {}
+    for g in (1, 2, None):
+        for k, (_, i) in enumerate(sorted((-v, i) for i, (h, v) in enumerate(rows) if h == g)):
+            want[i] = k + 1
+    assert got == want
+
+
 def test_bm25_by_hand(spark, index):
     got = {r.doc_id: r.score for r in rk.bm25_scores(index, queries(spark, (1, "ships", 1), (1, "absent", 1))).collect()}
     idf = math.log(5.5 / 2.5)
@@ -121,8 +144,23 @@ def test_spans():
     assert px.greedy_span([[1, 50], [40, 49]]) == 1
 
 
-def test_proximity(spark, index):
-    got = {r.doc_id: r.score for r in px.proximity(index, queries(spark, (1, "ships", 1), (1, "near", 1))).collect()}
+def test_spans_equal_the_heap_over_lists(spark):
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(0, 40)))) for i in range(120)]
+    asked = queries(spark, (1, "a", 1), (1, "b", 2), (2, "c", 1), (2, "d", 1), (2, "e", 1), (2, "zz", 1), (3, "f", 1))
+    got = {(r.query_id, r.doc_id): (r.n_met, r.span) for r in px.spans(an.tokens(spark.createDataFrame(texts, "doc_id long, text string")), asked).collect()}
+    want = {}
+    for q, terms in ((1, "ab"), (2, "cde"), (3, "f")):
+        for i, text in texts:
+            lists = [[k for k, w in enumerate(text.split()) if w == t] for t in terms]
+            lists = [x for x in lists if x]
+            if len(lists) >= 2:
+                want[q, i] = (len(lists), px.minimal_span(lists))
+    assert got == want
+
+
+def test_proximity(spark, docs, index):
+    got = {r.doc_id: r.score for r in px.proximity(index, an.tokens(docs), queries(spark, (1, "ships", 1), (1, "near", 1))).collect()}
     assert got == pytest.approx({2: (1500 - 2) * 2 / (5 + 5)})
 
 

@@ -7,8 +7,10 @@ import heapq
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators.index import Index
+from tidemark.session import ship_package
 
 # Fixed value of the model.
 REACH = 1500
@@ -42,20 +44,47 @@ def greedy_span(lists: list[list[int]]) -> int:
     return best
 
 
-def spans(index: Index, queries: DataFrame, greedy: bool = False) -> DataFrame:
-    """(query_id, doc_id, n_met, span) where at least two different query terms occur. The index must hold positions."""
-    met = queries.join(index.postings, "term").groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "tp"))).alias("l")).filter(F.size("l") >= 2)
-    measure = greedy_span if greedy else minimal_span
+def occurrences(tokens_: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, term, pos) where tokens (doc_id, pos, term) are terms of a query; others are dropped before the shuffle."""
+    return tokens_.join(queries.select("query_id", "term").distinct(), "term").select("query_id", "doc_id", "term", "pos")
+
+
+def spans(tokens_: DataFrame, queries: DataFrame, greedy: bool = False) -> DataFrame:
+    """(query_id, doc_id, n_met, span) where at least two different query terms occur.
+
+    The minimum is found at one of the occurrences: there, the span reaches back to the earliest
+    of the last positions so far of all terms met. These are running maxima, one for each term
+    place of the longest query, over one sort of a document's occurrences.
+    """
+    met = occurrences(tokens_, queries)
+    if greedy:
+        return _greedy_spans(met)
+    words = queries.select("query_id", "term").distinct()
+    numbered = words.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("term")))
+    most = numbered.agg(F.max("k")).first()[0] or 0
+    met = tokens_.join(numbered, "term").select("query_id", "doc_id", "pos", "k")
+    upto = Window.partitionBy("query_id", "doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = met.withColumns({f"l{k}": F.max(F.when(F.col("k") == k, F.col("pos"))).over(upto) for k in range(1, most + 1)})
+    back = F.array_compact(F.array(*(F.col(f"l{k}") for k in range(1, most + 1)))) if most else F.array(F.col("pos"))
+    wide = last.select("query_id", "doc_id", F.size(back).alias("n"), (F.col("pos") - F.array_min(back)).alias("wide"))
+    # Only where all terms of the document have been met is the span one of all of them.
+    best = wide.groupBy("query_id", "doc_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "wide")).alias("b")).filter("b.n <= -2")
+    return best.select("query_id", "doc_id", (-F.col("b.n")).cast("long").alias("n_met"), F.col("b.wide").cast("long").alias("span"))
+
+
+def _greedy_spans(met: DataFrame) -> DataFrame:
+    ship_package(met.sparkSession)
+    lists = met.groupBy("query_id", "doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("tp")).groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "tp"))).alias("l")).filter(F.size("l") >= 2)
 
     @F.pandas_udf("long")
-    def span(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: measure([p.tolist() if hasattr(p, "tolist") else list(p) for p in x]))
+    def span(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: greedy_span([list(p) for p in x]))
 
-    return met.select("query_id", "doc_id", F.size("l").cast("long").alias("n_met"), span(F.transform("l", lambda x: x["tp"])).alias("span"))
+    return lists.select("query_id", "doc_id", F.size("l").cast("long").alias("n_met"), span(F.transform("l", lambda x: x["tp"])).alias("span"))
 
 
-def proximity(index: Index, queries: DataFrame) -> DataFrame:
+def proximity(index: Index, tokens_: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) = (1500 - span) |Q| / (dl + V)."""
     sizes = queries.groupBy("query_id").agg(F.sum("qtf").alias("q_len"))
-    near = spans(index, queries).join(index.docs, "doc_id").join(sizes, "query_id").crossJoin(F.broadcast(index.stats()))  # one row
+    near = spans(tokens_, queries).join(index.docs, "doc_id").join(sizes, "query_id").crossJoin(F.broadcast(index.stats()))  # one row
     return near.select("query_id", "doc_id", ((REACH - F.col("span")) * F.col("q_len") / (F.col("dl") + F.col("vocabulary"))).alias("score"))

@@ -29,10 +29,11 @@ def matches(index: Index, queries: DataFrame) -> DataFrame:
     """Query terms met with their postings, document lengths and the collection's counts.
 
     ``queries``: (query_id, term, qtf). Terms the collection lacks are dropped; each summand counts
-    qtf times. The statistics are one row; everything else is joined on keys.
+    qtf times. Only the postings of query terms are counted and joined, and they bring their
+    documents' lengths along; the statistics are one row.
     """
-    found = queries.join(index.terms, "term").join(index.postings, "term")
-    return found.join(index.docs, "doc_id").crossJoin(F.broadcast(index.stats()))  # one row
+    found, terms = index.of_terms(queries)
+    return found.join(queries.join(terms, "term"), "term").crossJoin(F.broadcast(index.stats()))  # one row
 
 
 def top(scores: DataFrame, depth: int = DEPTH, descending_ids: bool = False) -> DataFrame:
@@ -47,7 +48,7 @@ def top(scores: DataFrame, depth: int = DEPTH, descending_ids: bool = False) ->
 
 
 def _summed(index: Index, queries: DataFrame, summand: Column) -> DataFrame:
-    return matches(index, queries).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * summand).alias("score"))
+    return matches(index, queries).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * summand).alias("score"), F.max("dl").alias("dl"))
 
 
 def okapi_tf(index: Index, queries: DataFrame) -> DataFrame:
@@ -81,9 +82,9 @@ def laplace(index: Index, queries: DataFrame, depth: int = DEPTH, log2: bool = F
     log = F.log2 if log2 else F.log
     gain = _summed(index, queries, log(F.col("tf") + 1)).withColumnRenamed("score", "gain")
     sizes = _query_sizes(queries)
-    spare = sizes.select("query_id").crossJoin(F.broadcast(_shortest(index, depth).select("doc_id"))).withColumn("gain", F.lit(0.0))  # depth rows at most
-    both = gain.unionByName(spare).groupBy("query_id", "doc_id").agg(F.max("gain").alias("gain"))
-    full = both.join(index.docs, "doc_id").join(sizes, "query_id").crossJoin(F.broadcast(index.stats()))  # one row
+    spare = sizes.select("query_id").crossJoin(F.broadcast(_shortest(index, depth))).withColumn("gain", F.lit(0.0))  # depth rows at most
+    both = gain.unionByName(spare).groupBy("query_id", "doc_id").agg(F.max("gain").alias("gain"), F.max("dl").alias("dl"))
+    full = both.join(sizes, "query_id").crossJoin(F.broadcast(index.stats()))  # one row
     return full.select("query_id", "doc_id", (F.col("gain") - F.col("q_len") * log(F.col("dl") + F.col("vocabulary"))).alias("score"))
 
 
@@ -94,7 +95,7 @@ def jelinek_mercer(index: Index, queries: DataFrame, depth: int = DEPTH, lam: fl
     """
     background = (1 - lam) * F.col("ttf") / F.col("total_len")
     gain = _summed(index, queries, F.log(lam * F.col("tf") / F.col("dl") + background) - F.log(background)).withColumnRenamed("score", "gain")
-    known = queries.join(index.terms, "term").crossJoin(F.broadcast(index.stats()))  # one row
+    known = queries.join(index.of_terms(queries)[1], "term").crossJoin(F.broadcast(index.stats()))  # one row
     base = known.groupBy("query_id").agg(F.sum(F.col("qtf") * F.log(background)).alias("base"))
     return _with_rest(index, gain, base, depth)
 
@@ -110,16 +111,16 @@ def jelinek_mercer_constant(index: Index, queries: DataFrame, depth: int = DEPTH
 def _with_rest(index: Index, gain: DataFrame, base: DataFrame, depth: int) -> DataFrame:
     first = index.docs.select("doc_id").orderBy("doc_id").limit(depth)
     spare = base.select("query_id").crossJoin(F.broadcast(first)).withColumn("gain", F.lit(0.0))  # depth rows at most
-    both = gain.unionByName(spare).groupBy("query_id", "doc_id").agg(F.max("gain").alias("gain"))
+    both = gain.drop("dl").unionByName(spare).groupBy("query_id", "doc_id").agg(F.max("gain").alias("gain"))
     return both.join(base, "query_id").select("query_id", "doc_id", (F.col("gain") + F.col("base")).alias("score"))
 
 
 def category_scores(index: Index, categories: DataFrame) -> DataFrame:
     """(doc_id, score): BM25 with a category as one term: its frequencies summed, its df the largest of its terms."""
-    found = index.postings.join(F.broadcast(categories), "term")  # a list given by the caller
-    per_doc = found.groupBy("category", "doc_id").agg(F.sum("tf").alias("tf"))
-    df = categories.join(index.terms, "term").groupBy("category").agg(F.max("df").alias("df"))
-    full = per_doc.join(F.broadcast(df), "category").join(index.docs, "doc_id").crossJoin(F.broadcast(index.stats()))  # a row each category; one row
+    found, terms = index.of_terms(categories)
+    per_doc = found.join(F.broadcast(categories), "term").groupBy("category", "doc_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))  # a list given by the caller
+    df = categories.join(terms, "term").groupBy("category").agg(F.max("df").alias("df"))
+    full = per_doc.join(F.broadcast(df), "category").crossJoin(F.broadcast(index.stats()))  # a row each category; one row
     return full.groupBy("doc_id").agg(F.sum(bm25()).alias("score"))
 
 

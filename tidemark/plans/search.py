@@ -18,6 +18,8 @@ CATEGORIES = (("vessel", ("vessel", "hull", "lifeboat", "crew")), ("place", ("ha
 PHRASES = (("crew of the",), ("officials in",), ("a captain expert",), ("the crew of the",))
 NEEDLE = "cancel"
 WANTED = ("the", "harbour", "lifeboat", "u.s.", "nosuchterm")
+#: Entries of a list in one row; small, so that the test data have terms of several blocks.
+LIST_BLOCK = 500
 MARKED = ["harbour", "crew", "vessel"]
 
 
@@ -76,11 +78,17 @@ def _phrase_freq(s: SparkSession, d: str) -> DataFrame:
     return rk.phrase_freq(an.tokens(documents(s, d)), phrases(s))
 
 
+def _listed(lists: DataFrame) -> DataFrame:
+    """Whole lists as text, each entry as doc:tf:positions."""
+    entry = lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"), F.concat_ws(",", F.transform(p["tp"], lambda x: x.cast("string"))))
+    return lists.select("term", "ttf", "df", "block", F.concat_ws(" ", F.transform("postings", entry)).alias("postings"))
+
+
 def _merge(s: SparkSession, d: str) -> DataFrame:
-    """Two partial indexes, of the English documents and of all others."""
+    """The lists of two partial indexes, of the English documents and of all others, merged and sorted anew."""
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
-    parts = [ix.postings(an.tokens(table(s, d, "documents").filter(c))) for c in (english, ~english)]
-    return ix.term_stats(ix.merged(*parts)).select("term", "df", "ttf")
+    parts = [ix.nested(ix.postings(an.tokens(table(s, d, "documents").filter(c)), positions=True), LIST_BLOCK) for c in (english, ~english)]
+    return _listed(ix.merged_lists(parts, LIST_BLOCK))
 
 
 def _stats(s: SparkSession, d: str) -> DataFrame:
@@ -102,8 +110,7 @@ def _vocab_intersect(s: SparkSession, d: str) -> DataFrame:
 
 
 def _proximity(s: SparkSession, d: str) -> DataFrame:
-    i = built(s, d, positions=True)
-    return rk.top(px.proximity(i, topic_terms(s, d)))
+    return rk.top(px.proximity(built(s, d), an.tokens(documents(s, d)), topic_terms(s, d)))
 
 
 CAT_CTE = "cat as (select * from (values " + ", ".join(f"('{c}', '{t}')" for c, ts in CATEGORIES for t in ts) + ") t(category, term))"
@@ -115,6 +122,8 @@ _SPANS = """occ as (select query_id, doc_id, term, pos from q join tokens using
 w as (select a.query_id, a.doc_id, a.pos, b.term, min(b.pos) p from occ a join occ b on a.query_id = b.query_id and a.doc_id = b.doc_id and b.pos >= a.pos group by a.query_id, a.doc_id, a.pos, b.term),
 sp as (select query_id, doc_id, n_met, min(wide) span from (select query_id, doc_id, pos, max(p) - pos wide, count(*) c from w group by query_id, doc_id, pos) join two using (query_id, doc_id) where c = n_met group by query_id, doc_id, n_met)"""
 
+_LISTS = f"with {TOKENS}, pt as (select term, doc_id, count(*) tf, string_agg(pos::varchar, ',' order by pos) tp from tokens group by all), o as (select *, row_number() over (partition by term order by tf desc, doc_id) r, sum(tf) over (partition by term)::bigint ttf, count(*) over (partition by term) df from pt) select term, ttf, df, ((r - 1) // {LIST_BLOCK})::bigint block, string_agg(doc_id || ':' || tf || ':' || tp, ' ' order by r) postings from o group by all"
+
 QUERIES = {
     "okapi_tf": _run(rk.okapi_tf),
     "tf_idf": _run(rk.tf_idf),
@@ -132,8 +141,8 @@ QUERIES = {
     "phrase_freq": _phrase_freq,
     "wildcard_count": lambda s, d: rk.wildcard_counts(documents(s, d), NEEDLE),
     "proximity": _proximity,
-    "min_span": lambda s, d: px.spans(built(s, d, positions=True), topic_terms(s, d)),
-    "min_span_greedy": lambda s, d: px.spans(built(s, d, positions=True), topic_terms(s, d), greedy=True),
+    "min_span": lambda s, d: px.spans(an.tokens(documents(s, d)), topic_terms(s, d)),
+    "min_span_greedy": lambda s, d: px.spans(an.tokens(documents(s, d)), topic_terms(s, d), greedy=True),
     "term_freq": lambda s, d: ix.postings(an.tokens(documents(s, d)), positions=True).select("term", "doc_id", "tf", F.concat_ws(",", "tp").alias("tp")),
     "term_stats": lambda s, d: ix.term_stats(ix.postings(an.tokens(documents(s, d)))),
     "term_lookup": lambda s, d: ix.term_lookup(ix.term_stats(ix.postings(an.tokens(documents(s, d)))), s.createDataFrame([(t,) for t in WANTED], "term string")),
@@ -143,7 +152,7 @@ QUERIES = {
     "approx_unique_terms": lambda s, d: an.tokens(documents(s, d)).agg(F.approx_count_distinct("term").alias("unique_terms")),
     "doc_unique_stats": _unique_stats,
     "postings_merge": _merge,
-    "postings_nested": lambda s, d: ix.nested(ix.postings(an.tokens(documents(s, d)), positions=True)).select("term", "ttf", "df", F.element_at("postings", 1)["doc_id"].alias("first_doc"), F.element_at("postings", 1)["tf"].alias("first_tf")),
+    "postings_nested": lambda s, d: _listed(ix.nested(ix.postings(an.tokens(documents(s, d)), positions=True), LIST_BLOCK)),
     "stem_terms": lambda s, d: an.stems(an.tokens(documents(s, d))),
     "stemmed_stats": lambda s, d: ix.term_stats(ix.postings(an.stemmed(an.tokens(documents(s, d))))),
     "vocab_intersect": _vocab_intersect,
@@ -177,7 +186,7 @@ ORACLES = {
     "corpus_stats": f"with {INDEX} select n_docs, total_len, round(avgdl, 6) avgdl, floor(avgdl)::bigint avgdl_int, vocabulary from stats",
     "unique_terms": f"with {INDEX} select doc_id, count(*) unique_terms from post group by all",
     "doc_unique_stats": f"with {INDEX}, u as (select doc_id, count(*) u from post group by all) select count(*) n, min(u) least, max(u) most, round(avg(u), 6) mean, sum(u)::bigint total from u",
-    "postings_merge": f"with {INDEX} select * from terms",
-    "postings_nested": f"with {INDEX}, o as (select *, row_number() over (partition by term order by tf desc, doc_id) r from post) select term, ttf, df, doc_id first_doc, tf first_tf from o join terms using (term) where r = 1",
+    "postings_merge": _LISTS,
+    "postings_nested": _LISTS,
     "vocab_intersect": f"with documents as (select * from documents where lang in ('en', 'fr')), {TOKENS} select distinct term from tokens join documents using (doc_id) where lang = 'en' intersect select term from tokens join documents using (doc_id) where lang = 'fr'",
 }
