@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.index import Index
-from tidemark.session import ship_package
+from tidemark.operators.ranking import parts_of
+from tidemark.session import materialize, ship_package
 
 # Fixed value of the model.
 REACH = 1500
@@ -56,13 +57,14 @@ def spans(tokens_: DataFrame, queries: DataFrame, greedy: bool = False) -> DataF
     of the last positions so far of all terms met. These are running maxima, one for each term
     place of the longest query, over one sort of a document's occurrences.
     """
-    met = occurrences(tokens_, queries)
     if greedy:
-        return _greedy_spans(met)
+        return _greedy_spans(occurrences(tokens_, queries))
     words = queries.select("query_id", "term").distinct()
-    numbered = words.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("term")))
+    numbered = materialize(words.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("term"))))
     most = numbered.agg(F.max("k")).first()[0] or 0
-    met = tokens_.join(numbered, "term").select("query_id", "doc_id", "pos", "k")
+    # The query terms' tokens are few and are dealt out by document; met with the queries they need no shuffle.
+    asked = tokens_.join(words.select("term").distinct(), "term", "left_semi")
+    met = asked.repartition(parts_of(tokens_), "doc_id").join(numbered, "term").select("query_id", "doc_id", "pos", "k")
     upto = Window.partitionBy("query_id", "doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = met.withColumns({f"l{k}": F.max(F.when(F.col("k") == k, F.col("pos"))).over(upto) for k in range(1, most + 1)})
     back = F.array_compact(F.array(*(F.col(f"l{k}") for k in range(1, most + 1)))) if most else F.array(F.col("pos"))
@@ -86,5 +88,5 @@ def _greedy_spans(met: DataFrame) -> DataFrame:
 def proximity(index: Index, tokens_: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) = (1500 - span) |Q| / (dl + V)."""
     sizes = queries.groupBy("query_id").agg(F.sum("qtf").alias("q_len"))
-    near = spans(tokens_, queries).join(index.docs, "doc_id").join(sizes, "query_id").crossJoin(F.broadcast(index.stats()))  # one row
+    near = spans(tokens_, queries).join(index.docs, "doc_id").join(materialize(sizes), "query_id").crossJoin(F.broadcast(index.stats()))  # one row
     return near.select("query_id", "doc_id", ((REACH - F.col("span")) * F.col("q_len") / (F.col("dl") + F.col("vocabulary"))).alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.index import Index
+from tidemark.session import materialize
 
 # Fixed values of the models.
 K1, B = 1.2, 0.75
@@ -25,15 +26,43 @@ def bm25(n: str | Column = "n_docs") -> Column:
     return weight * F.log((n + 0.5) / (F.col("df") + 0.5))
 
 
-def matches(index: Index, queries: DataFrame) -> DataFrame:
+def parts_of(df: DataFrame) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Stands for a term that each query has and the ``spare`` documents hold.
+_SPARE = ""
+
+
+def matches(index: Index, queries: DataFrame, spare: DataFrame | None = None, per_query: DataFrame | None = None) -> DataFrame:
     """Query terms met with their postings, document lengths and the collection's counts.
 
     ``queries``: (query_id, term, qtf). Terms the collection lacks are dropped; each summand counts
     qtf times. Only the postings of query terms are counted and joined, and they bring their
-    documents' lengths along; the statistics are one row.
+    documents' lengths along; the statistics are one row. The few postings are dealt out by
+    document, so that scores of (query, document) pairs, many times as many, need no shuffle
+    where the queries are small enough to be broadcast.
+
+    With ``spare`` (doc_id, dl) each query meets these documents too, with the empty term and qtf 0;
+    ``per_query`` (query_id, ...) adds its columns. The query side is written once, so that the
+    planner knows its size when it chooses the join.
     """
     found, terms = index.of_terms(queries)
-    return found.join(queries.join(terms, "term"), "term").crossJoin(F.broadcast(index.stats()))  # one row
+    found = found.select("term", "doc_id", "dl", "tf")
+    if spare is not None:
+        found = found.unionByName(spare.select(F.lit(_SPARE).alias("term"), "doc_id", "dl", F.lit(0).cast("long").alias("tf")))
+        queries = queries.select("query_id", "term", "qtf").unionByName(queries.select("query_id", F.lit(_SPARE).alias("term"), F.lit(0).cast("long").alias("qtf")).distinct())
+        terms = terms.unionByName(terms.sparkSession.createDataFrame([(_SPARE, 0, 0)], terms.schema))
+    found = found.repartition(parts_of(found), "doc_id")
+    asked = queries.join(terms, "term")
+    if per_query is not None:
+        asked = asked.join(per_query, "query_id")
+    return found.join(materialize(asked), "term").crossJoin(F.broadcast(index.stats()))  # one row
+
+
+def _six_places(x: Column) -> Column:
+    """Half away from zero, as round() does by way of decimals, which is slow."""
+    return F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5) / 1e6
 
 
 def top(scores: DataFrame, depth: int = DEPTH, descending_ids: bool = False) -> DataFrame:
@@ -43,12 +72,16 @@ def top(scores: DataFrame, depth: int = DEPTH, descending_ids: bool = False) ->
     """
     order = F.desc("doc_id") if descending_ids else F.col("doc_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), order))
-    rounded = scores.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    rounded = scores.select("query_id", "doc_id", _six_places(F.col("score")).alias("score"))
     return rounded.withColumn("rank", place).filter(F.col("rank") <= depth).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
-def _summed(index: Index, queries: DataFrame, summand: Column) -> DataFrame:
-    return matches(index, queries).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * summand).alias("score"), F.max("dl").alias("dl"))
+def _summed(index: Index, queries: DataFrame, summand: Column, spare: DataFrame | None = None, per_query: DataFrame | None = None) -> DataFrame:
+    summand = F.col("qtf") * summand
+    if spare is not None:
+        summand = F.when(F.col("term") == _SPARE, 0.0).otherwise(summand)
+    kept = ["dl", *(c for c in (per_query.columns if per_query is not None else ()) if c != "query_id")]
+    return matches(index, queries, spare, per_query).groupBy("query_id", "doc_id").agg(F.sum(summand).alias("score"), *(F.max(c).alias(c) for c in kept))
 
 
 def okapi_tf(index: Index, queries: DataFrame) -> DataFrame:
@@ -72,20 +105,21 @@ def _shortest(index: Index, depth: int) -> DataFrame:
     return index.docs.orderBy("dl", "doc_id").limit(depth)
 
 
+def _first(index: Index, depth: int) -> DataFrame:
+    return index.docs.orderBy("doc_id").limit(depth)
+
+
 def laplace(index: Index, queries: DataFrame, depth: int = DEPTH, log2: bool = False) -> DataFrame:
     """Scores of every document that can be among the first ``depth`` of a query.
 
     score = sum over matches of log(tf + 1) - |Q| log(dl + V). A document without a match scores
     by its length alone, so only the ``depth`` shortest of them can count: their number is
-    ``depth`` whatever the collection's size, and they are broadcast to the queries.
+    ``depth`` whatever the collection's size.
     """
     log = F.log2 if log2 else F.log
-    gain = _summed(index, queries, log(F.col("tf") + 1)).withColumnRenamed("score", "gain")
-    sizes = _query_sizes(queries)
-    spare = sizes.select("query_id").crossJoin(F.broadcast(_shortest(index, depth))).withColumn("gain", F.lit(0.0))  # depth rows at most
-    both = gain.unionByName(spare).groupBy("query_id", "doc_id").agg(F.max("gain").alias("gain"), F.max("dl").alias("dl"))
-    full = both.join(sizes, "query_id").crossJoin(F.broadcast(index.stats()))  # one row
-    return full.select("query_id", "doc_id", (F.col("gain") - F.col("q_len") * log(F.col("dl") + F.col("vocabulary"))).alias("score"))
+    gain = _summed(index, queries, log(F.col("tf") + 1), _shortest(index, depth), _query_sizes(queries))
+    full = gain.crossJoin(F.broadcast(index.stats()))  # one row
+    return full.select("query_id", "doc_id", (F.col("score") - F.col("q_len") * log(F.col("dl") + F.col("vocabulary"))).alias("score"))
 
 
 def jelinek_mercer(index: Index, queries: DataFrame, depth: int = DEPTH, lam: float = LAMBDA) -> DataFrame:
@@ -94,25 +128,22 @@ def jelinek_mercer(index: Index, queries: DataFrame, depth: int = DEPTH, lam: fl
     Documents without a match all have the base, so the ``depth`` first ids stand for them.
     """
     background = (1 - lam) * F.col("ttf") / F.col("total_len")
-    gain = _summed(index, queries, F.log(lam * F.col("tf") / F.col("dl") + background) - F.log(background)).withColumnRenamed("score", "gain")
     known = queries.join(index.of_terms(queries)[1], "term").crossJoin(F.broadcast(index.stats()))  # one row
     base = known.groupBy("query_id").agg(F.sum(F.col("qtf") * F.log(background)).alias("base"))
-    return _with_rest(index, gain, base, depth)
+    summand = F.log(lam * F.col("tf") / F.col("dl") + background) - F.log(background)
+    return _on_base(_summed(index, queries, summand, _first(index, depth), base))
 
 
 def jelinek_mercer_constant(index: Index, queries: DataFrame, depth: int = DEPTH, lam: float = LAMBDA_CONSTANT) -> DataFrame:
     """sum over all query terms of log2((1 - lam) C / V + lam tf / dl): the background is one constant."""
     background = (1 - lam) * F.col("total_len") / F.col("vocabulary")
-    gain = _summed(index, queries, F.log2(background + lam * F.col("tf") / F.col("dl")) - F.log2(background)).withColumnRenamed("score", "gain")
     base = _query_sizes(queries).crossJoin(F.broadcast(index.stats())).select("query_id", (F.col("q_len") * F.log2(background)).alias("base"))  # one row
-    return _with_rest(index, gain, base, depth)
+    summand = F.log2(background + lam * F.col("tf") / F.col("dl")) - F.log2(background)
+    return _on_base(_summed(index, queries, summand, _first(index, depth), base))
 
 
-def _with_rest(index: Index, gain: DataFrame, base: DataFrame, depth: int) -> DataFrame:
-    first = index.docs.select("doc_id").orderBy("doc_id").limit(depth)
-    spare = base.select("query_id").crossJoin(F.broadcast(first)).withColumn("gain", F.lit(0.0))  # depth rows at most
-    both = gain.drop("dl").unionByName(spare).groupBy("query_id", "doc_id").agg(F.max("gain").alias("gain"))
-    return both.join(base, "query_id").select("query_id", "doc_id", (F.col("gain") + F.col("base")).alias("score"))
+def _on_base(gains: DataFrame) -> DataFrame:
+    return gains.select("query_id", "doc_id", (F.col("score") + F.col("base")).alias("score"))
 
 
 def category_scores(index: Index, categories: DataFrame) -> DataFrame:
