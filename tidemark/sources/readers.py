@@ -149,3 +149,24 @@ def known(rows: DataFrame, key: str, done: DataFrame) -> DataFrame:
 def grade_column(grade: Column) -> Column:
     """A grade as float, 0 where none is given."""
     return F.coalesce(grade.cast("double"), F.lit(0.0))
+
+
+def load_model(path: str):
+    """A pipeline saved by :func:`tidemark.sources.writers.save_model`."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def allowed(urls: DataFrame, rules: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
+    """Addresses that no rule (host, prefix) forbids: a path is kept out by any prefix of it, an empty prefix forbids nothing.
+
+    Prefixes are met by equality, one for each length that the rules use, so that no product of
+    addresses and rules is formed. A null path counts as /.
+    """
+    wanted = rules.filter("prefix is not null and prefix != ''").select(F.col(host).alias("_h"), F.col("prefix").alias("_p")).distinct()
+    sizes = wanted.select("_h", F.length("_p").alias("_n")).distinct().groupBy("_h").agg(F.collect_list("_n").alias("_ns"))  # distinct lengths of a host's rules
+    whole = F.coalesce(path, F.lit("/"))
+    asked = urls.select(host, path).distinct().join(sizes, F.col(host) == F.col("_h")).select(host, path, F.explode("_ns").alias("_n"))
+    shut = asked.select(host, path, F.substring(whole, F.lit(1), F.col("_n")).alias("_p")).join(wanted.withColumnRenamed("_h", host), [host, "_p"], "left_semi").select(F.col(host).alias("_h"), F.col(path).alias("_q")).distinct()
+    return urls.join(shut, F.col(host).eqNullSafe(F.col("_h")) & F.col(path).eqNullSafe(F.col("_q")), "left_anti")

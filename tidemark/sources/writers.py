@@ -73,3 +73,13 @@ def write_adjacency(lists: DataFrame, path: str) -> None:
 def write_lines(rows: DataFrame, path: str) -> None:
     """One column of strings as lines."""
     rows.select(F.col(rows.columns[0]).cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
+def save_model(model, path: str) -> None:
+    """A fitted model or pipeline, in place of an earlier one."""
+    model.write().overwrite().save(path)
+
+
+def store_clusters(clustered: DataFrame, path: str, cluster: str = "cluster") -> None:
+    """Cluster labels as a table with a folder for each cluster, so that a cluster's members are read without the others."""
+    clustered.write.mode("overwrite").partitionBy(cluster).parquet(path)
