@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 # Fixed values of the evaluators.
 CUTOFFS = (5, 10, 20, 50, 100)
+CUTOFFS_WIDE = (5, 10, 15, 20, 30, 100, 200, 500, 1000)
 LEVELS = tuple(x / 10 for x in range(11))
 RELEVANT = 1.0
 
@@ -80,6 +81,34 @@ def r_precision(j: DataFrame) -> DataFrame:
     return j.filter("n_rel > 0").groupBy("query_id").agg((F.coalesce(at, F.sum("rel")) / F.first("n_rel")).alias("rprec"))
 
 
+def r_precision_equal(j: DataFrame) -> DataFrame:
+    """(query_id, rprec): the last precision that equals the recall and is not 0, else 0."""
+    met = F.when((F.col("num_rel") > 0) & (F.col("rank") == F.col("n_rel")), F.col("precision"))
+    return j.filter("n_rel > 0").groupBy("query_id").agg(F.coalesce(F.max(met), F.lit(0.0)).alias("rprec"))
+
+
+def r_precision_graded(j: DataFrame, grades: DataFrame) -> DataFrame:
+    """(query_id, rprec) where R is the sum of a query's grades: between two ranks for a broken R, and hits over R for runs shorter than R."""
+    whole = grades.groupBy("query_id").agg(F.sum("grade").alias("r")).filter("r > 0")
+    met = j.join(whole, "query_id").withColumn("low", F.floor("r"))
+    at = lambda rank: F.coalesce(F.max(F.when(F.col("rank") == rank, F.col("precision"))), F.lit(0.0))
+    ends = met.groupBy("query_id").agg(F.max("r").alias("r"), F.max("rank").alias("n"), F.sum("rel").alias("hits"), at(F.col("low")).alias("p"), at(F.col("low") + 1).alias("q"))
+    part = F.col("r") - F.floor("r")
+    return ends.select("query_id", F.when(F.col("r") > F.col("n"), F.col("hits") / F.col("r")).otherwise((1 - part) * F.col("p") + part * F.col("q")).alias("rprec"))
+
+
+def accuracy(rows: DataFrame, probability: str, truth: str, tie: int = 1) -> DataFrame:
+    """One row (n, accuracy) of the likelier of two classes against the truth; a probability of one half gives class ``tie``. Null probabilities and truths are left out."""
+    p = F.col(probability)
+    told = F.when(p == 0.5, F.lit(tie)).otherwise((p > 0.5).cast("int"))
+    return rows.filter(p.isNotNull() & F.col(truth).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg((told == F.col(truth)).cast("double")).alias("accuracy"))
+
+
+def with_assessments(hits: DataFrame, assessments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``hits`` with the ``grade`` that an assessor gave, null where none did; the assessments are unique by ``keys``."""
+    return hits.join(assessments.select(*keys, "grade"), list(keys), "left")
+
+
 def _gain(rank: str) -> Column:
     return F.when(F.col(rank) == 1, F.col("grade")).otherwise(F.col("grade") / F.log2(rank))
 
@@ -108,9 +137,15 @@ def interpolated(j: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
     return wide.select("query_id", F.posexplode("ps").alias("i", "precision")).select("query_id", (F.col("i") / 10).alias("level"), "precision")
 
 
-def precision_recall_curve(j: DataFrame) -> DataFrame:
-    """(query_id, rank, recall, precision, monotone): ranks where recall grows, with the running least precision."""
+def precision_recall_curve(j: DataFrame, start: bool = False) -> DataFrame:
+    """(query_id, rank, recall, precision, monotone): ranks where recall grows, with the running least precision.
+
+    With ``start`` each curve begins at rank 0 with recall 0 and precision 1.
+    """
     met = j.filter("rel = 1 and n_rel > 0")
+    if start:
+        met = met.select("query_id", "rank", "recall", "precision")
+        met = met.unionByName(j.filter("n_rel > 0").select("query_id", F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision")).distinct())
     return met.select("query_id", "rank", "recall", "precision", F.min("precision").over(_upto()).alias("monotone"))
 
 

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.order import placed
 from tidemark.session import drop_materialized, materialize
 
 DAMPING = 0.85
+#: Links of one side that a row of :func:`link_lists` holds.
+LINK_BLOCK = 10_000
 #: Steps of an iteration between two written tables.
 CUT_EVERY = 4
 
@@ -64,10 +67,14 @@ def pagerank(edges: DataFrame, steps: int | None = None, tolerance: float = 1e-9
     return state.select("id", "pr")
 
 
-def hits(edges: DataFrame, steps: int) -> DataFrame:
-    """(id, auth, hub) after ``steps`` simultaneous updates from 1, each vector at L2 norm 1."""
+def hits(edges: DataFrame, steps: int = 200, tolerance: float | None = None) -> DataFrame:
+    """(id, auth, hub) after ``steps`` simultaneous updates from 1, each vector at L2 norm 1.
+
+    With ``tolerance`` the updates end once no value moves by more than that.
+    """
     links = materialize(distinct_edges(edges))
     state = vertices(links).select("id", F.lit(1.0).alias("auth"), F.lit(1.0).alias("hub"))
+    before = state
     for i in range(1, steps + 1):
         auth = links.join(state.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("a"))
         hub = links.join(state.select(F.col("id").alias("dst"), "auth"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("auth").alias("h"))
@@ -75,7 +82,12 @@ def hits(edges: DataFrame, steps: int) -> DataFrame:
         norm = raw.agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("na"), F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("nh"))
         state = raw.crossJoin(F.broadcast(norm)).select("id", (F.col("a") / F.nullif("na", F.lit(0.0))).alias("auth"), (F.col("h") / F.nullif("nh", F.lit(0.0))).alias("hub"))  # one row
         if i % 2 == 0 and i < steps:
-            state = materialize(state)
+            old, state = before, materialize(state)
+            if tolerance is not None:
+                far = state.join(old.select("id", F.col("auth").alias("a0"), F.col("hub").alias("h0")), "id").agg(F.max(F.greatest(F.abs(F.col("auth") - F.col("a0")), F.abs(F.col("hub") - F.col("h0"))))).first()[0]
+                if far is None or far <= tolerance:
+                    break
+            before = state
     return state
 
 
@@ -96,17 +108,38 @@ def base_set(edges: DataFrame, root: DataFrame, most_in: int = 200) -> DataFrame
     return root.select("id").union(out).union(into).distinct()
 
 
+def grown_base_set(edges: DataFrame, root: DataFrame, size: int = 10_000, most_in: int = 200) -> DataFrame:
+    """(id): base sets of base sets of ``root`` until ``size`` vertices are reached or no more are linked."""
+    links = materialize(distinct_edges(edges))
+    now = materialize(root.select("id").distinct())
+    n = now.count()
+    while n < size:
+        more = materialize(base_set(links, now, most_in))
+        drop_materialized(now)
+        now, reached = more, more.count()
+        if reached == n:
+            break
+        n = reached
+    return now
+
+
 def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
     """Edges with both ends in ``keep`` (id)."""
     links = distinct_edges(edges)
     return links.join(keep.select(F.col("id").alias("src")), "src", "left_semi").join(keep.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-def link_lists(edges: DataFrame) -> DataFrame:
-    """(id, in_links, out_links), sorted; a vertex without any has an empty list."""
+def link_lists(edges: DataFrame, block: int = LINK_BLOCK) -> DataFrame:
+    """(id, block, in_links, out_links), sorted, at most ``block`` of either in a row; a vertex without any has an empty list.
+
+    A hub that a third of all pages link to has many blocks, and no row or task holds all of them.
+    """
     links = distinct_edges(edges)
-    ends = links.select(F.col("dst").alias("id"), F.col("src").alias("i"), F.lit(None).cast(links.schema["dst"].dataType).alias("o")).unionByName(links.select(F.col("src").alias("id"), F.lit(None).cast(links.schema["src"].dataType).alias("i"), F.col("dst").alias("o")))
-    return ends.groupBy("id").agg(F.sort_array(F.collect_list("i")).alias("in_links"), F.sort_array(F.collect_list("o")).alias("out_links"))
+    ends = links.select(F.col("dst").alias("id"), F.lit("i").alias("side"), F.col("src").alias("other")).unionByName(links.select(F.col("src").alias("id"), F.lit("o").alias("side"), F.col("dst").alias("other")))
+    spread = placed(ends, ["id", "side"], [F.col("other")])
+    blocks = spread.withColumn("block", F.floor((F.col("place") - 1) / block).cast("long"))
+    pick = lambda side: F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("other"))))
+    return blocks.groupBy("id", "block").agg(pick("i").alias("in_links"), pick("o").alias("out_links"))  # block entries of either side at most
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, most_depth: int | None = None) -> DataFrame:

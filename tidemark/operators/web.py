@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.order import placed
+
 
 def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -88,9 +90,29 @@ def non_text_extensions(table: DataFrame) -> DataFrame:
     return table.filter(~F.col("mime").startswith("text/")).select(F.lower("ext").alias("ext")).distinct()
 
 
+def text_responses(responses: DataFrame, content_type: str = "content_type") -> DataFrame:
+    """Responses whose content type begins with text/, case and blanks around ignored; null types are none."""
+    return responses.filter(F.lower(F.trim(content_type)).startswith("text/"))
+
+
+def above(scores: DataFrame, least: float = 0.6, score: str = "score") -> DataFrame:
+    """Rows with at least the score ``least``; null and NaN scores are below any."""
+    return scores.filter((F.col(score) >= least) & ~F.isnan(score))
+
+
+def running_means(pages: DataFrame, wave: str, length: str) -> DataFrame:
+    """(wave, n, mean): pages and their mean length up to each wave, from sums of the waves. Null lengths count as 0."""
+    per = pages.groupBy(wave).agg(F.count(F.lit(1)).alias("c"), F.sum(F.coalesce(length, F.lit(0))).alias("t"))
+    upto = Window.orderBy(wave).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each wave
+    return per.select(wave, F.sum("c").over(upto).alias("n"), (F.sum("t").over(upto) / F.sum("c").over(upto)).alias("mean"))
+
+
 def round_robin(frontier: DataFrame, domain: str = "domain", order: Iterable[str] = ("depth", "url")) -> DataFrame:
-    """``frontier`` with ``turn`` (place within the domain) and rows meant to be taken by (turn, domain)."""
-    return frontier.withColumn("turn", F.row_number().over(Window.partitionBy(domain).orderBy(*order)).cast("long"))
+    """``frontier`` with ``turn`` (place within the domain) and rows meant to be taken by (turn, domain).
+
+    One domain may hold any share of the frontier; see :func:`tidemark.operators.order.placed`.
+    """
+    return placed(frontier, [domain], [F.col(c) for c in order], "turn")
 
 
 def kth_score(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -112,3 +134,8 @@ def latest(rows: DataFrame, keys: Iterable[str], order: str) -> DataFrame:
     rest = [c for c in rows.columns if c not in keys]
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_b"))
     return best.select(*keys, "_b.*")
+
+
+def with_text(labels: DataFrame, texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Labels with the text of their page; labels whose page or text is missing are skipped."""
+    return labels.join(texts.filter(F.col(text).isNotNull()), key)

@@ -11,6 +11,8 @@ from tidemark.sources.tables import table
 
 STEPS = 5
 ROOT_SIZE = 7
+#: Small, so that the test data have vertices of several blocks.
+LINK_BLOCK = 20
 
 
 def supplies(s: SparkSession, d: str) -> DataFrame:
@@ -56,8 +58,8 @@ def _pagerank_top(s: SparkSession, d: str) -> DataFrame:
 
 
 def _link_lists(s: SparkSession, d: str) -> DataFrame:
-    lists = gr.link_lists(successors(s, d))
-    return lists.select("id", F.concat_ws(",", "in_links").alias("in_links"), F.concat_ws(",", "out_links").alias("out_links"))
+    lists = gr.link_lists(successors(s, d), LINK_BLOCK)
+    return lists.select("id", "block", F.concat_ws(",", "in_links").alias("in_links"), F.concat_ws(",", "out_links").alias("out_links"))
 
 
 def _edge_union(s: SparkSession, d: str) -> DataFrame:
@@ -80,6 +82,9 @@ QUERIES = {
     "pagerank_top": _pagerank_top,
     "pagerank_converged": lambda s, d: _rounded(gr.pagerank(successors(s, d))),
     "hits_k": lambda s, d: _rounded(gr.hits(supplies(s, d), 3)),
+    "hits_converged": lambda s, d: _rounded(gr.hits(supplies(s, d), tolerance=1e-9), 9),
+    "pagerank_sum": lambda s, d: gr.pagerank(successors(s, d), STEPS).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("pr"), 9).alias("total")),
+    "base_set_grown": lambda s, d: gr.grown_base_set(successors(s, d), s.createDataFrame([(1,), (2,)], "id long"), 10**9),
     "hits_top_auth": _hits_top("auth"),
     "hits_top_hub": _hits_top("hub"),
     "base_set": _base,
@@ -112,7 +117,10 @@ ORACLES = {
     "base_set_200": f"with {_BASE_200} select id from base",
     "induced_subgraph_200": f"with {_BASE_200} select src, dst from edges where src in (select id from base) and dst in (select id from base)",
     "bfs_depth": f"with {SUCCESSOR}, d0 as (select 1::bigint id, 0 depth), d1 as (select distinct dst id, 1 depth from edges join d0 on id = src where dst not in (select id from d0)), s1 as (select * from d0 union all select * from d1), d2 as (select distinct dst id, 2 depth from edges join d1 on id = src where dst not in (select id from s1)), s2 as (select * from s1 union all select * from d2), d3 as (select distinct dst id, 3 depth from edges join d2 on id = src where dst not in (select id from s2)) select * from s2 union all select * from d3",
-    "link_lists": f"with {SUCCESSOR}, {DEGREES}, i as (select dst id, string_agg(src::varchar, ',' order by src) l from edges group by all), o as (select src id, string_agg(dst::varchar, ',' order by dst) l from edges group by all) select id, coalesce(i.l, '') in_links, coalesce(o.l, '') out_links from deg left join i using (id) left join o using (id)",
+    "link_lists": f"with {SUCCESSOR}, x as (select dst id, 'i' s, src o from edges union all select src, 'o', dst from edges), y as (select *, (row_number() over (partition by id, s order by o) - 1) // {LINK_BLOCK} block from x) select id, block::bigint as block, coalesce(string_agg(o::varchar, ',' order by o) filter (s = 'i'), '') in_links, coalesce(string_agg(o::varchar, ',' order by o) filter (s = 'o'), '') out_links from y group by all",
+    "pagerank_sum": f"with {SUCCESSOR}, {DEGREES}, {pagerank(STEPS)} select count(*) n, round(sum(pr), 9) total from p{STEPS}",
+    "hits_converged": f"with {BIPARTITE}, {DEGREES}, {hits(40)} select id, round(auth, 9) auth, round(hub, 9) hub from h40",
+    "base_set_grown": f"with recursive {SUCCESSOR}, both_ as (select src a, dst b from edges union select dst, src from edges), r(id) as (select unnest([1, 2])::bigint union select b from r join both_ on a = id) select id from r",
     "frontier_except": f"with {SUCCESSOR}, {_ROOT} select dst id from edges where src in (select id from root) except select id from root",
     "edges_without": f"with {SUCCESSOR}, {_ROOT} select src, dst from edges where src not in (select id from root) and dst not in (select id from root)",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import web as wb
@@ -58,7 +58,28 @@ def _span_time(s: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("before", before).filter("before is not null").select("event_id", *span(F.date_trunc("second", "before"), F.date_trunc("second", "ts")))
 
 
+def _types() -> Column:
+    return F.when(F.col("page_id") % 3 == 0, "text/html; charset=utf-8").when(F.col("page_id") % 3 == 1, " Text/plain").when(F.col("page_id") % 5 == 0, F.lit(None)).otherwise("application/x-text/")
+
+
+def _lengths(s: SparkSession, d: str) -> DataFrame:
+    from tidemark.operators.analysis import index_terms
+
+    rows = table(s, d, "page_text_table").filter("page_id is not null and crawl_depth is not null").select("page_id", "crawl_depth", "text").distinct()
+    return rows.select("crawl_depth", F.greatest(F.size(index_terms("text")), F.lit(0)).alias("dl"))
+
+
+def _labelled(s: SparkSession, d: str) -> DataFrame:
+    """Labels joined with the texts that are there; others are skipped."""
+    labels = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    return wb.with_text(labels, table(s, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "label", F.length("text").alias("length"))
+
+
 QUERIES = {
+    "text_responses": lambda s, d: wb.text_responses(table(s, d, "page_text_table").select("page_id", _types().alias("content_type")).distinct()),
+    "score_above": lambda s, d: wb.above(table(s, d, "training_features").select("row_id", "okapi_tf"), 0.6, "okapi_tf"),
+    "running_mean_length": lambda s, d: wb.running_means(_lengths(s, d), "crawl_depth", "dl").withColumn("mean", F.round("mean", 6)),
+    "labelled_texts": _labelled,
     "html_text": lambda s, d: pages(s, d).select("page_id", wb.html_text("html").alias("text")),
     "page_title": lambda s, d: pages(s, d).select("page_id", wb.page_title("html").alias("title")),
     "page_links": lambda s, d: wb.page_links(pages(s, d), "page_id").withColumnRenamed("src", "page_id"),
@@ -81,6 +102,10 @@ u1 as (select url, lower(regexp_extract(x, '^([^:]*)://', 1)) sc, lower(regexp_e
 u2 as (select url, sc, case when sc = 'http' then regexp_replace(h, ':80$', '') when sc = 'https' then regexp_replace(h, ':443$', '') else h end h, regexp_replace(regexp_replace(case when regexp_matches(p, '%[0-9A-Fa-f]{2}') then url_decode(p) else p end, '/(\\.{0,2}/)+', '/', 'g'), '/index\\.html?$', '/', 'i') p from u1)"""
 
 ORACLES = {
+    "text_responses": "select distinct page_id, case when page_id % 3 = 0 then 'text/html; charset=utf-8' else ' Text/plain' end content_type from page_text_table where page_id % 3 < 2",
+    "score_above": "select row_id, okapi_tf from training_features where okapi_tf >= 0.6 and not isnan(okapi_tf)",
+    "running_mean_length": "with p as (select distinct page_id, crawl_depth, text from page_text_table where page_id is not null and crawl_depth is not null), w as (select crawl_depth, count(*) c, sum(coalesce(len(regexp_extract_all(lower(text), '([a-z0-9]+\\.)*[a-z0-9]+')), 0)) t from p group by all) select crawl_depth, (sum(c) over (order by crawl_depth))::bigint n, round(sum(t) over (order by crawl_depth) / sum(c) over (order by crawl_depth), 6) mean from w",
+    "labelled_texts": "select doc_id, label, length(text) length from embeddings join documents on vec_id = doc_id where text is not null",
     "html_text": f"with {HTML} select page_id, regexp_replace(regexp_replace({_TEXT}, '\\s+', ' ', 'g'), '^ | $', '', 'g') as text from html",
     "page_title": f"with {HTML} select page_id, case when html is null or trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) = '' then 'N/A' else trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) end title from html",
     "page_links": f"with {HTML}, l as (select page_id, regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1, 'i') l from html) select page_id, generate_subscripts(l, 1)::int pos, unnest(l) href from l",
