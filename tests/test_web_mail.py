@@ -100,8 +100,20 @@ def test_received_span(spark):
 
 
 def test_addresses_and_cleaning(spark):
-    row = spark.createDataFrame([("Al <A@x.Y>", "a, b-c $5 100% it's")], "h string, t string").select(ml.address("h").alias("a"), ml.clean_text("t").alias("c"), ml.dictionary_words("t", ["b-c"]).alias("d")).first()
-    assert tuple(row) == ("a@x.y", "a b c $5 100% it's", "b-c")
+    row = spark.createDataFrame([("Al <A@x.Y>", "a, b-c $5 100% it's")], "h string, t string").select(ml.address("h").alias("a"), ml.clean_text("t").alias("c")).first()
+    assert tuple(row) == ("a@x.y", "a b c $5 100% it's")
+
+
+def test_dictionary_words_keep_their_order(spark):
+    rows = spark.createDataFrame([(1, "b-c A x A"), (2, "x"), (3, None), (4, "")], "id int, text string").withColumn("word", F.lit("clash"))
+    known = spark.createDataFrame([("b-c",), ("A",), ("A",), (None,)], "word string")
+    assert {r.id: r.text for r in ml.dictionary_words(rows, known, "id").collect()} == {1: "b-c a a", 2: "", 3: None, 4: ""}
+
+
+def test_named_zones_and_chosen_headers(spark):
+    rows = spark.createDataFrame([(["by b; Mon, 2 Jan 2006 17:05:05 EST", "by a; Mon, 2 Jan 2006 15:04:05 -0700"],), (["x; 2 Jan 2006 0:00:01 XYZ"],), ([],), (None,)], "received array<string>")
+    got = [(r.servers_count, r.span_time, r.wrong_time) for r in ml.chosen_headers(rows).collect()]
+    assert got == [(2, 60, 0), (1, None, 0), (0, None, 0), (0, None, 0)]
 
 
 def test_stratified_split_takes_the_floor_of_each_label(spark):

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.analysis import index_terms
 from tidemark.operators.index import Index
-from tidemark.session import materialize
 from tidemark.operators.ranking import bm25, matches, okapi
+from tidemark.session import materialize
 
 FEATURES = ("okapi_tf", "tf_idf", "bm25", "laplace", "jm", "title_unique_term", "text_unique_term", "text_term_appeared_in_query_len", "title_term_appeared_in_query_len", "doc_len")
 SCORES = FEATURES[:5]
@@ -39,6 +40,36 @@ def lexical_features(index: Index, queries: DataFrame) -> DataFrame:
     return full.select("query_id", "doc_id", "okapi_tf", "tf_idf", "bm25", (F.col("lap") - F.col("q_len") * F.log2(F.col("doc_len") + F.col("vocabulary"))).alias("laplace"), (F.col("jm_met") + (F.col("q_len") - F.col("met")) * F.log2("back")).alias("jm"), (F.col("met") / F.col("q_len")).alias("text_term_appeared_in_query_len"), "doc_len")
 
 
+def page_features(pages: DataFrame, queries: DataFrame, key: str = "doc_id", title: str = "title", text: str = "text") -> DataFrame:
+    """(query_id, key, title_unique_term, text_unique_term, text_term_appeared_in_query_len, title_term_appeared_in_query_len).
+
+    Of each query and each page with one of its terms in the title or text: the numbers of distinct
+    terms of title and text, and the shares of the query's terms that they hold. ``queries`` are
+    sets (query_id, term); null titles and texts have no terms. The distinct terms are taken
+    within a page's row, so one shuffle meets them with the queries.
+    """
+    of = lambda c: F.array_distinct(F.coalesce(index_terms(c), F.array().cast("array<string>")))
+    split = pages.select(key, of(title).alias("_t"), of(text).alias("_x"))
+    sizes = [F.size("_t").alias("title_unique_term"), F.size("_x").alias("text_unique_term")]
+    wide = split.select(key, *sizes, "_t", "_x", F.explode(F.array_union("_t", "_x")).alias("term"))
+    words = queries.select("query_id", "term").distinct()
+    held = wide.select(key, "title_unique_term", "text_unique_term", "term", F.array_contains("_t", F.col("term")).cast("int").alias("_in_title"), F.array_contains("_x", F.col("term")).cast("int").alias("_in_text"))
+    met = held.join(words, "term").groupBy("query_id", key).agg(F.max("title_unique_term").alias("title_unique_term"), F.max("text_unique_term").alias("text_unique_term"), F.sum("_in_text").alias("_x"), F.sum("_in_title").alias("_t"))
+    n = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    return met.join(n, "query_id").select("query_id", key, "title_unique_term", "text_unique_term", (F.col("_x") / F.col("_n")).alias("text_term_appeared_in_query_len"), (F.col("_t") / F.col("_n")).alias("title_term_appeared_in_query_len"))
+
+
+def fit_classifier(train: DataFrame, kind: str = "logistic", features: Sequence[str] = SCORES, label: str = "label"):
+    """Relevant (a label above 0) against not, by logistic regression or a linear support vector machine."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LinearSVC, LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    made = LogisticRegression if kind == "logistic" else LinearSVC
+    rows = train.filter(F.col(label).isNotNull()).withColumn("_y", (F.col(label) > 0).cast("double"))
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip"), made(featuresCol="_x", labelCol="_y", regParam=0.01, maxIter=20)]).fit(rows)
+
+
 def finite(x: Column) -> Column:
     """null for NaN and infinite values."""
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,7 +35,9 @@ def parse_message(raw: bytes) -> dict:
     for part in message.walk():
         if part.is_multipart() or part.get_content_maintype() != "text":
             continue
-        body = part.get_payload(decode=True)
+        # Only encoded parts are bytes again; others are text already.
+        encoded = str(part.get("Content-Transfer-Encoding", "")).strip().lower() in ("base64", "quoted-printable", "x-uuencode", "uuencode", "uue", "x-uue")
+        body = part.get_payload(decode=encoded)
         body = decode(body) if isinstance(body, bytes) else (body or "")
         if part.get_content_subtype() == "html":
             body = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", body)
@@ -71,11 +73,27 @@ def domain(addr: Column) -> Column:
     return F.lower(F.substring_index(addr, "@", -1))
 
 
+# Named time zones of mail headers, in hours from UTC.
+ZONES = {"UT": 0, "UTC": 0, "GMT": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7, "BST": 1, "CET": 1, "CEST": 2, "JST": 9}
+
+
 def received_time(header: Column | str) -> Column:
-    """Time in a Received header such as ``...; Mon, 2 Jan 2006 15:04:05 -0700``, as a timestamp; null if none parses."""
+    """Time in a Received header such as ``...; Mon, 2 Jan 2006 15:04:05 -0700`` (or EST), as a timestamp; null if none parses."""
     x = F.col(header) if isinstance(header, str) else header
-    found = F.regexp_extract(x, r"(\d{1,2} [A-Z][a-z]{2} \d{4} \d{1,2}:\d{2}:\d{2} [+-]\d{4})", 1)
-    return F.try_to_timestamp(F.nullif(found, F.lit("")), F.lit("d MMM yyyy H:mm:ss Z"))
+    found = F.regexp_extract(x, r"(\d{1,2} [A-Z][a-z]{2} \d{4} \d{1,2}:\d{2}:\d{2}) \(?(?:[+-]\d{4}|[A-Z]{1,4})\b", 1)
+    zone = F.regexp_extract(x, r"\d{1,2}:\d{2}:\d{2} \(?([+-]\d{4}|[A-Z]{1,4})\b", 1)
+    offset = F.try_element_at(F.create_map(*(F.lit(v) for name, hours in ZONES.items() for v in (name, f"{hours:+03d}00"))), F.nullif(zone, F.lit("")))
+    offset = F.when(zone.rlike(r"^[+-]\d{4}$"), zone).otherwise(offset)
+    return F.try_to_timestamp(F.concat(F.nullif(found, F.lit("")), F.lit(" "), offset), F.lit("d MMM yyyy H:mm:ss Z"))
+
+
+def chosen_headers(mails: DataFrame) -> DataFrame:
+    """``mails`` (parsed) with servers_count, and with span_time and wrong_time between the first server (the last header) and the last one.
+
+    Of the Received headers each server puts its own on top. Null times give null spans.
+    """
+    first, last = F.try_element_at("received", F.lit(-1)), F.try_element_at("received", F.lit(1))
+    return mails.select("*", F.greatest(F.size("received"), F.lit(0)).alias("servers_count"), *span(received_time(first), received_time(last)))
 
 
 def span(early: Column, late: Column) -> tuple[Column, Column]:
@@ -110,11 +128,15 @@ def clean_text(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(x, r"[^a-zA-Z0-9\\$%']+", " "))
 
 
-def dictionary_words(text: Column | str, words: DataFrame | Iterable[str]) -> Column:
-    """The blank-separated words that a dictionary (a list given by the caller) holds, case kept in the test, lower-cased."""
-    x = F.col(text) if isinstance(text, str) else text
-    known = F.array(*(F.lit(w) for w in words))
-    return F.when(x.isNotNull(), F.lower(F.concat_ws(" ", F.filter(F.split(x, r"\s+"), lambda w: F.array_contains(known, w)))))
+def dictionary_words(rows: DataFrame, dictionary: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, text): the blank-separated words that the dictionary (word) holds, case kept in the test, lower-cased, in their order.
+
+    A hash join of the words with the dictionary, whatever its size; keys are unique. Null texts stay null.
+    """
+    words = rows.select(key, F.posexplode(F.split(text, r"\s+")).alias("pos", "word"))
+    known = dictionary.select(F.col(dictionary.columns[0]).alias("word")).filter("word != ''").distinct()
+    kept = words.join(known, "word", "left_semi").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("l"))
+    return rows.select(key, F.col(text).isNull().alias("_none")).join(kept, key, "left").select(key, F.when(~F.col("_none"), F.coalesce(F.lower(F.concat_ws(" ", F.transform("l", lambda x: x["word"]))), F.lit(""))).alias("text"))
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, share: float = 0.2, buckets: int = 1024) -> DataFrame:
@@ -135,9 +157,14 @@ def stratified_split(rows: DataFrame, label: str, key: str, share: float = 0.2,
     return full.withColumn("part", F.when(test, "test").otherwise("train")).select(*rows.columns, "part")
 
 
-def phrase_features(freqs: DataFrame, rows: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
-    """(key, phrase_id, freq), a row for each phrase met; absent ones are 0 in the sparse reading. Ids follow the phrases' order."""
-    return freqs.join(rows.select(key), key, "left_semi").select(key, "phrase_id", "freq")
+HEADERS = ("weird_char", "weird_addr", "weird_sbj", "weird_target", "weird_content", "weird_msg_id", "servers_count", "span_time", "wrong_time")
+
+
+def feature_matrix(headers: DataFrame, freqs: DataFrame, key: str) -> DataFrame:
+    """(row_id, col_id, value): the nine header features in columns 0 to 8, then the phrases' frequencies in the order of their ids; zeros are left out."""
+    entries = F.array(*(F.struct(F.lit(i).cast("long").alias("col_id"), F.col(c).cast("double").alias("value")) for i, c in enumerate(HEADERS)))
+    head = headers.select(F.col(key).alias("row_id"), F.explode(entries).alias("x")).select("row_id", "x.col_id", "x.value").filter("value is not null and value != 0")
+    return head.unionByName(freqs.select(F.col(key).alias("row_id"), (F.col("phrase_id") + len(HEADERS)).cast("long").alias("col_id"), F.col("freq").cast("double").alias("value")))
 
 
 def vocabulary(term_docs: DataFrame) -> DataFrame:

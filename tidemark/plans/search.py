@@ -74,6 +74,15 @@ def _search_highlight(s: SparkSession, d: str) -> DataFrame:
     return first.join(documents(s, d), "doc_id").select("doc_id", "rank", "score", rk.highlighted(F.col("text"), MARKED).alias("marked"), F.substring("text", 1, 150).alias("snippet"))
 
 
+def _hits_assessed(s: SparkSession, d: str) -> DataFrame:
+    """The first hits of a search with the grades given so far: labels of the embeddings of the same numbers."""
+    from tidemark.operators.evaluation import with_assessments
+
+    given = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("grade"))
+    query = s.createDataFrame([(1, t, 1) for t in MARKED], "query_id int, term string, qtf long")
+    return with_assessments(rk.top(rk.bm25_scores(built(s, d), query), 200), given, ["doc_id"]).select("doc_id", "rank", "score", "grade")
+
+
 def _phrase_freq(s: SparkSession, d: str) -> DataFrame:
     return rk.phrase_freq(an.tokens(documents(s, d)), phrases(s))
 
@@ -138,6 +147,7 @@ QUERIES = {
     "topic_score": _topic_score,
     "crawl_priority": _crawl_priority,
     "search_highlight": _search_highlight,
+    "hits_assessed": _hits_assessed,
     "phrase_freq": _phrase_freq,
     "wildcard_count": lambda s, d: rk.wildcard_counts(documents(s, d), NEEDLE),
     "proximity": _proximity,
@@ -175,6 +185,7 @@ ORACLES = {
     "topic_score": f"with {INDEX}, {CAT_CTE}, ctf as (select category, doc_id, sum(tf) tf from cat join post using (term) group by all) select doc_id, round(sum(tf / (tf + 0.5 + 1.5 * dl / 500.0)), 6) score from ctf join docs using (doc_id) group by all",
     "crawl_priority": f"with documents as (select distinct page_id doc_id, text, crawl_depth from page_text_table where page_id is not null), {INDEX}, {CAT_CTE}, ctf as (select category, doc_id, sum(tf) tf from cat join post using (term) group by all), sc as (select doc_id, sum(tf / (tf + 0.5 + 1.5 * dl / 500.0)) score from ctf join docs using (doc_id) group by all) select doc_id page_id, round(0.8 * score + coalesce(1.0 / (1 + crawl_depth), 0), 6) page_score, round(0.2 * (0.8 * score + coalesce(1.0 / (1 + crawl_depth), 0)), 6) child_score from sc join documents using (doc_id)",
     "search_highlight": f"with {INDEX}, {_QUERY}, met as (select * from q1 join terms using (term) join post using (term) join docs using (doc_id) cross join stats), r as ({ranked(f'select 1 query_id, doc_id, sum({BM25}) s from met group by all', 200)}) select doc_id, rank, score, regexp_replace(text, '(?i)\\b({_MARK})\\b', '<mark>\\1</mark>', 'g') marked, substring(text, 1, 150) snippet from r join documents using (doc_id)",
+    "hits_assessed": f"with {INDEX}, {_QUERY}, met as (select * from q1 join terms using (term) join post using (term) join docs using (doc_id) cross join stats), r as ({ranked(f'select 1 query_id, doc_id, sum({BM25}) s from met group by all', 200)}) select doc_id, rank, score, label grade from r left join embeddings on vec_id = doc_id",
     "phrase_freq": f"with {TOKENS}, ph as (select * from (values " + ", ".join(f"({i}, {k}, '{t}', {len(p[0].split())})" for i, p in enumerate(PHRASES) for k, t in enumerate(p[0].split())) + ") t(phrase_id, k, term, len)), b as (select phrase_id, doc_id, pos - k begin_, len, count(*) met from tokens join ph using (term) group by all) select phrase_id, doc_id, count(*) freq from b where met = len group by all",
     "wildcard_count": f"select doc_id, len(regexp_extract_all(lower(text), '{NEEDLE}'))::bigint hits from documents where contains(lower(text), '{NEEDLE}')",
     "proximity": f"with {SEARCH}, {_SPANS} " + ranked("select query_id, doc_id, (1500 - span) * q_len / (dl + vocabulary) s from sp join docs using (doc_id) join qn using (query_id) cross join stats"),
