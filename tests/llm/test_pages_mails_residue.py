@@ -200,3 +200,39 @@ def test_short_paragraphs_go_with_a_found_one(spark):
     rows = [(1, "plan", old + "\n\n" + short, "ann@a.example", t(1)), (2, "Re: plan", f"I agree with that.\n\n{old}\n\n{short}", "bob@b.example", t(2)), (3, "Re: plan", f"I agree with you all here.\n\n{short}", "eve@e.example", t(3))]
     df = spark.createDataFrame(rows, "email_id long, subject string, text string, from_addr string, received_at timestamp")
     assert {tuple(r) for r in new_text(df).collect()} == {(1, 1), (1, 3), (2, 1), (3, 1), (3, 3)}
+
+
+def _mails(spark, rows):
+    return spark.createDataFrame(rows, "email_id long, subject string, text string, from_addr string, received_at timestamp")
+
+
+def test_quotation_needs_no_reply_mark_and_may_have_two_ancestors(spark):
+    one = "The surveyor in Port Anna compared the whole list of the ships and sent the corrected\ntable to the harbour office yesterday evening before the tide turned."
+    two = "Nobody at the northern pier has seen the second pilot since the storm, so the insurers\nwill want a statement from each of the lightkeepers by Friday noon."
+    t = lambda d: datetime(2014, 1, d)
+    rows = [(1, "plan", one, "ann@a.example", t(1)), (2, "pilot", two, "eve@e.example", t(1))]
+    rows += [(3, "the plan again", "I agree with that.\n" + one, "bob@b.example", t(2)), (4, "VS: plan", "Fine.\n\n" + one, "kim@k.example", t(2))]
+    rows += [(5, "both", "See these two.\n" + one + "\n" + two + "\nWhat now?", "joe@j.example", t(3))]
+    # Copies of one text of several senders, and what a sender sends again, are new; so is the earlier mail.
+    rows += [(6, "plan", one, "lea@l.example", t(4)), (7, "again", "Once more:\n" + one, "ann@a.example", t(5))]
+    got = {}
+    for r in new_text(_mails(spark, rows)).collect():
+        got.setdefault(r.email_id, []).append(r.line_no)
+    assert {k: sorted(v) for k, v in got.items()} == {1: [1, 2], 2: [1, 2], 3: [1], 4: [1], 5: [1, 6], 6: [1, 2], 7: [1, 2, 3]}
+
+
+def test_short_paragraphs_go_with_their_ancestor(spark):
+    long = "The surveyor in Port Anna compared the whole list of the ships and sent the corrected table to the harbour office."
+    old = "Please call me then.\n\n" + long
+    t = lambda d: datetime(2014, 1, d)
+    rows = [(1, "plan", old, "ann@a.example", t(1)), (2, "x", "Good.\n\n" + old, "bob@b.example", t(2)), (3, "y", "Please call me then.\n\nThe pier is closed.", "eve@e.example", t(2))]
+    got = {tuple(r) for r in new_text(_mails(spark, rows)).collect()}
+    assert got == {(1, 1), (1, 3), (2, 1), (3, 1), (3, 3)}
+
+
+def test_many_copies_of_a_long_text(spark):
+    """One text that most mails hold, under as many senders, is one row for each sender and run in the index."""
+    text = " ".join(f"word{i}" for i in range(200))
+    rows = [(i, "offer", f"Dear {i}!\n" + text, f"s{i}@x.example", None) for i in range(60)] + [(100, "offer", text, "s@x.example", None)]
+    got = {(r.email_id, r.line_no) for r in new_text(_mails(spark, rows)).collect()}
+    assert {(i, 1) for i in range(60)} | {(0, 2)} <= got

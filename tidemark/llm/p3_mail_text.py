@@ -1,9 +1,10 @@
 """Problem 3: the text newly written by the sender of an e-mail.
 
 Marks tell most of it: quote signs and their lead-ins, header blocks, closings, signatures,
-disclaimers and list footers. What carries no marks is found in the corpus: the paragraphs that a
-reply claims as its own are looked up in an inverted index of the 5-word runs of all mails, and
-those that an earlier mail holds most of are quotation.
+disclaimers and list footers. What carries no marks is found in the corpus: the lines that mails
+claim as their own are winnowed into fingerprints, and an inverted index of these tells the mails
+that share text with an earlier mail of another sender, whatever their subjects and threads. The shared stretches are
+then verified run by run and are quotation, line by line.
 Lines that one sender ends mail after mail with are closings.
 """
 
@@ -12,17 +13,22 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import shingle_hashes, words
-from tidemark.session import materialize
-
-RUN = 5
-#: A paragraph needs so many words to be found by itself, and this share of its runs in an ancestor.
-#: Shorter ones need all their runs in an ancestor that holds a longer one of the same mail.
-SPAN_WORDS, SPAN_SHARE = 12, 0.8
+from tidemark.llm.text import mixed, one_row_each, run_hashes, winnowed, word_hashes, words
+from tidemark.session import materialize, ship_package
+
+#: Fingerprints are the least of so many successive hashes of runs of so many words: a stretch of 16 words that two mails share gives a shared one.
+GRAM, WINDOW = 10, 7
+#: Words of a run that is quotation by itself. Unrelated mails of one style share up to 17.
+SPAN_WORDS = 18
+#: Share of a line's words that must lie in such runs.
+LINE_SHARE = 0.8
+#: Words of a paragraph that is quotation by itself; shorter ones of at least LEAST_WORDS are only beside other text of the same ancestor.
+PARAGRAPH_WORDS, LEAST_WORDS = 12, 4
 #: Mails of one sender that must end with a line before it counts as a closing.
 RECURRING = 3
 
@@ -75,6 +81,7 @@ _LINK = re.compile(r"^\s*(?:<?https?://\S+>?|www\.\S+|<?[\w.+-]+@[\w-]+\.[\w.-]+
 _SLOGAN = re.compile(r"^\s*[\"“”'«].{3,90}[\"“”'»]\s*$")
 _NAME = re.compile(r"^\s*[-–—~]?\s*[^\W\d_][\w'’.-]*(?:\s+[^\W\d_][\w'’.-]*){0,3}\s*$")
 _POST = re.compile(r"^\s*(?:p\.?\s?p?\.?\s?s\.?|nb|n\.b\.|post\s?scriptum)\s*[:.\-–—]?\s+\S|^\s*(?:ps|p\.s\.)\s*[:.]", re.IGNORECASE)
+_ENDED = re.compile(r"[.!?…]\s*$")
 _GREETING = re.compile(r"^\s*(?:hi|hello|dear|good\s+(?:morning|day|afternoon|evening)|hey|hallo|liebe[rs]?|guten|sehr|bonjour|bonsoir|ch[èe]re?|salut|hola|buen[oa]s|estimad[oa]|querid[oa]|to\s+whom)\b|^\s*[A-Z][\w'’-]+\s*[-–—,:!]\s*$", re.IGNORECASE)
 
 
@@ -298,106 +305,170 @@ def _spans(numbers: list[int]) -> list[list[int]]:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, sender, ord, new lines, runs of the whole text, paragraphs of own lines, last own lines).
+    """What later steps need of a mail, without its text.
 
-    A paragraph has its first and last line and a digest of its words; its runs are only kept in replies.
+    The numbers of its own lines; the winnowed fingerprints of their words; of each paragraph of own
+    lines, from each of its lines to its end, the number and a digest of the words; and the last
+    lines that may be closings, from the end (k) on.
     """
-    import xxhash
-
-    paragraph = pa.struct([("begin", pa.int32()), ("last", pa.int32()), ("digest", pa.int64()), ("short", pa.bool_()), ("runs", pa.list_(pa.int64()))])
+    part = pa.struct([("begin", pa.int32()), ("last", pa.int32()), ("n", pa.int32()), ("whole", pa.bool_()), ("digest", pa.int64())])
+    closing = pa.struct([("k", pa.int32()), ("no", pa.int32()), ("line", pa.string())])
     for batch in batches:
-        cols: list[list] = [[], [], [], [], [], [], []]
-        for i, sender, order, reply, text in zip(*(batch.column(c).to_pylist() for c in range(5))):
+        cols: list[list] = [[], [], [], [], []]
+        for i, sender, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
             lines = text.split("\n")
             new = [k for k, x in enumerate(marked(text, sender)) if x]
-            spans = []
+            found = [words(lines[k]) for k in new]
+            at, parts = 0, []
             for span in _spans(new):
-                tokens = words("\n".join(lines[k] for k in span))
-                if len(tokens) >= RUN:
-                    digest = xxhash.xxh64_intdigest(" ".join(tokens)) - 2**63
-                    spans.append({"begin": span[0] + 1, "last": span[-1] + 1, "digest": digest, "short": len(tokens) < SPAN_WORDS, "runs": shingle_hashes(tokens, RUN) if reply else None})
-            tail = [" ".join(lines[k].split()).casefold() for k in new[-3:] if not re.search(r"[.!?…]\s*$", lines[k])] if len(new) > 3 else []
-            for col, value in zip(cols, (i, sender, order, [k + 1 for k in new], shingle_hashes(words(text), RUN), spans, tail)):
+                tokens = found[at : at + len(span)]
+                at += len(span)
+                if sum(map(len, tokens)) < LEAST_WORDS:
+                    continue
+                h = word_hashes([w for line in tokens for w in line])
+                starts = np.cumsum([0, *map(len, tokens[:-1])])
+                for k, (begin, digest) in enumerate(zip(starts.tolist(), _suffix_digests(h, starts))):
+                    n = len(h) - begin
+                    if n >= (LEAST_WORDS if k == 0 else PARAGRAPH_WORDS):
+                        parts.append({"begin": span[k] + 1, "last": span[-1] + 1, "n": n, "whole": k == 0, "digest": digest})
+            fingers = winnowed(run_hashes([w for line in found for w in line], GRAM), WINDOW)
+            tail = [{"k": k, "no": no + 1, "line": low} for k, no in enumerate(reversed(new[-3:])) if not _ENDED.search(lines[no]) and 2 <= len(low := " ".join(lines[no].split()).casefold()) <= 60 and len(low.split()) <= 6] if len(new) > 3 else []
+            for col, value in zip(cols, (i, [k + 1 for k in new], fingers, parts, tail)):
                 col.append(value)
-        types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(paragraph), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "sender", "ord", "new", "runs", "spans", "tail"])
+        types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(part), pa.list_(closing)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "new", "fingers", "parts", "tail"])
+
+
+def _suffix_digests(h: np.ndarray, starts: np.ndarray) -> list[int]:
+    """A digest of the words from each start to the end: polynomials in an odd base, from one sum over all words."""
+    n = len(h)
+    with np.errstate(over="ignore"):
+        power = np.ones(n, dtype=np.uint64)
+        power[1:] = np.cumprod(np.full(n - 1, _BASE, dtype=np.uint64))
+        tail = np.cumsum((h * power)[::-1])[::-1][starts]  # sum from each start on, shifted by the start
+        return mixed(tail * power[n - 1 - starts]).view(np.int64).tolist()
 
 
-def _held(made: DataFrame) -> DataFrame:
-    """(id, begin, last) of the replies' paragraphs that one earlier mail holds ``SPAN_SHARE`` of, by their runs.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
-    Exact: no holder of a run is left out. The earliest holder of each run, and of each whole
-    paragraph, settles most paragraphs; and those whose runs too few earlier mails hold at all fall
-    away. For the rest, an ancestor that holds ``need`` of the ``met`` runs with earlier holders
-    holds one of the ``met - need + 1`` rarest of them, so that all earlier holders of these are compared.
+
+def _earliest(held: DataFrame, key: str) -> DataFrame:
+    """(key, sender1, at1, id1): of what mails of several senders hold, the earliest holder.
+
+    Holders are counted by sender before they are compared, so a key that a third of all mails
+    hold is one row for each sender.
     """
-    every = made.select("id", "ord", F.explode("spans").alias("s")).select("id", "ord", "s.*")
-    paragraphs = every.filter("not short")
-    asked = paragraphs.filter("runs is not null").withColumn("need", F.ceil(F.size("runs") * SPAN_SHARE - 1e-9).cast("int"))
-    holders = made.select(F.col("id").alias("ancestor"), F.col("ord").alias("older"), F.explode("runs").alias("v"))
-    earliest = holders.groupBy("v").agg(F.min("older").alias("first"), F.count(F.lit(1)).alias("df")).filter("df > 1")
-    met = materialize(asked.select("id", "ord", "begin", "last", "need", F.explode("runs").alias("v")).join(earliest, "v").filter("first < ord"))
-    by_first = met.groupBy("id", "ord", "begin", "last", "need", "first").agg(F.count(F.lit(1)).alias("c"))
-    able = materialize(by_first.groupBy("id", "ord", "begin", "last", "need").agg(F.max("c").alias("best"), F.sum("c").alias("met")).filter("met >= need"))
-    same = paragraphs.groupBy("digest").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    equal = asked.select("id", "ord", "begin", "last", "digest").join(same, "digest").filter("first < ord").select("id", "begin", "last")
-    open_ = able.filter("best < need").join(equal, ["id", "begin"], "left_anti").select("id", "begin", "met")
-    rarest = met.join(open_, ["id", "begin"]).groupBy("id", "ord", "begin").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.first("need").alias("need"), F.first("met").alias("met"))
-    rarest = rarest.select("id", "ord", "begin", F.explode(F.expr("slice(vs, 1, cast(met as int) - need + 1)")).alias("x")).select("id", "ord", "begin", "x.v")
-    pairs = rarest.join(holders, "v").filter("older < ord").select("id", "begin", "ancestor").distinct()
-    full = pairs.join(asked.select("id", "begin", "last", "need", F.col("runs").alias("own")), ["id", "begin"]).join(made.select(F.col("id").alias("ancestor"), "runs"), "ancestor")
-    compared = full.filter(F.size(F.array_intersect("own", "runs")) >= F.col("need")).select("id", "begin", "last")
-    found = materialize(able.filter("best >= need").select("id", "begin", "last").unionByName(equal).unionByName(compared).distinct())
-    # Short paragraphs: of the mails with a found one, those that an ancestor of a found one holds all of.
-    short = every.filter("short and runs is not null").join(found.select("id").distinct(), "id", "left_semi").select("id", "ord", F.col("begin").alias("at"), F.col("last").alias("until"), F.col("runs").alias("few"))
-    once = short.select("id", "ord", "at", F.explode("few").alias("v")).join(earliest, "v").groupBy("id", "ord", "at").agg(F.min(F.struct("df", "v")).alias("x"), F.max("first").alias("first"), F.count(F.lit(1)).alias("c"))
-    once = once.filter("first < ord").select("id", "ord", "at", "c", "x.v")
-    near = once.join(holders, "v").filter("older < ord").select("id", "at", "c", "ancestor")
-    own = found.join(asked.select("id", "begin", "need", "runs"), ["id", "begin"]).groupBy("id").agg(F.collect_list(F.struct("need", F.col("runs").alias("own"))).alias("owns"))
-    whole = near.join(short.select("id", "at", "until", "few"), ["id", "at"]).join(made.select(F.col("id").alias("ancestor"), "runs"), "ancestor")
-    whole = whole.filter("c = size(few) and size(array_intersect(few, runs)) = size(few)").select("id", "at", "until", "runs").join(own, "id")
-    whole = whole.filter("exists(owns, x -> size(array_intersect(x.own, runs)) >= x.need)").select("id", F.col("at").alias("begin"), F.col("until").alias("last"))
-    return found.unionByName(whole).distinct()
+    per = held.groupBy(key, "sender").agg(F.min(F.struct("at", "id")).alias("x"))
+    first = per.groupBy(key).agg(F.min(F.struct("x", "sender")).alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    return first.select(key, F.col("m.sender").alias("sender1"), F.col("m.x.at").alias("at1"), F.col("m.x.id").alias("id1"))
+
+
+def _by_ancestor(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """``rows`` (key, id, at, sender, ...) whose key another sender's mail held first, with that ``ancestor``."""
+    met = rows.join(_earliest(held, key), key).filter("sender != sender1 and (at1 < at or (at1 = at and id1 < id))")
+    return met.select(*rows.columns, F.col("id1").alias("ancestor"))
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, numbers, starts, runs): own lines, the place of the first word of each, and the hashes of all runs in order."""
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        for i, text, new in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            lines = text.split("\n")
+            found = [words(lines[no - 1]) for no in new]
+            starts = np.cumsum([0, *map(len, found)]).tolist()
+            for col, value in zip(out, (i, new, starts, run_hashes([w for line in found for w in line], SPAN_WORDS))):
+                col.append(value)
+        types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["id", "numbers", "starts", "runs"])
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, no) of the lines of whose words LINE_SHARE lie in runs of ancestors, and of those between two such lines of which half do."""
+    for batch in batches:
+        ids, numbers = [], []
+        for i, nos, starts, places in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            old = np.zeros(starts[-1] + 1, dtype=np.int32)
+            for p in places:
+                old[p] += 1
+                old[min(p + SPAN_WORDS, starts[-1])] -= 1
+            inside = np.concatenate([[0], np.cumsum(np.cumsum(old)[:-1] > 0)])
+            n = [b - a for a, b in zip(starts, starts[1:])]
+            hit = [int(inside[b] - inside[a]) for a, b in zip(starts, starts[1:])]
+            full = [m > 0 and c >= LINE_SHARE * m - 1e-9 for m, c in zip(n, hit)]
+            for k, no in enumerate(nos):
+                near = 0 < k < len(nos) - 1 and full[k - 1] and full[k + 1] and 2 * hit[k] >= n[k]
+                if full[k] or near:
+                    ids.append(i), numbers.append(no)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], names=["id", "no"])
+
+
+def quoted_lines(made: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, no) of own lines that an earlier mail of another sender has as its own.
+
+    ``made``: the first pass with at and sender; ``rows``: (id, text). The index of winnowed
+    fingerprints tells the mails that share any stretch of ``GRAM + WINDOW - 1`` words with another sender's; only
+    these are read again, and each of their runs of ``SPAN_WORDS`` words looks for its own
+    ancestor, so that a mail may quote several. Paragraphs are looked up whole, and from each of
+    their lines on; short ones count where their holder is an ancestor of the mail already.
+    Nothing is compared pair by pair, and no list of holders is formed.
+    """
+    who = made.select("id", "at", "sender")
+    posts = made.select("id", "at", "sender", F.explode("fingers").alias("v"))
+    able = materialize(posts.join(_earliest(posts, "v").select("v"), "v", "left_semi").select("id").distinct())
+    own = materialize(rows.join(made.join(able, "id", "left_semi").select("id", "new"), "id").select("id", "text", "new").mapInArrow(_runs_of, "id long, numbers array<int>, starts array<int>, runs array<long>"))
+    runs = own.select("id", F.posexplode("runs").alias("place", "v")).join(who, "id")
+    spans = materialize(_by_ancestor(runs, runs, "v").select("id", "place", "ancestor"))
+    places = spans.groupBy("id").agg(F.collect_set("place").alias("places"))  # of one mail
+    stretches = own.join(places, "id").select("id", "numbers", "starts", "places").mapInArrow(_covered, "id long, no int")
+    parts = made.select("id", "at", "sender", F.explode("parts").alias("p")).select("id", "at", "sender", "p.*")
+    known = materialize(_by_ancestor(parts, parts.filter("whole"), "digest"))
+    whole = known.filter(F.col("n") >= PARAGRAPH_WORDS)
+    ancestors = spans.select("id", "ancestor").unionByName(whole.select("id", "ancestor")).distinct()
+    short = parts.filter(F.col("whole") & (F.col("n") < PARAGRAPH_WORDS)).join(ancestors, "id")
+    held = parts.filter(F.col("whole") & (F.col("n") < PARAGRAPH_WORDS)).select(F.col("id").alias("ancestor"), "digest").distinct()
+    short = short.join(held, ["ancestor", "digest"], "left_semi")
+    paragraphs = whole.select("id", "begin", "last").unionByName(short.select("id", "begin", "last"))
+    return stretches.unionByName(paragraphs.select("id", F.explode(F.sequence("begin", "last")).alias("no"))).distinct()
+
+
+def closing_lines(made: DataFrame) -> DataFrame:
+    """(id, no) of the last own lines that mails of the same sender end with again and again."""
+    ends = made.filter("named").select("id", "sender", F.explode("tail").alias("t")).select("id", "sender", "t.*")
+    recurring = ends.select("id", "sender", "line").distinct().groupBy("sender", "line").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= RECURRING)
+    met = ends.join(recurring, ["sender", "line"])
+    held = [F.max(F.when(F.col("k") == k, F.col("no"))).alias(f"n{k}") for k in range(3)]
+    flat = met.groupBy("id").agg(*held)
+    # From the last line up, as far as each of them recurs.
+    run = F.when(F.col("n0").isNull(), F.array().cast("array<int>")).when(F.col("n1").isNull(), F.array("n0")).when(F.col("n2").isNull(), F.array("n0", "n1")).otherwise(F.array("n0", "n1", "n2"))
+    return flat.select("id", F.explode(run).alias("no"))
 
 
 def new_text(mails: DataFrame, key: str = "email_id", subject: str = "subject", text: str = "text", sender: str = "from_addr", at: str = "received_at") -> DataFrame:
     """(email_id, line_no) of the non-blank lines newly written by each mail's sender.
 
-    Rows delivered twice count once. Null and empty texts have no lines; null senders, subjects
-    and times are looked past (a mail without time counts as the latest); null ids are left out;
+    Rows delivered twice count once; of unlike rows of one id the greatest holds. Null and empty
+    texts have no lines; null senders, subjects and times are looked past (a mail without sender
+    is of a sender of its own, one without time counts as the latest); null ids are left out;
     an empty table gives no rows; other columns are not read.
 
-    Spans without marks are taken for quotation only in replies and forwards, told by the
-    subject's marks, and only if a mail received earlier holds them; several mails may send the
-    same text unasked.
+    Lines without marks are quotation where a mail of another sender received earlier has them as its
+    own, see :func:`quoted_lines`; no thread or subject is asked for. A mail with nothing else
+    in it is one of several copies of a text and keeps its lines, unless its subject is
+    marked as a reply or forward. What a sender wrote earlier and sends again is new.
     """
+    ship_package(mails.sparkSession)
     rows = mails.select(F.col(key).cast("long").alias("id"), F.col(sender).alias("sender"), F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(2**62)).alias("at"), F.col(text).alias("text"), F.coalesce(F.col(subject), F.lit("")).alias("subject"))
-    rows = rows.filter("id is not null and text is not null").dropDuplicates(["id"])
-    # One number in the order of receipt.
-    order = materialize(rows.select("id", "at").sort("at", "id").select("id", F.monotonically_increasing_id().alias("ord")))
-    reply = F.col("subject").rlike(r"(?i)^\s*(?:\[[^\]]*\]\s*)?(?:re|fw|fwd|aw|wg|sv|antw|antwort|r[ée]p|tr|rv|res|ref|i|enc)(?:\[\d+\])?\s*:")
-    read = rows.join(order, "id").select("id", "sender", "ord", reply.alias("reply"), "text")
-    made = materialize(read.mapInArrow(_first_pass, "id long, sender string, ord long, new array<int>, runs array<long>, spans array<struct<begin: int, last: int, digest: long, short: boolean, runs: array<long>>>, tail array<string>"))
-    spans = _held(made).select("id", F.explode(F.sequence("begin", "last")).alias("no")).distinct()
-    # Recurring closings: short lines that a sender's mails end with again and again.
-    ends = made.filter("sender is not null").select("id", "sender", F.explode(F.array_distinct("tail")).alias("line")).filter("length(line) between 2 and 60 and size(split(line, ' ')) <= 6")
-    recurring = ends.groupBy("sender", "line").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= RECURRING).select("sender", "line")
-    closings = ends.join(recurring, ["sender", "line"]).groupBy("id").agg(F.collect_set("line").alias("closings"))  # three lines of a mail at most
+    rows = one_row_each(rows.filter("id is not null and text is not null"), ["id"])
+    reply = F.col("subject").rlike(r"(?i)^\s*(?:\[[^\]]*\]\s*)?(?:re|fw|fwd|aw|wg|sv|vs|antw|antwort|r[ée]p|tr|rv|res|ref|i|enc)(?:\[\d+\])?\s*:")
+    read = rows.select("id", "sender", "text").mapInArrow(_first_pass, "id long, new array<int>, fingers array<long>, parts array<struct<begin: int, last: int, n: int, whole: boolean, digest: long>>, tail array<struct<k: int, no: int, line: string>>")
+    name = F.coalesce(F.lower(F.trim("sender")), F.concat(F.lit("?"), F.col("id").cast("string")))
+    about = rows.select("id", "at", name.alias("sender"), F.col("sender").isNotNull().alias("named"), reply.alias("reply"))
+    made = materialize(read.join(about, "id"))
+    quoted = materialize(quoted_lines(made, rows.select("id", "text")))
     numbered = made.select("id", F.explode("new").alias("no"))
-    kept = numbered.join(spans, ["id", "no"], "left_anti")
-    tail = rows.join(closings, "id").select("id", "text", "closings").join(made.select("id", "new"), "id").mapInArrow(_closing_lines, "id long, no int")
-    return kept.join(tail, ["id", "no"], "left_anti").select(F.col("id").alias("email_id"), F.col("no").cast("long").alias("line_no"))
-
-
-def _closing_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, no) of the last own lines that recur in the sender's mails."""
-    for batch in batches:
-        ids, numbers = [], []
-        for i, text, closings, new in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            lines = text.split("\n")
-            for no in reversed(new[-3:]):
-                if " ".join(lines[no - 1].split()).casefold() not in closings:
-                    break
-                ids.append(i)
-                numbers.append(no)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], names=["id", "no"])
+    counts = quoted.join(numbered, ["id", "no"], "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
+    copies = made.join(counts, "id").filter("c = size(new) and not reply").select("id")
+    off = quoted.join(copies, "id", "left_anti").unionByName(closing_lines(made))
+    kept = numbered.join(off, ["id", "no"], "left_anti")
+    return kept.select(F.col("id").alias("email_id"), F.col("no").cast("long").alias("line_no"))

@@ -6,6 +6,10 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.session import materialize
 
 #: A word is a maximal run of letters and digits of the lower-cased text.
 WORD = re.compile(r"[^\W_]+")
@@ -38,6 +42,35 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_hashes(tokens: list[str], size: int) -> np.ndarray:
     """Distinct hashes of the runs of ``size`` successive words, as signed longs in rising order."""
+    return np.unique(run_hashes(tokens, size))
+
+
+def shingles(tokens: list[str], size: int) -> set[tuple[str, ...]]:
+    """The distinct runs themselves, for exact checks."""
+    return set(zip(*(tokens[k:] for k in range(size))))
+
+
+def one_row_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key: the greatest of those that repeat one.
+
+    Only the keys are counted; rows whose key occurs once are passed on without a shuffle of
+    their texts, where the few keys that repeat can be broadcast (the planner knows their size).
+    """
+    again = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*keys))
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.join(again, keys, "left_semi").groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_b")).select(*keys, "_b.*")
+    return rows.join(again, keys, "left_anti").select(*rows.columns).unionByName(best.select(*rows.columns))
+
+
+def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Distinct fingerprints of hashes in text order: the least of each ``window`` successive ones, so that a stretch of so many that two texts share gives a shared fingerprint."""
+    if len(hashes) <= window:
+        return hashes.min(keepdims=True) if len(hashes) else hashes
+    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, window).min(axis=1))
+
+
+def run_hashes(tokens: list[str], size: int) -> np.ndarray:
+    """The hashes of :func:`shingle_hashes` in text order, repeats kept."""
     if len(tokens) < size:
         return np.empty(0, dtype=np.int64)
     h = word_hashes(tokens)
@@ -46,9 +79,4 @@ def shingle_hashes(tokens: list[str], size: int) -> np.ndarray:
         x = np.zeros(n, dtype=np.uint64)
         for k in range(size):
             x = mixed(x * _A + h[k : k + n] + np.uint64(k + 1))
-    return np.unique(x.view(np.int64))
-
-
-def shingles(tokens: list[str], size: int) -> set[tuple[str, ...]]:
-    """The distinct runs themselves, for exact checks."""
-    return set(zip(*(tokens[k:] for k in range(size))))
+    return x.view(np.int64)
