@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import mixed, one_row_each, run_hashes, winnowed, word_hashes, words
+from tidemark.llm.text import one_row_each, prefix_sums, run_hashes, stretch_hashes, winnowed, word_hashes, words
 from tidemark.session import materialize, ship_package
 
-#: Fingerprints are the least of so many successive hashes of runs of so many words: a stretch of 16 words that two mails share gives a shared one.
-GRAM, WINDOW = 10, 7
+#: Fingerprints are the least of so many successive hashes of runs of so many words: a stretch of 18 words that two mails share gives a shared one.
+GRAM, WINDOW = 15, 4
 #: Words of a run that is quotation by itself. Unrelated mails of one style share up to 17.
 SPAN_WORDS = 18
 #: Share of a line's words that must lie in such runs.
@@ -319,19 +319,23 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = text.split("\n")
             new = [k for k, x in enumerate(marked(text, sender)) if x]
             found = [words(lines[k]) for k in new]
-            at, parts = 0, []
+            starts = np.cumsum([0, *map(len, found)])  # the first word of each own line, and the end
+            h = word_hashes([w for line in found for w in line])
+            sums = prefix_sums(h)
+            at, parts, ends = 0, [], []
             for span in _spans(new):
-                tokens = found[at : at + len(span)]
-                at += len(span)
-                if sum(map(len, tokens)) < LEAST_WORDS:
-                    continue
-                h = word_hashes([w for line in tokens for w in line])
-                starts = np.cumsum([0, *map(len, tokens[:-1])])
-                for k, (begin, digest) in enumerate(zip(starts.tolist(), _suffix_digests(h, starts))):
-                    n = len(h) - begin
+                end = int(starts[at + len(span)])
+                for k in range(len(span)):
+                    n = end - int(starts[at + k])
                     if n >= (LEAST_WORDS if k == 0 else PARAGRAPH_WORDS):
-                        parts.append({"begin": span[k] + 1, "last": span[-1] + 1, "n": n, "whole": k == 0, "digest": digest})
-            fingers = winnowed(run_hashes([w for line in found for w in line], GRAM), WINDOW)
+                        parts.append({"begin": span[k] + 1, "last": span[-1] + 1, "n": n, "whole": k == 0})
+                        ends.append((end - n, end))
+                at += len(span)
+            if parts:
+                for x, digest in zip(parts, stretch_hashes(sums, *np.array(ends).T).tolist()):
+                    x["digest"] = digest
+            grams = np.arange(max(0, len(h) - GRAM + 1))
+            fingers = winnowed(stretch_hashes(sums, grams, grams + GRAM), WINDOW)
             tail = [{"k": k, "no": no + 1, "line": low} for k, no in enumerate(reversed(new[-3:])) if not _ENDED.search(lines[no]) and 2 <= len(low := " ".join(lines[no].split()).casefold()) <= 60 and len(low.split()) <= 6] if len(new) > 3 else []
             for col, value in zip(cols, (i, [k + 1 for k in new], fingers, parts, tail)):
                 col.append(value)
@@ -339,19 +343,6 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "new", "fingers", "parts", "tail"])
 
 
-def _suffix_digests(h: np.ndarray, starts: np.ndarray) -> list[int]:
-    """A digest of the words from each start to the end: polynomials in an odd base, from one sum over all words."""
-    n = len(h)
-    with np.errstate(over="ignore"):
-        power = np.ones(n, dtype=np.uint64)
-        power[1:] = np.cumprod(np.full(n - 1, _BASE, dtype=np.uint64))
-        tail = np.cumsum((h * power)[::-1])[::-1][starts]  # sum from each start on, shifted by the start
-        return mixed(tail * power[n - 1 - starts]).view(np.int64).tolist()
-
-
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
 def _earliest(held: DataFrame, key: str) -> DataFrame:
     """(key, sender1, at1, id1): of what mails of several senders hold, the earliest holder.
 

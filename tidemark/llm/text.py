@@ -13,7 +13,7 @@ from tidemark.session import materialize
 
 #: A word is a maximal run of letters and digits of the lower-cased text.
 WORD = re.compile(r"[^\W_]+")
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _known: dict[str, int] = {}
 
 
@@ -69,14 +69,30 @@ def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, window).min(axis=1))
 
 
+_BASE = 0x9E3779B97F4A7C15
+_UNBASE = pow(_BASE, -1, 2**64)
+_powers = np.ones((2, 1), dtype=np.uint64)
+
+
+def prefix_sums(h: np.ndarray) -> np.ndarray:
+    """Sums of the word hashes before each place, each hash times a power of an odd base."""
+    global _powers
+    if len(h) >= _powers.shape[1]:
+        n = 2 * len(h) + 64
+        _powers = np.array([np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, dtype=np.uint64)])) for b in (_BASE, _UNBASE)])
+    out = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * _powers[0, : len(h)], out=out[1:])
+    return out
+
+
+def stretch_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash, as signed long, of the words of each stretch, wherever it stands."""
+    return mixed((sums[end] - sums[begin]) * _powers[1, begin]).view(np.int64)
+
+
 def run_hashes(tokens: list[str], size: int) -> np.ndarray:
-    """The hashes of :func:`shingle_hashes` in text order, repeats kept."""
+    """Hashes of the runs of ``size`` successive words, in text order."""
     if len(tokens) < size:
         return np.empty(0, dtype=np.int64)
-    h = word_hashes(tokens)
-    n = len(h) - size + 1
-    with np.errstate(over="ignore"):
-        x = np.zeros(n, dtype=np.uint64)
-        for k in range(size):
-            x = mixed(x * _A + h[k : k + n] + np.uint64(k + 1))
-    return x.view(np.int64)
+    begin = np.arange(len(tokens) - size + 1)
+    return stretch_hashes(prefix_sums(word_hashes(tokens)), begin, begin + size)
