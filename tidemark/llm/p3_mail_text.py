@@ -315,7 +315,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     closing = pa.struct([("k", pa.int32()), ("no", pa.int32()), ("line", pa.string())])
     for batch in batches:
         cols: list[list] = [[], [], [], [], []]
-        for i, sender, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+        for i, sender, text in zip(*(batch.column(c).to_pylist() for c in ("id", "from", "text"))):
             lines = text.split("\n")
             new = [k for k, x in enumerate(marked(text, sender)) if x]
             found = [words(lines[k]) for k in new]
@@ -340,7 +340,8 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for col, value in zip(cols, (i, [k + 1 for k in new], fingers, parts, tail)):
                 col.append(value)
         types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(part), pa.list_(closing)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "new", "fingers", "parts", "tail"])
+        kept = ["at", "sender", "named", "reply"]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), *(batch.column(c) for c in kept)], names=["id", "new", "fingers", "parts", "tail", *kept])
 
 
 def _earliest(held: DataFrame, key: str) -> DataFrame:
@@ -449,13 +450,15 @@ def new_text(mails: DataFrame, key: str = "email_id", subject: str = "subject",
     marked as a reply or forward. What a sender wrote earlier and sends again is new.
     """
     ship_package(mails.sparkSession)
-    rows = mails.select(F.col(key).cast("long").alias("id"), F.col(sender).alias("sender"), F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(2**62)).alias("at"), F.col(text).alias("text"), F.coalesce(F.col(subject), F.lit("")).alias("subject"))
+    i, name, subjects = F.col(key).cast("long"), F.col(sender), F.coalesce(F.col(subject), F.lit(""))
+    reply = subjects.rlike(r"(?i)^\s*(?:\[[^\]]*\]\s*)?(?:re|fw|fwd|aw|wg|sv|vs|antw|antwort|r[ée]p|tr|rv|res|ref|i|enc)(?:\[\d+\])?\s*:")
+    rows = mails.select(
+        i.alias("id"), name.alias("from"), F.col(text).alias("text"), F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(2**62)).alias("at"),
+        F.coalesce(F.lower(F.trim(name)), F.concat(F.lit("?"), i.cast("string"))).alias("sender"), name.isNotNull().alias("named"), reply.alias("reply"),
+    )
     rows = one_row_each(rows.filter("id is not null and text is not null"), ["id"])
-    reply = F.col("subject").rlike(r"(?i)^\s*(?:\[[^\]]*\]\s*)?(?:re|fw|fwd|aw|wg|sv|vs|antw|antwort|r[ée]p|tr|rv|res|ref|i|enc)(?:\[\d+\])?\s*:")
-    read = rows.select("id", "sender", "text").mapInArrow(_first_pass, "id long, new array<int>, fingers array<long>, parts array<struct<begin: int, last: int, n: int, whole: boolean, digest: long>>, tail array<struct<k: int, no: int, line: string>>")
-    name = F.coalesce(F.lower(F.trim("sender")), F.concat(F.lit("?"), F.col("id").cast("string")))
-    about = rows.select("id", "at", name.alias("sender"), F.col("sender").isNotNull().alias("named"), reply.alias("reply"))
-    made = materialize(read.join(about, "id"))
+    read = rows.mapInArrow(_first_pass, "id long, new array<int>, fingers array<long>, parts array<struct<begin: int, last: int, n: int, whole: boolean, digest: long>>, tail array<struct<k: int, no: int, line: string>>, at long, sender string, named boolean, reply boolean")
+    made = materialize(read)
     quoted = materialize(quoted_lines(made, rows.select("id", "text")))
     numbered = made.select("id", F.explode("new").alias("no"))
     counts = quoted.join(numbered, ["id", "no"], "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
