@@ -1,5 +1,6 @@
 """Main bodies, new text of mails and template residue on hand-made cases."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -133,7 +134,7 @@ def test_label_passes_over_links(spark, monkeypatch):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             tokens = [rs.masked_words(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([xxhash.xxh128_digest(" ".join(t)) for t in tokens], pa.binary()), pa.array([rs.simhash(t) for t in tokens], pa.int64()), pa.array([False] * len(ids)), pa.array([i == 1 for i in ids])], names=["id", "words", "simhash", "placeholder", "residue"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([xxhash.xxh128_digest(" ".join(t)) for t in tokens], pa.binary()), pa.array([None] * len(ids), pa.int64()), *(pa.array([rs.simhash(t)[k] for t in tokens], pa.int64()) for k in range(4)), pa.array(list(map(len, tokens)), pa.int32()), pa.array([False] * len(ids)), pa.array([i == 1 for i in ids])], names=["id", "words", "body", "s0", "s1", "s2", "s3", "size", "placeholder", "residue"])
 
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, BODY)]
     monkeypatch.setattr(rs, "_reader", _labelled)
@@ -187,8 +188,8 @@ def _trusting_of(reader):
         import pyarrow as pa
 
         for out in reader(batches):
-            trusted = [r or i % 10 == 1 for i, r in zip(out.column(0).to_pylist(), out.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*out.columns[:4], pa.array(trusted, pa.bool_())], names=out.schema.names)
+            trusted = [r or i % 10 == 1 for i, r in zip(out.column("id").to_pylist(), out.column("residue").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*out.columns[:-1], pa.array(trusted, pa.bool_())], names=out.schema.names)
 
     return run
 
@@ -236,3 +237,71 @@ def test_many_copies_of_a_long_text(spark):
     rows = [(i, "offer", f"Dear {i}!\n" + text, f"s{i}@x.example", None) for i in range(60)] + [(100, "offer", text, "s@x.example", None)]
     got = {(r.email_id, r.line_no) for r in new_text(_mails(spark, rows)).collect()}
     assert {(i, 1) for i in range(60)} | {(0, 2)} <= got
+
+
+@pytest.mark.parametrize("mark", ["%(name)s", "{$name}", "<FIRST_NAME>", "[% name %]", "{{ user.name|default:'x' }}", "{{#if user}}", "[Kundenname]", "{FIRSTNAME}", "{Name}", "[Nombre]"])
+def test_more_forms_of_placeholders(mark):
+    assert rs.has_placeholder(f"Dear {mark}, the harbour office has your papers.")
+    assert not rs.has_placeholder(f"The manual explains how {mark} is filled in.")
+
+
+@pytest.mark.parametrize("text", ["This page isn't working right now.", "Pagina non trovata", "Página não encontrada", "The link you followed may be broken", "Unable to connect to the database."])
+def test_more_wordings_of_notices(text):
+    assert rs.is_notice(text)
+
+
+@pytest.mark.parametrize("frames", [1, 3, 10, 20, 60, 90])
+def test_dumps_of_any_length(frames):
+    java = "java.lang.IllegalStateException: no connection\n" + "\n".join(f"\tat com.example.app.Service{i}.call(Service{i}.java:{i + 10})" for i in range(frames)) + "\nCaused by: java.io.IOException: reset"
+    python = "Traceback (most recent call last):\n" + "\n".join(f'  File "/srv/app/module{i}.py", line {i}, in run\n    result = handle(request, context)' for i in range(frames)) + "\nKeyError: 'tide'"
+    assert rs.is_notice(java) and rs.is_notice(python)
+    assert not rs.is_notice(BODY + "\n" + java)
+
+
+def test_simhash_tables_find_near_duplicates(spark):
+    """Recall of the candidates against brute force, over lengths and kinds of edits."""
+    import numpy as np
+
+    rng = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    found = met = 0
+    for n in [12, 18, 25, 40, 60, 100, 200, 400] * 40:
+        a = [rng.choice(vocabulary) for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randint(1, max(1, n // 40))):
+            k = rng.randrange(len(b))
+            b[k : k + rng.randint(0, 1)] = [rng.choice(vocabulary)] * rng.randint(0, 1)
+        x, y = (set(zip(*(t[k:] for k in range(5)))) for t in (a, b))
+        if x and y and 0.8 <= len(x & y) / len(x | y) < 1:
+            met += 1
+            d = np.unpackbits((np.array(rs.simhash(a)) ^ np.array(rs.simhash(b))).view(np.uint8))
+            found += d.sum() <= rs.HAMMING and not d.reshape(16, 16).any(axis=1).all()
+    assert met > 100 and found >= 0.98 * met
+
+
+def test_labels_spread_over_simhash_links_and_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)]
+    rows = [(0, "Page not found. " + " ".join(base[:3]))]
+    text = ["Lorem", "ipsum"] * 40
+    chain = [list(base)]
+    for i in range(4):
+        step = list(chain[-1])
+        step[20 * i + 5] = f"new{chr(97 + i)}"
+        chain.append(step)
+    rows = [(i, " ".join(x)) for i, x in enumerate(chain)] + [(50, " ".join(rng.sample(base, 80))), (51, BODY), (60, " ".join(text))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = df.select(F.col("doc_id").alias("id"), "text", F.lit(None).cast("long").alias("origin"), F.lit(None).cast("long").alias("source")).mapInArrow(rs._with_columns(rs._reader), "id long, words binary, body long, s0 long, s1 long, s2 long, s3 long, size int, placeholder boolean, residue boolean, origin long, source long")
+    seeds = made.filter("id = 0").select("words")
+    for block in (1000, 1):
+        monkeypatch.setattr(rs._split_keys, "__defaults__", (block,))
+        held = rs.near_labels(made, df.withColumnRenamed("doc_id", "id"), seeds)
+        assert {r.id for r in made.join(held, "words").collect()} == {0, 1, 2, 3, 4}
+
+
+def test_short_bodies_of_many_origins_are_residue(spark):
+    say = "Home | News | Sport\nKein Anschluss an das Archiv, Vorgang {}"
+    rows = [(i, say.format(i), f"site{i}", "web" if i % 2 else "mail") for i in range(6)] + [(20 + i, "A crew of seven came ashore", "one", "web") for i in range(9)] + [(40, BODY, "x", "web"), (41, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, origin string, source string")
+    assert {r.id for r in rs.residue(df, origin="origin", source="source").collect()} == set(range(6))
+    assert rs.residue(df).count() == 0

@@ -1,16 +1,15 @@
 """Problem 9: template residue and error-page text.
 
 Texts are read for trusted marks first: a placeholder left where a value should stand, or filler,
-an error page, a program's dump or a script notice with next to nothing beside it. Near-duplicates
-are then found exactly: texts whose sets of 5-word runs have a Jaccard similarity of at least 0.8
-share one of the least hashes of either, a fifth of its runs and one. From the trusted texts on,
-round after round, the label passes to those that are similar until no more are found. A placeholder must stand in a
-document's own text, so that label is checked there and not passed on.
+an error page, a program's dump or a script notice with next to nothing beside it. Short bodies that
+come from many origins are trusted as well, whatever they say. Near-duplicates of the trusted texts
+are looked up in partitioned SimHash tables, verified by Hamming distance and by the similarity of
+the texts, and the label passes through the connected components of these links. A placeholder must
+stand in a document's own text, so that label is checked there and not passed on.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections import Counter
@@ -21,24 +20,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import mixed, shingle_hashes, shingles, word_hashes, words
-from tidemark.session import materialize
+from tidemark.llm.text import mixed, shingles, word_hashes, words
+from tidemark.session import materialize, ship_package
 
 SIMILARITY = 0.8
 SHINGLE = 5
+#: Bits of 256 in which near-duplicates differ at most; those of 12 to 25 words differ in 21 on average.
+HAMMING = 56
+#: Trusted texts under one key of a table that are met in one part.
+BLOCK = 1000
+#: A short body from so many origins and sources is a machine's.
+ORIGINS, SOURCES = 5, 2
 # Forms of unfilled placeholders.
 PLACEHOLDER = re.compile(
-    r"""\{\{\s*[\w .|-]{1,40}\s*\}\} | \{%\s*[\w .|-]{1,40}\s*%\} | <%=?\s*[\w .-]{1,40}\s*%> | [$#]\{\s*[\w .-]{1,40}\s*\}
-    | (?<![\w{])\{(?:\d{1,2}|[a-z]\w*(?:[ _]\w+){0,3})\}(?!\}) | %%[A-Za-z][A-Za-z_ ]*%% | (?<![%\w])%[A-Z][A-Z_]{2,}%(?![%\w]) | (?<![\w%])%[sd](?![\w%])
+    r"""\{\{[#/^&>!]?\s*[\w .|:'"()-]{1,60}\s*\}\} | \{%\s*[\w .|:'"=-]{1,60}\s*%\} | \[%\s*[\w .|-]{1,40}\s*%\] | \{\$\s*[\w.]{1,40}\} | %\(\w{1,40}\)[sd] | <%=?\s*[\w .-]{1,40}\s*%> | [$#]\{\s*[\w .-]{1,40}\s*\}
+    | (?<![\w{])\{(?:\d{1,2}|[A-Za-z]\w*(?:[ _]\w+){0,3})\}(?!\}) | %%[A-Za-z][A-Za-z_ ]*%% | (?<![%\w])%[A-Z][A-Z_]{2,}%(?![%\w]) | (?<![\w%])%[sd](?![\w%])
     | __[A-Z][A-Z_]*[A-Z]__ | \bXX_[A-Z_]+_XX\b | \*\|[^|\n]{1,40}\|\* | (?<![\w$])\$[A-Z][A-Z_]{2,}\$ | <<\s*[A-Za-z][\w ]{0,40}>> | &lt;\s*[A-Za-z_][\w ]{0,40}&gt;
-    | @@[A-Za-z_]+@@ | «[a-z]+(?:_[a-z]+)*» | \[(?:INSERT|YOUR|ENTER|ADD)\s[^\]\n]{1,40}\] | \[(?:your|insert|enter|add)\s[^\]\n]{1,40}\]
+    | <[A-Z]+(?:_[A-Z]+)+> | @@[A-Za-z_]+@@ | «[a-z]+(?:_[a-z]+)*» | \[(?:INSERT|YOUR|ENTER|ADD)\s[^\]\n]{1,40}\] | \[(?:your|insert|enter|add)\s[^\]\n]{1,40}\]
     | \[(?:(?:First|Last|Full|Company|Order|Your)[ _]?)?(?:Name|Title|Date|City|Company|Port|Vessel|Amount|Sender|Arrival|Address|Phone|Email|Order[ _]I[dD]|Number|Recipient|Subject|Location|Time)\]
+    | \[(?:[A-ZÄÖÜ][a-zäöüß]*)?(?:[Nn]ame|[Nn]ummer|[Dd]atum|[Aa]dresse|Anrede|Vorname|Nachname|Ort)\] | \[(?:Nombre|Apellidos?|Fecha|Ciudad|Empresa|Pr[ée]nom|Nom|Ville|Soci[ée]t[ée])\]
     | \[\[\s*[a-zA-Z_][\w ]{0,30}\]\]""",
     re.VERBOSE,
 )
 # Wording of sentences that write about such marks.
 ABOUT = re.compile(
-    r"explain|mark fields|mailer fills|placeholder|template (?:syntax|language|engine)|syntax|box (?:marked|labelled)|marked \[|never filled|tag was read|read out as|sign (?:said|read)|said ['\"“]|the words?\b|variable|the manual|export \w+=|written as|is written|stands? for|notation|docs? (?:say|show)|documentation|for example|such as|code sample|tutorial|quoted|quotes",
+    r"explain|fields?\b|fills? (?:it|them|in|out)|placeholder|template (?:syntax|language|engine)|syntax|(?:marked|labelled)\b|(?:never|not) filled|(?:was|were) read|read (?:out )?as|(?:sign|board|screen|label|page) (?:said|read|showed)|said ['\"“]|the words?\b|variable|the manual|export \w+=|written as|is written|stands? for|notation|docs? (?:say|show)|documentation|for example|such as|code sample|tutorial|quoted|quotes",
     re.IGNORECASE,
 )
 # Pseudo-Latin, keyboard and skeleton filler.
@@ -56,6 +62,8 @@ ERROR = re.compile(
     | forbidden | (?:access|permission)\s(?:denied|refused) | you\s(?:are\snot\s(?:allowed|authori[sz]ed|permitted)|do\snot\shave|don.t\shave|have\sbeen\sblocked|need\sto\s(?:log|sign)|must\s(?:log|sign)) | (?:log[\s-]?in|sign[\s-]?in|authentication|authori[sz]ation)\s(?:is\s)?required | unauthori[sz]ed | please\s(?:log|sign)\s?in | your\s(?:session|login|account|ip|address)\s(?:has|is|was) | session\sexpired | this\s(?:account|site|domain|content|list|page|folder|section|table|feed)\s(?:has\sbeen|is\s(?:empty|not|no|currently|temporarily|down|suspended)|does\snot|could\snot) | account\ssuspended
     | sorry\b | something\swent\swrong | an?\s(?:unexpected\s)?error\s | unexpected\serror | (?:down|closed)\s(?:for|due)\b | (?:scheduled|planned|under|undergoing|routine)\smaintenance | we.(?:ll|re)\s(?:be\sback|down) | back\ssoon | unusual\s(?:traffic|activity) | are\syou\s(?:a\s|an?\s)?(?:robot|human|real) | (?:please\s)?(?:verify|confirm|prove)\s(?:that\s)?you | checking\s(?:your|that|the)\s?(?:browser|connection|you) | one\smore\sstep | (?:security|human|browser|bot)\s(?:check|verification) | please\s(?:wait|stand\sby) | tick\sthe\sbox | (?:please\s)?(?:complete|solve)\s(?:the|this)\s | i.?\s?a?m\snot\sa\srobot | just\sa\smoment | one\smoment | type\sthe\s(?:letters|characters)
     | your\ssearch\s | (?:no|zero|0)\s(?:results?|hits?|match(?:es)?|entries|items?|records?|pages?|documents?|articles?|posts?)\b | nothing\s(?:to|was|matched|found|here) | there\s(?:are|is)\s(?:no|nothing) | gone\b | attention\srequired
+    | (?:this|the)\s(?:web)?(?:page|site)\s(?:isn.t|is\snot|can.t|cannot|could\snot)\s(?:working|available|be\s(?:reached|found|displayed|loaded)) | (?:the|this)\slink\s(?:you\s)?(?:followed|is|may|might|has) | (?:unable|failed)\sto\s(?:connect|load|reach|open|process|complete|display) | (?:data)?base\s(?:error|connection)
+    | pagina\snon\s | p[aá]gina\sn[aã]o\s | errore?\s\d | erro\s\d
     | seite\s(?:nicht|wurde\snicht) | (?:interner\s)?server-?fehler | fehler\b | zugriff\s(?:verweigert|gesperrt|nicht) | kein(?:e|en)?\s(?:treffer|ergebnis|zugriff|berechtigung|eintr) | dienst\s(?:nicht|derzeit) | wartung | nicht\sgefunden | sitzung\s
     | page\s(?:introuvable|non\strouv|inexistante) | erreur\b | service\s(?:indisponible|temporairement) | acc[eè]s\s(?:refus|interdit|non) | aucune?\sr[eé]sultat | site\sen\smaintenance | introuvable
     | p[aá]gina\sno\s | error\sinterno | acceso\s(?:denegado|prohibido) | servicio\s(?:no|temporalmente) | (?:sin|ning[uú]n|no\shay)\sresultados? | no\sse\s(?:ha\s)?encontr | no\sencontrad | en\smantenimiento""",
@@ -170,30 +178,47 @@ def is_filler(text: str, tokens: list[str] | None = None) -> bool:
     return len(sentences) >= 4 and len(counts) <= max(1, len(sentences) // 4) and n >= 12
 
 
+_FRAME = re.compile(r"^\s*file \"[^\"]+\", line", re.IGNORECASE)
+_DIVIDED = re.compile(r"[|·•»›]")
+#: Words of a notice, menus aside; it has to begin within so many sentences of the text's begin.
+NOTICE_WORDS, NOTICE_BEGIN = 60, 3
+
+
+def is_dump(lines: list[str]) -> bool:
+    """A program's dump, of any length: it begins with a line of one, and most lines are such or the code that a frame shows."""
+    dump = [bool(DUMP.match(x)) for x in lines]
+    shown = [i > 0 and bool(_FRAME.match(lines[i - 1])) for i in range(len(lines))]
+    told = [d or c for d, c in zip(dump, shown)]
+    rest = sum(len(x.split()) for x, d in zip(lines, told) if not d)
+    return 2 * sum(told) >= len(lines) and rest <= max(12, sum(told)) or len(lines) <= 3 and rest <= 12
+
+
 def is_notice(text: str, tokens: list[str] | None = None) -> bool:
     """An error page, dump or script notice with next to nothing beside it."""
-    if len(text) > 3000 or len(words(text) if tokens is None else tokens) > 150:  # 60 words, menus and dumps aside
+    first = next((x for x in text.split("\n", 4) if x.strip() and not _menu_line(x)), "")
+    dumped = DUMP.match(first.lstrip("\ufeff\u200b"))
+    # A text of many words without menus is no notice, and is not read any further.
+    if not dumped and len(words(text) if tokens is None else tokens) > 2 * NOTICE_WORDS and not _DIVIDED.search(text):
         return False
     text = _readable(text)
     lines = [x for x in text.splitlines() if x.strip() and not _menu_line(x)]
     if not lines:
         return False
-    dump = [bool(DUMP.match(x)) for x in lines]
-    if dump[0] and (len(lines) == 1 or sum(dump) >= 0.5 * len(lines) or len(lines) <= 3):
-        return sum(len(x.split()) for x, d in zip(lines, dump) if not d) <= 12
-    if sum(map(len, lines)) > 1200:  # beyond 60 words
-        return False
+    if DUMP.match(lines[0]) and is_dump(lines):
+        return True
     total = beside = 0
     strong = False
     for i, chunk in enumerate(_chunks(text)):
         size = len(chunk.split())
         total += size
+        if total > NOTICE_WORDS:
+            return False
         script = size <= 18 and bool(SCRIPT.search(chunk) and BEGINS.match(chunk) and ASKS.search(chunk)) and not REPORTED.search(chunk)
-        if i <= 1 and size <= 22 and (script or ERROR.match(chunk)):
+        if i < NOTICE_BEGIN and size <= 22 and (script or ERROR.match(chunk)):
             strong = True
         elif not (script or (BESIDE.match(chunk) and size <= 16) or ERROR.match(chunk) and size <= 16 or chunk.lower().startswith("loading")):
             beside += size
-    return strong and total <= 60 and beside <= max(3, total // 6)
+    return strong and beside <= max(3, total // 6)
 
 
 def masked_words(text: str) -> list[str]:
@@ -202,53 +227,53 @@ def masked_words(text: str) -> list[str]:
     return [w if w.isalpha() else "0" for w in found]
 
 
-def simhash(tokens: list[str]) -> int:
-    """64 bits, each the majority among the runs of two and three words (a single word alone), as a signed long.
+def simhash(tokens: list[str]) -> list[int]:
+    """256 bits in four signed longs, from the words and pairs of words.
 
-    Single words are left out: the frequent ones would make all texts of a language alike.
+    Each of these votes on the 64 bits of one of the four, told by its hash, so that an edit
+    leaves most bits alone.
     """
     h = word_hashes(tokens)
     with np.errstate(over="ignore"):
-        two = mixed(h[:-1] * _ODD + h[1:]) if len(h) > 1 else mixed(h)
-        runs = np.concatenate([two, mixed(two[:-1] * _ODD + h[2:])]) if len(h) > 2 else two
-    bits = np.unpackbits(runs.view(np.uint8).reshape(-1, 8), axis=1)
-    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int32) > len(bits)).view(np.int64)[0])
+        features = np.concatenate([mixed(h), mixed(h[:-1] * _ODD + h[1:])]) if len(h) > 1 else mixed(h)
+    place = (features & np.uint64(3)).astype(np.int8)
+    features = mixed(features)
+    out = []
+    for k in range(4):
+        own = features[place == k]
+        votes = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(own), 50_000):
+            votes += 2 * np.unpackbits(own[at : at + 50_000].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(votes > len(own)).view(np.int64)[0]))
+    return out
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What later steps need of a text: digests of its words and of its body without menus, SimHash, number of words, marks."""
     import xxhash
 
     for batch in batches:
-        ids, keys, hashes, placeholders, residues = [], [], [], [], []
+        ids, keys, bodies, signs, sizes, placeholders, residues = [], [], [], [], [], [], []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             tokens = masked_words(text)
             ids.append(i)
             placeholders.append(has_placeholder(text))
             residues.append(is_filler(text, tokens) or is_notice(text, tokens))
             keys.append(xxhash.xxh128_digest(" ".join(tokens)) if tokens else None)
-            hashes.append(None)  # no step needs it
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(hashes, pa.int64()), pa.array(placeholders, pa.bool_()), pa.array(residues, pa.bool_())], names=["id", "words", "simhash", "placeholder", "residue"])
+            signs.append(simhash(tokens))
+            sizes.append(len(tokens))
+            bodies.append(_body_digest(text, tokens))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(bodies, pa.int64()), *(pa.array([x[k] for x in signs], pa.int64()) for k in range(4)), pa.array(sizes, pa.int32()), pa.array(placeholders, pa.bool_()), pa.array(residues, pa.bool_())], names=["id", "words", "body", "s0", "s1", "s2", "s3", "size", "placeholder", "residue"])
 
 
-def _with_prefix(reader):
-    """What ``reader`` gives, with the number of distinct 5-word runs and the least hashes of them.
-
-    Of two texts with the similarity each holds that share of the other's runs, so both have one
-    of the ``n - share * n + 1`` least hashes in common, by any order.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for out in reader(iter([batch])):
-                sizes, prefixes = [], []
-                for text in batch.column(1).to_pylist():
-                    h = shingle_hashes(masked_words(text), SHINGLE)
-                    n = len(h)
-                    sizes.append(n)
-                    prefixes.append(h[: n - math.ceil(SIMILARITY * n - 1e-9) + 1])
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=[*out.schema.names, "size", "prefix"])
+def _body_digest(text: str, tokens: list[str]) -> int | None:
+    """A digest of the words outside menus, numbers as one mark, of texts that are as short as notices; else null."""
+    import xxhash
 
-    return run
+    if len(tokens) > 2 * NOTICE_WORDS:
+        return None
+    found = ["0" if w.isdigit() else w for x in text.splitlines() if not _menu_line(x) for w in words(_PATH.sub(" 0 ", x))]
+    return xxhash.xxh64_intdigest(" ".join(found)) - 2**63 if 3 <= len(found) <= NOTICE_WORDS else None
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,37 +296,88 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
-def _near_seeds(made: DataFrame, rows: DataFrame) -> DataFrame:
-    """(words) of the texts that links of similarity tie to a residue, over any number of links."""
-    rest = made.filter("not residue and size > 0")
-    seen = materialize(made.filter("residue and words is not null").select("words").distinct())
-    fresh = materialize(made.filter("residue and size > 0").groupBy("words").agg(F.min("id").alias("id")))
+def _tables(rows: DataFrame) -> DataFrame:
+    """``rows`` once in each of the 16 tables: ``key`` is the table and the 16 bits of the SimHash it is addressed by."""
+    keys = [F.shiftrightunsigned(f"s{i}", 16 * j).bitwiseAND(F.lit(0xFFFF).cast("long")) + (4 * i + j) * 65536 for i in range(4) for j in range(4)]
+    return rows.withColumn("key", F.explode(F.array(*keys)))
+
+
+def _split_keys(known: DataFrame, rest: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``part``: keys under which more than ``block`` trusted texts stand are cut into parts, which the other side meets one by one."""
+    parts = known.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).filter("parts > 1")
+    parts = materialize(parts)
+    one = F.coalesce("parts", F.lit(1))
+    left = known.join(parts, "key", "left").withColumn("part", F.pmod(F.xxhash64("id"), one).cast("int")).drop("parts")
+    right = rest.join(parts, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+    return left, right
+
+
+def near_labels(made: DataFrame, texts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(words) of ``seeds`` (words) and of all texts in one component of near-duplicates with one of them.
+
+    Only components that hold a seed matter, so the links are followed from the seeds on, round
+    after round. Texts of equal words stand as one. A link: equal bits in one of the SimHash tables,
+    at most HAMMING other bits in all, lengths within the similarity, and then the similarity of the texts.
+    """
+    sign = [f"s{i}" for i in range(4)]
+    reps = materialize(made.filter("words is not null").groupBy("words").agg(F.min_by(F.struct("id", "size", *sign), "id").alias("r")).select("words", "r.*"))
+    seen = materialize(seeds.select("words").distinct())
+    fresh = reps.join(seen, "words", "left_semi")
     while True:
-        known = materialize(made.join(fresh.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("size").alias("m"), F.explode("prefix").alias("v")))
-        entry = rest.select(F.col("id").alias("b"), F.col("size").alias("n"), F.explode("prefix").alias("v"))
-        near = known.join(entry, "v").filter((F.col("n") >= SIMILARITY * F.col("m") - 1e-9) & (F.col("m") >= SIMILARITY * F.col("n") - 1e-9)).select("a", "b").distinct()
-        near = materialize(near.join(made.select(F.col("id").alias("b"), "words"), "b").join(seen, "words", "left_anti").select("a", "b"))
+        rest = _tables(reps.join(seen, "words", "left_anti").select(F.col("id").alias("b"), F.col("size").alias("n"), *sign))
+        left, right = _split_keys(_tables(fresh.select("id", F.col("size").alias("m"), *sign)), rest)
+        left = left.select("key", "part", F.col("id").alias("a"), "m", *(F.col(c).alias(f"t{c}") for c in sign))
+        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"t{c}"))) for c in sign[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("ts0"))))
+        # A run is cut by an edit, so lengths in words may differ by a little more than runs do.
+        sized = (F.col("n") + 4 >= SIMILARITY * F.col("m")) & (F.col("m") + 4 >= SIMILARITY * F.col("n"))
+        near = materialize(right.join(left, ["key", "part"]).filter(sized & (apart <= HAMMING)).select("a", "b").distinct())
         ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-        texts = materialize(rows.join(ends, "id", "left_semi").dropDuplicates(["id"]))
-        full = near.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        held = materialize(texts.join(ends, "id", "left_semi").dropDuplicates(["id"]))
+        full = near.join(held.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         links = full.select("a", "ta", "b", "tb").mapInArrow(_similar, "a long, b long")
-        fresh = materialize(made.join(links.select(F.col("b").alias("id")), "id", "left_semi").groupBy("words").agg(F.min("id").alias("id")))
+        fresh = materialize(reps.join(links.select(F.col("b").alias("id")), "id", "left_semi"))
         if fresh.isEmpty():
             return seen
         seen = materialize(seen.union(fresh.select("words")))
 
 
-def residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_bodies(made: DataFrame) -> DataFrame:
+    """(words) of short texts whose body, menus and numbers aside, comes from many origins and several sources: only machines say the same everywhere."""
+    counted = made.filter("body is not null").select("body", "origin", "source").distinct()
+    wide = counted.groupBy("body").agg(F.count_distinct("origin").alias("o"), F.count_distinct("source").alias("s")).filter((F.col("o") >= ORIGINS) & (F.col("s") >= SOURCES))
+    return made.join(wide.select("body"), "body", "left_semi").select("words").distinct()
+
+
+def residue(documents: DataFrame, key: str = "doc_id", text: str = "text", origin: str | None = None, source: str | None = None) -> DataFrame:
     """(id, placeholder, residue) of the documents that should be left out.
 
     ``placeholder``: one was left unfilled in the document's own text. ``residue``: filler, an error
-    page, a dump or a script notice stands in place of the content, or the document is in one
-    near-duplicate component with such a text. Null, empty and blank texts and null ids are left
+    page, a dump or a script notice stands in place of the content, told by its wording or, where
+    ``origin`` and ``source`` columns are named, by its repetition over both; or the document is in one
+    near-duplicate component with such a text. A placeholder must stand in a document's own
+    text, so that label is not spread. Null, empty and blank texts and null ids are left
     out; repeated rows count once; texts without words are in no component; an empty table gives
     no rows; other columns are not read.
     """
-    rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
-    made = materialize(rows.mapInArrow(_with_prefix(_reader), "id long, words binary, simhash long, placeholder boolean, residue boolean, size int, prefix array<long>"))
-    held = _near_seeds(made, rows).select("words", F.lit(True).alias("spread"))
+    ship_package(documents.sparkSession)
+    told = lambda c: (F.xxhash64(F.lower(F.trim(c))) if c else F.lit(None).cast("long"))
+    named = lambda c: F.when(F.col(c).isNotNull(), told(c)) if c else told(None)
+    rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), named(origin).alias("origin"), named(source).alias("source")).filter(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
+    made = materialize(rows.mapInArrow(_with_columns(_reader), "id long, words binary, body long, s0 long, s1 long, s2 long, s3 long, size int, placeholder boolean, residue boolean, origin long, source long"))
+    trusted = made.filter("residue and words is not null").select("words")
+    if origin and source:
+        trusted = trusted.unionByName(repeated_bodies(made))
+    held = near_labels(made, rows.select("id", "text"), trusted).select("words", F.lit(True).alias("spread"))
     out = made.select("id", "words", "placeholder", "residue").join(held, "words", "left").withColumn("residue", F.coalesce("spread", "residue"))
     return out.filter("placeholder or residue").groupBy("id").agg(F.max("placeholder").alias("placeholder"), F.max("residue").alias("residue"))
+
+
+def _with_columns(reader):
+    """What ``reader`` gives, and the columns after the text as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for out in reader(iter([batch])):
+                yield pa.RecordBatch.from_arrays([*out.columns, batch.column(2), batch.column(3)], names=[*out.schema.names, "origin", "source"])
+
+    return run

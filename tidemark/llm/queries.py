@@ -97,7 +97,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_labels(spark: SparkSession, d: str) -> DataFrame:
-    return residue(spread(table(spark, d, "documents").select("doc_id", "text"))).withColumnRenamed("id", "doc_id")
+    return residue(spread(table(spark, d, "documents").select("doc_id", "text", "origin", "source")), origin="origin", source="source").withColumnRenamed("id", "doc_id")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
