@@ -44,7 +44,7 @@ PLACEHOLDER = re.compile(
 )
 # Wording of sentences that write about such marks.
 ABOUT = re.compile(
-    r"explain|fields?\b|fills? (?:it|them|in|out)|placeholder|template (?:syntax|language|engine)|syntax|(?:marked|labelled)\b|(?:never|not) filled|(?:was|were) read|read (?:out )?as|(?:sign|board|screen|label|page) (?:said|read|showed)|said ['\"“]|the words?\b|variable|the manual|export \w+=|written as|is written|stands? for|notation|docs? (?:say|show)|documentation|for example|such as|code sample|tutorial|quoted|quotes",
+    r"explain|\bmarks? (?:the |a )?fields?\b|\bfills? (?:it|them|in|out)\b|placeholder|template (?:syntax|language|engine)|syntax|\b(?:marked|labelled)\b|(?:never|not) filled|\b(?:was|were) read\b|\bread (?:out )?as\b|\b(?:sign|board|screen|label|page) (?:said|read|showed)|said ['\"“]|the words?\b|variable|the manual|export \w+=|written as|is written|stands? for|notation|docs? (?:say|show)|documentation|for example|such as|code sample|tutorial|quoted|quotes",
     re.IGNORECASE,
 )
 # Pseudo-Latin, keyboard and skeleton filler.
