@@ -273,7 +273,7 @@ def _body_digest(text: str, tokens: list[str]) -> int | None:
     if len(tokens) > 2 * NOTICE_WORDS:
         return None
     found = ["0" if w.isdigit() else w for x in text.splitlines() if not _menu_line(x) for w in words(_PATH.sub(" 0 ", x))]
-    return xxhash.xxh64_intdigest(" ".join(found)) - 2**63 if 3 <= len(found) <= NOTICE_WORDS else None
+    return xxhash.xxh64_intdigest(" ".join(found)) - 2**63 if SHINGLE <= len(found) <= NOTICE_WORDS else None
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
