@@ -1,10 +1,12 @@
 """Problem 2: the main body of web pages given as lines of text.
 
-Pages come without tags, so a line's container is told by its place, its indent and its shape. Each
-page judges its lines on its own first. Votes are then counted per host in Spark: on each line
-(what many pages of a host repeat is no article) and on generalised paths of indent and shape
-(what is hardly ever body on a host is not body on its odd pages either). The winning votes are
-joined back to the pages, which are judged again with them.
+Pages come without tags, so a line's container is told by its place: the line that heads it, its
+indent and its shape. Each page judges its lines on its own first. Votes are then counted in
+Spark. On each host: on lines (what many pages of a host repeat is no article) and on generalised
+paths of indent and shape (what is hardly ever body on a host is not body on its odd pages either). Over all hosts: on the lines that head containers and on the words before a colon, as
+labels, buttons, prompts and notices are the same on many sites whose articles differ; whether
+long lines or short ones follow such a line tells containers of prose from columns of other
+stories. The winning votes are joined back to the pages, which are judged again with them.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from tidemark.session import materialize, ship_package
 PAGES, SHARE, SHARE_OF_TEXT = 3, 0.03, 0.1
 #: A path is not body if the host has at least this many lines on it and at most this share judged body.
 PATH_LINES, PATH_SHARE = 12, 0.15
+#: A line, or the words before its colon, is furniture of many sites if so many hosts and titles have it, unless long
+#: lines follow it in this share; it heads a column if short lines follow it in this share.
+HOSTS, TITLES, LONG_AFTER, SHORT_AFTER = 5, 5, 0.3, 0.6
 
 BLANK, MENU, NOTICE, SHORT, LABEL, AD, FOOT, HEADLINE, TEXT, ITEM, HEADING, INLINE, BUTTON, LONG = range(14)
 
@@ -46,7 +51,7 @@ _NOTICE_ABOUT = re.compile(r"cookie|tracker|traceur|trazador|on your device|your
 # Buttons, and words of menus and footers.
 _BUTTONS = "accept all,accept,reject,reject all,allow,allow all,deny,decline,ok,ok, got it,got it,more information,manage settings,settings,cookie settings,preferences,learn more,close,continue,agree,i agree,configurar,rechazar,rechazar todo,aceptar,aceptar todo,más información,ablehnen,alle annehmen,alle ablehnen,annehmen,akzeptieren,alle akzeptieren,einstellungen,mehr erfahren,refuser,tout refuser,tout accepter,accepter,paramétrer,en savoir plus"
 BUTTONS = frozenset(_BUTTONS.split(","))
-_WORDS = "accessibility,imprint,privacy,site map,sitemap,rss,careers,terms of use,terms,advertise,contact,about us,home,register,login,log in,search,archive,help,video,photos,opinion,sport,sports,weather,news,forum,tides,markets,jobs,shipping,fleet list,legal,cookies,datenschutz,impressum,mediadaten,agb,kontakt,hilfe,suche,archiv,startseite,anmelden,meinung,wetter,schifffahrt,stellen,nachrichten,märkte,videos,häfen,aviso legal,privacidad,mapa del sitio,publicidad,contacto,inicio,buscar,ayuda,archivo,entrar,opinión,tiempo,puertos,mercados,noticias,empleo,vídeos,mentions légales,vie privée,plan du site,publicité,accueil,recherche,aide,archives,connexion,opinions,météo,ports,marchés,actualités,emploi,vidéos"
+_WORDS = "accessibility,imprint,privacy,site map,sitemap,rss,careers,terms of use,terms,advertise,contact,about us,home,register,login,log in,search,archive,help,video,photos,opinion,sport,sports,weather,news,forum,markets,jobs,legal,cookies,datenschutz,impressum,mediadaten,agb,kontakt,hilfe,suche,archiv,startseite,anmelden,meinung,wetter,stellen,nachrichten,märkte,videos,aviso legal,privacidad,mapa del sitio,publicidad,contacto,inicio,buscar,ayuda,archivo,entrar,opinión,tiempo,mercados,noticias,empleo,vídeos,mentions légales,vie privée,plan du site,publicité,accueil,recherche,aide,archives,connexion,opinions,météo,marchés,actualités,emploi,vidéos"
 WORDS = frozenset(_WORDS.split(","))
 FOOTER = re.compile(r"^(?:©|\(c\)|copyright\b|&copy;).{0,90}$|^.{0,60}\ball rights reserved\.?$|^.{0,60}\balle rechte vorbehalten\.?$|^.{0,60}\btous droits réservés\.?$|^.{0,60}\btodos los derechos reservados\.?$", re.IGNORECASE)
 _SEPARATED = re.compile(r"\s*[|·•»›→]\s*|\s+[>/]\s+|\s{2,}|\t+")
@@ -133,17 +138,23 @@ def shapes(text: str, title: str | None) -> list[tuple[int, int, int, str]]:
 _OFF = frozenset((MENU, NOTICE, LABEL, AD, FOOT, INLINE, BUTTON))
 
 
-def body(lines: list[tuple[int, int, int]], own: frozenset[int] = frozenset(), bad: frozenset[tuple[int, int]] = frozenset()) -> list[int]:
+def path_of(line: tuple[int, int, int]) -> int:
+    """The generalised path of a line, indent and shape; 0 for lines without indent, whose containers are told by the line that heads them."""
+    return line[2] * 16 + line[1] if line[2] else 0
+
+
+def body(lines: list[tuple[int, int, int]], own: frozenset[int] = frozenset(), bad: frozenset[int] = frozenset(), heads: frozenset[int] = frozenset()) -> list[int]:
     """Numbers of the lines of the main body.
 
-    ``lines``: (number, shape, indent); ``own``: numbers of lines that are the host's; ``bad``: (indent,
-    shape) paths that are not body on this host. The body runs from the heading to the first
-    column of other stories or footer; a page that only lists stories has none.
+    ``lines``: (number, shape, indent); ``own``: numbers of lines that are the host's or of many
+    sites; ``bad``: numbers of lines on paths that are not body on this host; ``heads``: numbers of lines that head
+    columns of other stories. The body runs from the heading to the first column of other
+    stories or footer; a page that only lists stories has none.
     """
-    full = [x for x in lines if x[1] != BLANK]
+    full = [(x[0], LABEL if x[0] in heads else x[1], x[2]) for x in lines if x[1] != BLANK]
     shift = [0]
-    off = lambda x: x[1] in _OFF or x[0] in own or (x[2], x[1]) in bad or (x[2] not in shift and x[1] not in (ITEM, HEADING))
-    start = next((i for i, x in enumerate(full) if x[1] == HEADING and x[0] not in own and (x[2], x[1]) not in bad), None)
+    off = lambda x: x[1] in _OFF or x[0] in own or x[0] in bad or (x[2] not in shift and x[1] not in (ITEM, HEADING))
+    start = next((i for i, x in enumerate(full) if x[1] == HEADING and x[0] not in own and x[0] not in bad), None)
     titled = start is not None
     if start is None:
         shift.append(1), shift.append(2), shift.append(3)
@@ -152,13 +163,13 @@ def body(lines: list[tuple[int, int, int]], own: frozenset[int] = frozenset(), b
             return []
     shift[:] = [full[start][2]]  # the body stands where its heading stands
     end = len(full)
+    last_long = max((i for i, x in enumerate(full) if x[1] == LONG and not off(x)), default=-1)
     for i in range(start + 1, len(full)):
         no, shape, _ = full[i]
-        after = full[i + 1 :]
         if shape == LABEL or shape == FOOT:
             end = i
             break
-        if no in own and shape in (SHORT, HEADLINE) and after and after[0][1] in (HEADLINE, ITEM) and not any(x[1] == LONG and not off(x) for x in after[3:]):
+        if no in own and shape in (SHORT, HEADLINE) and i + 1 < len(full) and full[i + 1][1] in (HEADLINE, ITEM) and last_long < i + 4:
             end = i
             break
     while end > start + 1 and (off(full[end - 1]) or full[end - 1][1] == SHORT):
@@ -166,8 +177,8 @@ def body(lines: list[tuple[int, int, int]], own: frozenset[int] = frozenset(), b
     kept = [x for x in full[start:end] if not off(x)]
     texts = [x for x in kept if x[1] in (LONG, TEXT, ITEM)]
     if not titled:
-        heads = sum(x[1] == HEADLINE for x in kept)
-        if heads >= 3 and not any(x[1] == LONG for x in kept) or not texts:
+        headlines = sum(x[1] == HEADLINE for x in kept)
+        if headlines >= 3 and not any(x[1] == LONG for x in kept) or not texts:
             return []
     if titled and not texts and sum(x[1] == HEADLINE for x in kept) >= 3:
         return []
@@ -178,26 +189,36 @@ def _key(plain: str) -> int:
     return xxhash.xxh64_intdigest(plain) - 2**63
 
 
+def _prefix(plain: str) -> int:
+    """A key of the words before a line's colon, 0 if there are none or more than four."""
+    words, colon, rest = plain.partition(":")
+    return _key(words.strip()) if colon and rest.strip() and 0 < len(words.split()) <= 4 else 0
+
+
+_FIELDS = (("numbers", pa.int32()), ("shapes", pa.int8()), ("indents", pa.int8()), ("keys", pa.int64()), ("prefixes", pa.int64()), ("paths", pa.int32()), ("local", pa.bool_()), ("after", pa.int8()), ("tails", pa.bool_()))
+
+
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, host, title's key, numbers, shapes, indents, keys, local): what the second pass needs of a page, without its text."""
+    """(page_id, host, title's key, and of each line number, shape, indent, keys, path, own judgement, next shape): what the second pass needs of a page, without its text."""
     for batch in batches:
-        cols: list[list] = [[], [], [], [], [], [], [], []]
+        cols: list[list] = [[] for _ in range(3 + len(_FIELDS))]
         for page, site, title, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
             lines = shapes(text, title)
             local = set(body([x[:3] for x in lines]))
             lines = [x for x in lines if x[1] != BLANK]
-            for col, value in zip(cols, (page, site, _key(_plain(title or "") or str(page)), [x[0] for x in lines], [x[1] for x in lines], [x[2] for x in lines], [_key(x[3]) for x in lines], [x[0] in local for x in lines])):
+            after = [*(x[1] for x in lines[1:]), BLANK] if lines else []
+            values = (page, site, _key(_plain(title or "") or str(page)), [x[0] for x in lines], [x[1] for x in lines], [x[2] for x in lines], [_key(x[3]) for x in lines], [_prefix(x[3]) for x in lines], [path_of(x[:3]) for x in lines], [x[0] in local for x in lines], after, [bool(_TERMINAL.search(x[3])) and len(x[3].split()) <= 3 for x in lines])
+            for col, value in zip(cols, values):
                 col.append(value)
-        types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.int8()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["page_id", "host", "head", "numbers", "shapes", "indents", "keys", "local"])
+        types = [pa.int64(), pa.string(), pa.int64(), *(pa.list_(t) for _, t in _FIELDS)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["page_id", "host", "head", *(n for n, _ in _FIELDS)])
 
 
 def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pages, numbers = [], []
-        for page, nos, kinds, indents, own, bad in zip(*(batch.column(c).to_pylist() for c in range(6))):
-            paths = frozenset(divmod(b, 64) for b in bad or ())
-            found = body(list(zip(nos, kinds, indents)), frozenset(own or ()), paths)
+        for page, nos, kinds, indents, own, bad, heads in zip(*(batch.column(c).to_pylist() for c in range(7))):
+            found = body(list(zip(nos, kinds, indents)), frozenset(own or ()), frozenset(bad or ()), frozenset(heads or ()))
             pages += [page] * len(found)
             numbers += found
         yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(numbers, pa.int64())], names=["page_id", "line_no"])
@@ -212,25 +233,37 @@ def main_body(pages: DataFrame, key: str = "page_id", url: str = "url", title: s
     gives no rows; other columns are not read.
 
     The first pass leaves a few bytes for each line, so the texts are read once and never
-    shuffled; votes are counted in the tasks before they are shuffled by host and line.
+    shuffled; votes are counted in the tasks before they are shuffled by host and line. Lines
+    that most pages of the collection have meet only the few that won over all hosts.
     """
     ship_package(pages.sparkSession)
     site = F.regexp_replace(host(url), r"^www\.", "")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), site.alias("host"), F.col(title).alias("title"), F.col(text).alias("text"))
     rows = rows.filter("page_id is not null and text is not null")
-    made = rows.mapInArrow(_first_pass, "page_id long, host string, head long, numbers array<int>, shapes array<tinyint>, indents array<tinyint>, keys array<long>, local array<boolean>")
+    made = rows.mapInArrow(_first_pass, "page_id long, host string, head long, numbers array<int>, shapes array<tinyint>, indents array<tinyint>, keys array<long>, prefixes array<long>, paths array<int>, local array<boolean>, after array<tinyint>, tails array<boolean>")
     once = materialize(made.dropDuplicates(["page_id"]))
-    line = once.filter("host is not null").select("page_id", "host", "head", F.explode(F.arrays_zip("numbers", "shapes", "indents", "keys", "local")).alias("x"))
-    per_page = line.select("page_id", "host", "head", F.col("x.keys").alias("k"), F.col("x.numbers").alias("no"), F.col("x.shapes").alias("shape"))
+    line = once.filter("host is not null").select("page_id", "host", "head", F.explode(F.arrays_zip("numbers", "shapes", "keys", "prefixes", "paths", "local", "after", "tails")).alias("x"))
+    line = line.select("page_id", "host", "head", F.col("x.numbers").alias("no"), F.col("x.shapes").alias("shape"), F.col("x.keys").alias("k"), F.col("x.prefixes").alias("p"), F.col("x.paths").alias("path"), F.col("x.local").cast("int").alias("b"), F.col("x.after").alias("after"), F.col("x.tails").alias("tail"))
     # Copies of one article under several addresses share its title and vote once.
-    by_title = per_page.groupBy("host", "k", "head").agg(F.min("shape").alias("shape"))
-    votes = by_title.groupBy("host", "k").agg(F.count(F.lit(1)).alias("n"), F.min("shape").alias("shape")).filter(F.col("n") >= PAGES)
+    long, short = (F.max(F.col("after").isin(*kinds).cast("int")).alias(name) for kinds, name in (((LONG,), "long"), ((HEADLINE, ITEM, SHORT), "short")))
+    by_title = line.groupBy("host", "k", "head").agg(F.min("shape").alias("shape"), long, short, F.max("tail").alias("tail"))
+    votes = by_title.groupBy("host", "k").agg(F.count(F.lit(1)).alias("n"), F.min("shape").alias("shape"), F.sum("long").alias("long"), F.sum("short").alias("short"), F.max("tail").alias("tail"))
     sizes = once.filter("host is not null").select("host", "head").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     share = F.when(F.col("shape").isin(HEADLINE, TEXT, ITEM, LONG), SHARE_OF_TEXT).otherwise(SHARE)
-    won = votes.join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "k")
-    own = per_page.join(won, ["host", "k"]).groupBy("page_id").agg(F.collect_list("no").alias("own"))
-    path = (F.col("x.indents").cast("int") * 64 + F.col("x.shapes").cast("int")).alias("path")
-    paths = line.filter("x.indents > 0").select("host", path, F.col("x.local").cast("int").alias("b")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"))
-    bad = paths.filter((F.col("n") >= PATH_LINES) & (F.col("b") <= PATH_SHARE * F.col("n"))).groupBy("host").agg(F.collect_list("path").alias("bad"))  # a few paths for each host
-    full = once.join(own, "page_id", "left").join(bad, "host", "left")
-    return full.select("page_id", "numbers", "shapes", "indents", "own", "bad").mapInArrow(_second_pass, "page_id long, line_no long")
+    won = votes.filter(F.col("n") >= PAGES).join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "k")
+    # Over all hosts: the few lines, and words before a colon, that many of them have; the last words of a wrapped paragraph tell nothing.
+    wide = votes.filter("not tail").groupBy("k").agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("n"), F.min("shape").alias("shape"), F.sum("long").alias("long"), F.sum("short").alias("short"))
+    wide = wide.filter((F.col("hosts") >= HOSTS) & (F.col("n") >= TITLES) & (F.col("long") < LONG_AFTER * F.col("n")))
+    heads = (F.col("short") > SHORT_AFTER * F.col("n")) & F.col("shape").isin(SHORT, HEADLINE, LABEL)
+    wide = materialize(wide.select("k", heads.alias("heads")))
+    inline = line.filter((F.col("p") != 0) & F.col("shape").isin(HEADLINE, INLINE, MENU)).select("host", "p", "head").distinct().groupBy("host", "p").agg(F.count(F.lit(1)).alias("n"))
+    inline = materialize(inline.groupBy("p").agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("n")).filter((F.col("hosts") >= HOSTS) & (F.col("n") >= TITLES)).select("p"))
+    # Paths of a host that hardly ever are body.
+    paths = line.filter("path != 0").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"))
+    lost = paths.filter((F.col("n") >= PATH_LINES) & (F.col("b") <= PATH_SHARE * F.col("n"))).select("host", "path")
+    kind = lambda rows, name: rows.select("page_id", F.lit(name).alias("kind"), "no")
+    told = kind(line.join(won, ["host", "k"]), "own").unionByName(kind(line.join(wide, "k"), "own")).unionByName(kind(line.join(wide.filter("heads"), "k"), "heads"))
+    told = told.unionByName(kind(line.filter((F.col("p") != 0) & F.col("shape").isin(HEADLINE, INLINE, MENU)).join(inline, "p"), "own")).unionByName(kind(line.join(lost, ["host", "path"]), "bad"))
+    flags = told.groupBy("page_id").agg(*(F.collect_set(F.when(F.col("kind") == c, F.col("no"))).alias(c) for c in ("own", "bad", "heads")))  # lines of one page
+    full = once.join(flags, "page_id", "left")
+    return full.select("page_id", "numbers", "shapes", "indents", "own", "bad", "heads").mapInArrow(_second_pass, "page_id long, line_no long")
