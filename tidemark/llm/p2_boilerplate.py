@@ -250,7 +250,8 @@ def main_body(pages: DataFrame, key: str = "page_id", url: str = "url", title: s
     votes = by_title.groupBy("host", "k").agg(F.count(F.lit(1)).alias("n"), F.min("shape").alias("shape"), F.sum("long").alias("long"), F.sum("short").alias("short"), F.max("tail").alias("tail"))
     sizes = once.filter("host is not null").select("host", "head").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     share = F.when(F.col("shape").isin(HEADLINE, TEXT, ITEM, LONG), SHARE_OF_TEXT).otherwise(SHARE)
-    won = votes.filter(F.col("n") >= PAGES).join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "k")
+    votes = materialize(votes)
+    won = materialize(votes.filter(F.col("n") >= PAGES).join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "k", F.lit(True).alias("of_host")))
     # Over all hosts: the few lines, and words before a colon, that many of them have; the last words of a wrapped paragraph tell nothing.
     wide = votes.filter("not tail").groupBy("k").agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("n"), F.min("shape").alias("shape"), F.sum("long").alias("long"), F.sum("short").alias("short"))
     wide = wide.filter((F.col("hosts") >= HOSTS) & (F.col("n") >= TITLES) & (F.col("long") < LONG_AFTER * F.col("n")))
@@ -260,10 +261,12 @@ def main_body(pages: DataFrame, key: str = "page_id", url: str = "url", title: s
     inline = materialize(inline.groupBy("p").agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("n")).filter((F.col("hosts") >= HOSTS) & (F.col("n") >= TITLES)).select("p"))
     # Paths of a host that hardly ever are body.
     paths = line.filter("path != 0").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"))
-    lost = paths.filter((F.col("n") >= PATH_LINES) & (F.col("b") <= PATH_SHARE * F.col("n"))).select("host", "path")
-    kind = lambda rows, name: rows.select("page_id", F.lit(name).alias("kind"), "no")
-    told = kind(line.join(won, ["host", "k"]), "own").unionByName(kind(line.join(wide, "k"), "own")).unionByName(kind(line.join(wide.filter("heads"), "k"), "heads"))
-    told = told.unionByName(kind(line.filter((F.col("p") != 0) & F.col("shape").isin(HEADLINE, INLINE, MENU)).join(inline, "p"), "own")).unionByName(kind(line.join(lost, ["host", "path"]), "bad"))
-    flags = told.groupBy("page_id").agg(*(F.collect_set(F.when(F.col("kind") == c, F.col("no"))).alias(c) for c in ("own", "bad", "heads")))  # lines of one page
+    lost = materialize(paths.filter((F.col("n") >= PATH_LINES) & (F.col("b") <= PATH_SHARE * F.col("n"))).select("host", "path", F.lit(True).alias("bad")))
+    # The winners are few and written, so the planner knows whether they can be broadcast to the lines.
+    told = line.select("page_id", "host", "no", "k", "path", F.when(F.col("shape").isin(HEADLINE, INLINE, MENU), F.col("p")).alias("p"))
+    told = told.join(won, ["host", "k"], "left").join(wide, "k", "left").join(lost, ["host", "path"], "left").join(inline.withColumn("label", F.lit(True)), "p", "left")
+    told = told.filter("of_host or label or heads is not null or bad")
+    own = F.col("of_host") | F.col("label") | F.col("heads").isNotNull()
+    flags = told.groupBy("page_id").agg(*(F.collect_set(F.when(c, F.col("no"))).alias(name) for c, name in ((own, "own"), (F.col("bad"), "bad"), (F.col("heads"), "heads"))))  # lines of one page
     full = once.join(flags, "page_id", "left")
     return full.select("page_id", "numbers", "shapes", "indents", "own", "bad", "heads").mapInArrow(_second_pass, "page_id long, line_no long")
