@@ -305,3 +305,22 @@ def test_short_bodies_of_many_origins_are_residue(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, origin string, source string")
     assert {r.id for r in rs.residue(df, origin="origin", source="source").collect()} == set(range(6))
     assert rs.residue(df).count() == 0
+
+
+def test_furniture_of_many_sites_needs_no_list(spark):
+    """Heads of columns, prompts and inline labels of invented wording, on hosts of few pages."""
+    from tidemark.llm import p2_boilerplate as pb
+
+    rows, want, page = [], set(), 0
+    for host in range(8):
+        for k in range(2):
+            page += 1
+            tag = f"{chr(97 + host)}{chr(97 + k)}"
+            body = [f"Story {tag} of the harbour", f"The crew {tag} came ashore at noon. They had seen the {tag} light for hours before the storm.", "Plim the glorb", "", f"Nobody {tag} had heard the horn of the second pilot. The inquiry {tag} goes on tomorrow."]
+            side = ["Zarf und Quux", f"Pilot {tag} moves the old pier", f"Buoy {tag} drifts past the town", "Wibble: a dock burns again " + tag]
+            rows.append((page, f"http://h{host}.example/{k}", body[0], "\n".join(body + [""] + side)))
+            want |= {(page, 1), (page, 2), (page, 3), (page, 5)}
+    df = spark.createDataFrame(rows, "page_id long, url string, title string, text string")
+    assert {tuple(r) for r in pb.main_body(df).collect()} == want
+    # On one site alone the same lines are few, and its pages are judged on their own.
+    assert {tuple(r) for r in pb.main_body(df.limit(1)).collect()} > {(1, 1), (1, 2), (1, 3), (1, 5)}

@@ -154,3 +154,12 @@ def test_weights_and_scales(spark):
 def test_no_rows_to_rank(spark):
     df = spark.createDataFrame([], "g int, item string, s double, t double")
     assert borda_points(df, "g", F.col("item"), SCORES).count() == 0
+
+
+def test_shares_of_the_splits(spark):
+    from tidemark.llm.p1_splits import split_shares
+
+    rows = spark.createDataFrame([("train",)] * 8 + [("test",)] * 2, "split string")
+    targets = spark.createDataFrame([("train", 0.8), ("test", 0.1), ("test", 0.1), ("dev", 0.1), (None, 0.5)], "split_name string, target_share double")
+    assert {tuple(r) for r in split_shares(rows, targets).collect()} == {("train", 0.8, 8, 0.8), ("test", 0.1, 2, 0.2), ("dev", 0.1, 0, 0.0)}
+    assert {r.actual_share for r in split_shares(rows.limit(0), targets).collect()} == {0.0}

@@ -108,3 +108,13 @@ def grouped_splits(rows: DataFrame, targets: DataFrame, query: str = "query_id",
     chosen = ranked.join(plan, "size", "left").filter("split is null or (place >= lo and place < hi)").select("group_id", "split")
     of_vertex = member.select("_vertex", "group_id").join(chosen, "group_id")
     return marked.join(of_vertex, "_vertex").drop("_vertex", "_doc")
+
+
+def split_shares(assigned: DataFrame, targets: DataFrame) -> DataFrame:
+    """(split, target_share, rows, actual_share): what each split of the small target table was to have and has; no rows give shares of 0."""
+    n = assigned.groupBy(F.col("split").alias("_s")).agg(F.count(F.lit(1)).alias("rows"))
+    whole = assigned.agg(F.count(F.lit(1)).alias("_all"))
+    asked = targets.filter("split_name is not null").groupBy(F.col("split_name").alias("split")).agg(F.max("target_share").alias("target_share"))
+    got = asked.join(n, F.col("split") == F.col("_s"), "left").crossJoin(F.broadcast(whole))  # one row
+    rows = F.coalesce("rows", F.lit(0).cast("long"))
+    return got.select("split", "target_share", rows.alias("rows"), F.coalesce(rows / F.nullif("_all", F.lit(0)), F.lit(0.0)).alias("actual_share"))

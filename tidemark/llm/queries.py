@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.p1_splits import clean_id, grouped_splits, related_queries
+from tidemark.llm.p1_splits import clean_id, grouped_splits, related_queries, split_shares
 from tidemark.llm.p2_boilerplate import main_body
 from tidemark.llm.p3_mail_text import new_text
 from tidemark.llm.p4_borda import borda_points, borda_ranking, first_of_each
@@ -27,6 +27,10 @@ def p1_split(spark: SparkSession, d: str) -> DataFrame:
     return out.select("row_id", "group_id", "split")
 
 
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    return split_shares(p1_split(spark, d), table(spark, d, "split_targets"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     found = related_queries(table(spark, d, "training_features").filter("query_id is not null"))
     return found.select(F.col("component").alias("group_query_id"), F.col("vertex").alias("query_id"))
@@ -105,7 +109,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_split, p2_found, p3_found, p4_found, p4_ranking, p5_found, p5_classes, p6_found, p6_weights, p7_ids, p8_mix, p8_shares, p9_found, p9_labels)
+    f.__name__: f for f in (p1_found, p1_split, p1_shares, p2_found, p3_found, p4_found, p4_ranking, p5_found, p5_classes, p6_found, p6_weights, p7_ids, p8_mix, p8_shares, p9_found, p9_labels)
 }
 
 _CLEAN = "nullif(upper(regexp_replace(doc_id, '\\s+', '', 'g')), '')"
