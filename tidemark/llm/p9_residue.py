@@ -197,8 +197,8 @@ def is_notice(text: str, tokens: list[str] | None = None) -> bool:
     """An error page, dump or script notice with next to nothing beside it."""
     first = next((x for x in text.split("\n", 4) if x.strip() and not _menu_line(x)), "")
     dumped = DUMP.match(first.lstrip("\ufeff\u200b"))
-    # A text of many words without menus is no notice, and is not read any further.
-    if not dumped and len(words(text) if tokens is None else tokens) > 2 * NOTICE_WORDS and not _DIVIDED.search(text):
+    # A text of many words beside its menus is no notice, and is not read any further.
+    if not dumped and len(words(text) if tokens is None else tokens) > 2 * NOTICE_WORDS and sum(len(x.split()) for x in text.splitlines() if not (_DIVIDED.search(x) and _menu_line(x))) > 2 * NOTICE_WORDS:
         return False
     text = _readable(text)
     lines = [x for x in text.splitlines() if x.strip() and not _menu_line(x)]
@@ -238,14 +238,15 @@ def simhash(tokens: list[str]) -> list[int]:
         features = np.concatenate([mixed(h), mixed(h[:-1] * _ODD + h[1:])]) if len(h) > 1 else mixed(h)
     place = (features & np.uint64(3)).astype(np.int8)
     features = mixed(features)
-    out = []
-    for k in range(4):
-        own = features[place == k]
-        votes = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(own), 50_000):
-            votes += 2 * np.unpackbits(own[at : at + 50_000].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(votes > len(own)).view(np.int64)[0]))
-    return out
+    votes = np.zeros((4, 64))
+    for at in range(0, len(features), 50_000):
+        bits = np.unpackbits(features[at : at + 50_000].view(np.uint8)).reshape(-1, 64).astype(np.float32)
+        votes += (place[at : at + 50_000] == _FOUR).astype(np.float32) @ bits
+    most = 2 * votes > np.bincount(place, minlength=4)[:, None]
+    return np.packbits(most, axis=1).view(np.int64)[:, 0].tolist()
+
+
+_FOUR = np.arange(4, dtype=np.int8)[:, None]
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
