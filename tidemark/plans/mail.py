@@ -159,7 +159,7 @@ ORACLES = {
     "train_test_split": f"with {_SPLIT} select * from split",
     "unigram_matrix": f"with {_SPLIT}, documents_ as (select email_id doc_id, text from m), {_MTOK}, post as materialized (select term, doc_id, count(*) tf from tokens group by all), train as materialized (select email_id doc_id from split where part = 'train'), seen as materialized (select distinct term from post semi join train using (doc_id)), vocab as materialized (select term, row_number() over (order by term) - 1 col_id from seen) select doc_id row_id, col_id, tf as value from post join vocab using (term)",
     "spam_matrix": f"with {_MAILS}, documents_ as (select email_id doc_id, text from m), {_MTOK}, {_PH}, b as (select phrase_id, doc_id, pos - k begin_, len, count(*) met from tokens join ph using (term) group by all), head as (" + " union all ".join(f"select email_id row_id, {i}::bigint col_id, {c}::double as value from m where {c} <> 0" for i, c in enumerate(ml.HEADERS)) + f") select * from head union all select doc_id, phrase_id + {len(ml.HEADERS)}, count(*) from b where met = len group by doc_id, phrase_id",
-    "mime_text": f"with {_MAILS} select email_id, coalesce(from_addr, '') from_addr, 2 servers_count, 60 span_time, 0 wrong_time, trim(regexp_replace(coalesce(text, '') || ' as html', '\s+', ' ', 'g')) as text from m",
+    "mime_text": f"with {_MAILS} select email_id, coalesce(from_addr, '') from_addr, 2 servers_count, 60 span_time, 0 wrong_time, trim(regexp_replace(coalesce(text, '') || ' as html', '\\s+', ' ', 'g')) as text from m",
     "sender_domain": f"with {_MAILS} select email_id, {_ADDR.format(c='from_addr')} address, lower(split_part({_ADDR.format(c='from_addr')}, '@', -1)) as domain from m",
 }
 ORACLES = {k: v for k, v in ORACLES.items() if v}
