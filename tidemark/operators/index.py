@@ -57,11 +57,18 @@ def nested(postings_: DataFrame, block: int = BLOCK) -> DataFrame:
     ``postings_`` has (term, doc_id, tf, tp). A term that a third of all documents hold has many
     blocks, and none of them, nor any task, holds its whole list.
     """
-    spread = placed(postings_.select("term", "doc_id", "tf", "tp"), ["term"], [-F.col("tf"), F.col("doc_id")])
-    entry = F.struct("place", "doc_id", "tf", "tp")
-    lists = spread.groupBy("term", F.floor((F.col("place") - 1) / block).cast("long").alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("l"))  # block entries at most
-    lists = lists.select("term", "block", F.transform("l", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["tf"].alias("tf"), x["tp"].alias("tp"))).alias("postings"))
-    return lists.join(term_stats(postings_), "term").select("term", "ttf", "df", "block", "postings")
+    postings_ = materialize(postings_.select("term", "doc_id", "tf", "tp"))
+    stats = term_stats(postings_)
+    hot = materialize(stats.filter(F.col("df") > block).select("term"))
+    entry = F.struct((-F.col("tf")).alias("o"), "doc_id", "tf", "tp")
+    bare = lambda l: F.transform(l, lambda x: F.struct(x["doc_id"].alias("doc_id"), x["tf"].alias("tf"), x["tp"].alias("tp")))
+    short = postings_.join(hot, "term", "left_anti").groupBy("term").agg(F.sum("tf").alias("ttf"), F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(entry)).alias("l"))  # block entries at most
+    lists = short.select("term", F.col("ttf").cast("long").alias("ttf"), "df", F.lit(0).cast("long").alias("block"), bare("l").alias("postings"))
+    if hot.isEmpty():
+        return lists
+    spread = placed(postings_.join(hot, "term", "left_semi"), ["term"], [-F.col("tf"), F.col("doc_id")])
+    cut = spread.groupBy("term", F.floor((F.col("place") - 1) / block).cast("long").alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("l"))  # block entries at most
+    return lists.unionByName(cut.select("term", "block", bare("l").alias("postings")).join(stats, "term").select(*lists.columns))
 
 
 def flat(nested_: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ CATEGORIES = (("vessel", ("vessel", "hull", "lifeboat", "crew")), ("place", ("ha
 PHRASES = (("crew of the",), ("officials in",), ("a captain expert",), ("the crew of the",))
 NEEDLE = "cancel"
 WANTED = ("the", "harbour", "lifeboat", "u.s.", "nosuchterm")
-#: Entries of a list in one row; small, so that the test data have terms of several blocks.
+#: Entries of a merged list in one row; small, so that the test data have terms of several blocks.
 LIST_BLOCK = 500
 MARKED = ["harbour", "crew", "vessel"]
 
@@ -131,7 +131,9 @@ _SPANS = """occ as (select query_id, doc_id, term, pos from q join tokens using
 w as (select a.query_id, a.doc_id, a.pos, b.term, min(b.pos) p from occ a join occ b on a.query_id = b.query_id and a.doc_id = b.doc_id and b.pos >= a.pos group by a.query_id, a.doc_id, a.pos, b.term),
 sp as (select query_id, doc_id, n_met, min(wide) span from (select query_id, doc_id, pos, max(p) - pos wide, count(*) c from w group by query_id, doc_id, pos) join two using (query_id, doc_id) where c = n_met group by query_id, doc_id, n_met)"""
 
-_LISTS = f"with {TOKENS}, pt as (select term, doc_id, count(*) tf, string_agg(pos::varchar, ',' order by pos) tp from tokens group by all), o as (select *, row_number() over (partition by term order by tf desc, doc_id) r, sum(tf) over (partition by term)::bigint ttf, count(*) over (partition by term) df from pt) select term, ttf, df, ((r - 1) // {LIST_BLOCK})::bigint block, string_agg(doc_id || ':' || tf || ':' || tp, ' ' order by r) postings from o group by all"
+def _lists(block: int) -> str:
+    return f"with {TOKENS}, pt as (select term, doc_id, count(*) tf, string_agg(pos::varchar, ',' order by pos) tp from tokens group by all), o as (select *, row_number() over (partition by term order by tf desc, doc_id) r, sum(tf) over (partition by term)::bigint ttf, count(*) over (partition by term) df from pt) select term, ttf, df, ((r - 1) // {block})::bigint block, string_agg(doc_id || ':' || tf || ':' || tp, ' ' order by r) postings from o group by all"
+
 
 QUERIES = {
     "okapi_tf": _run(rk.okapi_tf),
@@ -162,7 +164,7 @@ QUERIES = {
     "approx_unique_terms": lambda s, d: an.tokens(documents(s, d)).agg(F.approx_count_distinct("term").alias("unique_terms")),
     "doc_unique_stats": _unique_stats,
     "postings_merge": _merge,
-    "postings_nested": lambda s, d: _listed(ix.nested(ix.postings(an.tokens(documents(s, d)), positions=True), LIST_BLOCK)),
+    "postings_nested": lambda s, d: _listed(ix.nested(ix.postings(an.tokens(documents(s, d)), positions=True))),
     "stem_terms": lambda s, d: an.stems(an.tokens(documents(s, d))),
     "stemmed_stats": lambda s, d: ix.term_stats(ix.postings(an.stemmed(an.tokens(documents(s, d))))),
     "vocab_intersect": _vocab_intersect,
@@ -197,7 +199,7 @@ ORACLES = {
     "corpus_stats": f"with {INDEX} select n_docs, total_len, round(avgdl, 6) avgdl, floor(avgdl)::bigint avgdl_int, vocabulary from stats",
     "unique_terms": f"with {INDEX} select doc_id, count(*) unique_terms from post group by all",
     "doc_unique_stats": f"with {INDEX}, u as (select doc_id, count(*) u from post group by all) select count(*) n, min(u) least, max(u) most, round(avg(u), 6) mean, sum(u)::bigint total from u",
-    "postings_merge": _LISTS,
-    "postings_nested": _LISTS,
+    "postings_merge": _lists(LIST_BLOCK),
+    "postings_nested": _lists(ix.BLOCK),
     "vocab_intersect": f"with documents as (select * from documents where lang in ('en', 'fr')), {TOKENS} select distinct term from tokens join documents using (doc_id) where lang = 'en' intersect select term from tokens join documents using (doc_id) where lang = 'fr'",
 }
