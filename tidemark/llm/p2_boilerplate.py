@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import pyarrow as pa
 import xxhash
@@ -31,6 +32,9 @@ PATH_LINES, PATH_SHARE = 12, 0.15
 #: lines follow it in this share; it heads a column if short lines follow it in this share.
 HOSTS, TITLES, LONG_AFTER, SHORT_AFTER = 5, 5, 0.3, 0.6
 
+#: A line is the heading if it begins as the title does for this share of the title.
+TITLE_SHARE = 0.6
+
 BLANK, MENU, NOTICE, SHORT, LABEL, AD, FOOT, HEADLINE, TEXT, ITEM, HEADING, INLINE, BUTTON, LONG = range(14)
 
 # Labels of columns with other stories.
@@ -89,7 +93,7 @@ def shapes(text: str, title: str | None) -> list[tuple[int, int, int, str]]:
         count = len(low.split())
         parts = [p for p in _SEPARATED.split(s.strip("|·•»›→ ")) if p] if _HINT.search(s) else [s]
         ended = bool(_TERMINAL.search(s))
-        if head and (low == head or (len(head) > 30 and low.startswith(head[:60]) and count <= len(head.split()))):
+        if head and (low == head or (len(head) > 30 and count <= len(head.split()) and len(commonprefix((low, head))) >= TITLE_SHARE * len(head))):
             shape = HEADING
         elif bare in LABELS:
             shape = LABEL
