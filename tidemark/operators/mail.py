@@ -122,10 +122,14 @@ def header_flags(mails: DataFrame, compat: bool = False) -> DataFrame:
     })
 
 
+# The characters that cleaning keeps.
+KEPT = r"a-zA-Z0-9\\$%'"
+
+
 def clean_text(text: Column | str) -> Column:
     """Letters, digits and \\ $ % ' kept, everything else one blank."""
     x = F.col(text) if isinstance(text, str) else text
-    return F.trim(F.regexp_replace(x, r"[^a-zA-Z0-9\\$%']+", " "))
+    return F.trim(F.regexp_replace(x, f"[^{KEPT}]+", " "))
 
 
 def dictionary_words(rows: DataFrame, dictionary: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -20,6 +20,7 @@ q as (select query_id, term, count(*) qtf from qall group by all)"""
 
 SEARCH = INDEX + "," + _QUERY_TERMS + ",\nmet as (select * from q join terms using (term) join post using (term) join docs using (doc_id) cross join stats),\nqn as (select query_id, sum(qtf)::bigint q_len from q group by all)"
 
+# The models' formulas, with the constants of `ranking.py`; the token pattern above is that of `analysis.py`.
 OKAPI = "tf / (tf + 0.5 + 1.5 * dl / avgdl)"
 BM25 = "2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) * ln((n_docs + 0.5) / (df + 0.5))"
 
