@@ -239,3 +239,36 @@ def test_long_texts_of_few_distinct_runs_are_compared(spark):
 def test_blocks_give_the_same_pairs(spark, pages):
     texts = [t for _, t in pages]
     assert _near(spark, texts, block=7) == _near(spark, texts)
+
+
+def test_only_rows_that_pairs_need_are_shuffled(spark):
+    """Of 2,000 records 90 are near-duplicates or copies: the sketches of all are shuffled once at most, and the texts never."""
+    rng = random.Random(13)
+    texts = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(150)) for _ in range(1940)]
+    texts += [f"{t} more" for t in texts[:30]] + texts[30:60]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    context = spark.sparkContext._jsc.sc()
+
+    def whole_tables():
+        """Stages that shuffled a row for most records, of at least 300 bytes."""
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        stages = [stages.apply(k) for k in range(stages.size())]
+        return {s.stageId() for s in stages if len(texts) / 2 < s.shuffleWriteRecords() <= len(texts) and s.shuffleWriteBytes() > 300 * s.shuffleWriteRecords()}
+
+    before, known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), whole_tables()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if no side were small
+    try:
+        got = {(r.a, r.b) for r in nd.near_duplicates(df, "id", "text")[1].collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {(i, 1940 + i) for i in range(30)}
+    assert len(whole_tables() - known) <= 1
+
+
+def test_a_full_map_of_ids_keeps_all_that_are_asked_for(spark):
+    rows, ids = spark.range(-500, 500), spark.range(-500, 500, 9)
+    for most in (64, 128, nd.MAP_BITS):
+        got = {r.id for r in nd.thinned(rows, ids, most).collect()}
+        assert got >= set(range(-500, 500, 9)) and (len(got) < 250 or most < 1000)
+    assert nd.thinned(rows, ids.limit(0)).count() == 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import mixed, shingle_hashes, shingles, words
-from tidemark.session import materialize, ship_package
+from tidemark.session import drop_materialized, materialize, ship_package
 
 #: Values kept of each record.
 SKETCH = 64
@@ -34,6 +34,8 @@ BITS = 192
 COUNTERS = 1 << 17
 #: Records of a list that are met in one block.
 BLOCK = 1000
+#: Bits of a map of ids at most; like the counters it decides what is shuffled and not results.
+MAP_BITS = 1 << 26
 
 _FACTORS = mixed(np.arange(1, BITS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -258,6 +260,22 @@ def _verifier(size: int, similarity: float):
     return run
 
 
+def thinned(rows: DataFrame, ids: DataFrame, most: int = MAP_BITS) -> DataFrame:
+    """``rows`` whose id is among ``ids`` (a written table), and a few others: told before any shuffle, by a bit map of the ids that is broadcast."""
+    bits = min(most, 1 << max(6, (8 * ids.count()).bit_length()))
+    at = F.pmod(F.xxhash64("id"), F.lit(bits))
+    word, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+    words = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("held"))
+    # At most MAP_BITS / 64 rows. A semi join, so that the planner neither pulls the join by id below it nor leaves it above a repartition.
+    return rows.join(F.broadcast(words), (word == F.col("word")) & (F.getbit("held", bit) == 1), "left_semi")
+
+
+def _of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row for each id that ``pairs`` hold; the others are not shuffled, but for a few."""
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    return thinned(rows, ids).join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+
 def _sides(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
     """``pairs`` with the value of either end."""
     a, b = (rows.select(F.col("id").alias(x), F.col(value).alias(f"{value}_{x}")) for x in "ab")
@@ -276,13 +294,15 @@ def near_duplicates(records: DataFrame, key: str, text: str, size: int = 3, simi
     made = materialize(sketch_table(records, key, text, size, k))
     member = made.select("id", "words").distinct()
     member = materialize(member.join(member.groupBy("words").agg(F.min("id").alias("rep")), "words").select("id", "rep"))
-    classes = made.join(member.filter("id != rep").select("id"), "id", "left_anti").drop("words")
+    # The copies are written first, so that the planner knows whether they are few, and the classes once for all that read them.
+    copies = materialize(member.filter("id != rep").select("id"))
+    classes = materialize(made.join(copies, "id", "left_anti").drop("words"))
+    drop_materialized(made)
     pairs = materialize(candidates(classes, similarity, k, block))
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sketches = classes.select("id", "sketch").join(ends, "id", "left_semi").dropDuplicates(["id"])
+    sketches = _of_pairs(classes.select("id", "sketch"), pairs)
     likely = materialize(_sides(pairs, sketches, "sketch").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimator(similarity, k), "a long, b long"))
-    ends = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-    texts = materialize(records.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ends, "id", "left_semi").dropDuplicates(["id"]))
+    drop_materialized(classes)
+    texts = materialize(_of_pairs(records.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), likely))
     return member, _sides(likely, texts, "text").mapInArrow(_verifier(size, similarity), "a long, b long, similarity double")
 
 
