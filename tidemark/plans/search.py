@@ -147,7 +147,7 @@ QUERIES = {
     "bm25": _ranked("bm25"),
     "laplace": _run(rk.laplace),
     "laplace_log2": _run(rk.laplace, log2=True),
-    "jelinek_mercer": _run(rk.jelinek_mercer),
+    "jelinek_mercer": _ranked("jelinek_mercer"),
     "jm_constant_bg": _run(rk.jelinek_mercer_constant),
     "run_topk": lambda s, d: rk.top(rk.bm25_scores(built(s, d), topic_terms(s, d)), 10, descending_ids=True),
     "category_bm25": _category_bm25,
