@@ -142,7 +142,7 @@ def _lists(block: int) -> str:
 
 QUERIES = {
     "okapi_tf": _run(rk.okapi_tf),
-    "tf_idf": _run(rk.tf_idf),
+    "tf_idf": _ranked("tf_idf"),
     "tf_idf_log2": _run(rk.tf_idf, log2=True),
     "bm25": _ranked("bm25"),
     "laplace": _run(rk.laplace),
