@@ -145,7 +145,7 @@ QUERIES = {
     "tf_idf": _ranked("tf_idf"),
     "tf_idf_log2": _run(rk.tf_idf, log2=True),
     "bm25": _ranked("bm25"),
-    "laplace": _run(rk.laplace),
+    "laplace": _ranked("laplace"),
     "laplace_log2": _run(rk.laplace, log2=True),
     "jelinek_mercer": _ranked("jelinek_mercer"),
     "jm_constant_bg": _ranked("jm_constant_bg"),
