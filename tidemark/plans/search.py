@@ -149,7 +149,7 @@ QUERIES = {
     "laplace_log2": _run(rk.laplace, log2=True),
     "jelinek_mercer": _ranked("jelinek_mercer"),
     "jm_constant_bg": _ranked("jm_constant_bg"),
-    "run_topk": lambda s, d: rk.top(rk.bm25_scores(built(s, d), topic_terms(s, d)), 10, descending_ids=True),
+    "run_topk": _ranked("bm25", 10, descending_ids=True),
     "category_bm25": _category_bm25,
     "topic_score": _topic_score,
     "crawl_priority": _crawl_priority,
