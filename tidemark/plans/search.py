@@ -143,7 +143,7 @@ def _lists(block: int) -> str:
 QUERIES = {
     "okapi_tf": _run(rk.okapi_tf),
     "tf_idf": _ranked("tf_idf"),
-    "tf_idf_log2": _run(rk.tf_idf, log2=True),
+    "tf_idf_log2": _ranked("tf_idf_log2"),
     "bm25": _ranked("bm25"),
     "laplace": _ranked("laplace"),
     "laplace_log2": _run(rk.laplace, log2=True),
