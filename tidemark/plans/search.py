@@ -146,7 +146,7 @@ QUERIES = {
     "tf_idf_log2": _ranked("tf_idf_log2"),
     "bm25": _ranked("bm25"),
     "laplace": _ranked("laplace"),
-    "laplace_log2": _run(rk.laplace, log2=True),
+    "laplace_log2": _ranked("laplace_log2"),
     "jelinek_mercer": _ranked("jelinek_mercer"),
     "jm_constant_bg": _ranked("jm_constant_bg"),
     "run_topk": _ranked("bm25", 10, descending_ids=True),
