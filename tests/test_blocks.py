@@ -11,7 +11,7 @@ from tidemark.operators import blocks as bl
 from tidemark.operators import ranking as rk
 from tidemark.plans.registry import QUERIES
 
-RANKED = ["bm25", "jelinek_mercer", "tf_idf", "jm_constant_bg", "laplace", "run_topk", "tf_idf_log2", "laplace_log2"]
+RANKED = ["bm25", "jelinek_mercer", "tf_idf", "jm_constant_bg", "laplace", "run_topk", "tf_idf_log2", "laplace_log2", "okapi_tf"]
 
 
 def texts(n=1500, seed=5):

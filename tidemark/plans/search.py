@@ -141,7 +141,7 @@ def _lists(block: int) -> str:
 
 
 QUERIES = {
-    "okapi_tf": _run(rk.okapi_tf),
+    "okapi_tf": _ranked("okapi_tf"),
     "tf_idf": _ranked("tf_idf"),
     "tf_idf_log2": _ranked("tf_idf_log2"),
     "bm25": _ranked("bm25"),
