@@ -100,3 +100,8 @@ def test_no_pair_of_query_and_document_is_a_row(spark, small, name):
     """The run leaves the workers as it is; before, each pair with a match was a row of an aggregate and a window."""
     plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and not re.search("Window|ObjectHashAggregate", plan)
+
+
+def test_topics_meet_a_run_that_was_not_made_of_pairs(spark, small):
+    plan = QUERIES["topics_and_queries"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan

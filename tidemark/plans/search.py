@@ -46,10 +46,6 @@ def phrases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, p[0].split()) for i, p in enumerate(PHRASES)], "phrase_id int, words array<string>")
 
 
-def _run(scorer, **options):
-    return lambda s, d: rk.top(scorer(built(s, d), topic_terms(s, d), **options))
-
-
 def _ranked(model: str, depth: int = rk.DEPTH, descending_ids: bool = False):
     return lambda s, d: rk.run_of(bl.Parts.build(documents(s, d)), topic_terms(s, d), model, depth, descending_ids)
 
