@@ -8,10 +8,11 @@ import pyarrow as pa
 import pytest
 
 from tidemark.operators import blocks as bl
+from tidemark.operators import proximity as px
 from tidemark.operators import ranking as rk
 from tidemark.plans.registry import QUERIES
 
-RANKED = ["bm25", "jelinek_mercer", "tf_idf", "jm_constant_bg", "laplace", "run_topk", "tf_idf_log2", "laplace_log2", "okapi_tf"]
+RANKED = ["bm25", "jelinek_mercer", "tf_idf", "jm_constant_bg", "laplace", "run_topk", "tf_idf_log2", "laplace_log2", "okapi_tf", "proximity"]
 
 
 def texts(n=1500, seed=5):
@@ -25,7 +26,7 @@ def parts_of(docs, size):
     for number, k in enumerate(range(0, len(docs), size)):
         codes = bl._Codes()
         words = [t.split() for _, t in docs[k : k + size]]
-        yield bl._part(number, [i for i, _ in docs[k : k + size]], [*map(len, words)], [codes[w] for ws in words for w in ws], codes)
+        yield bl._part(number, [i for i, _ in docs[k : k + size]], [*map(len, words)], [codes[w] for ws in words for w in ws], codes, True)
 
 
 def batch_of(docs, queries, size):
@@ -38,8 +39,8 @@ def batch_of(docs, queries, size):
         known[r["term"]] = df + r["n"], ttf + r["ttf"]
     lists = [r for r in lists if r["term"] is None or r["term"] in {t for _, t, _ in queries}]
     head = [{"kind": 0, "term": t, "query_id": q, "qtf": n, "df": known.get(t, (None, None))[0], "ttf": known.get(t, (None, None))[1]} for q, t, n in queries]
-    tail = [{"kind": 1, "term": r["term"], "part": r["part"], "n": r["n"], "docs": r["docs"], "tfs": r["tfs"]} for r in sorted(lists, key=lambda r: (r["part"], r["term"] or ""))]
-    kinds = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("term", pa.string()), ("query_id", pa.int64()), ("qtf", pa.int64()), ("df", pa.int64()), ("ttf", pa.int64()), ("n", pa.int64()), ("docs", pa.binary()), ("tfs", pa.binary())])
+    tail = [{"kind": 1, "term": r["term"], "part": r["part"], "n": r["n"], "docs": r["docs"], "tfs": r["tfs"], "tps": r["tps"]} for r in sorted(lists, key=lambda r: (r["part"], r["term"] or ""))]
+    kinds = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("term", pa.string()), ("query_id", pa.int64()), ("qtf", pa.int64()), ("df", pa.int64()), ("ttf", pa.int64()), ("n", pa.int64()), ("docs", pa.binary()), ("tfs", pa.binary()), ("tps", pa.binary())])
     whole = pa.Table.from_pylist(head + tail, schema=kinds)
     of_docs = known.pop(None)
     return whole.to_batches(max_chunksize=7), bl.Stats(of_docs[0], of_docs[1], len(known)), known
@@ -105,3 +106,45 @@ def test_no_pair_of_query_and_document_is_a_row(spark, small, name):
 def test_topics_meet_a_run_that_was_not_made_of_pairs(spark, small):
     plan = QUERIES["topics_and_queries"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Window" not in plan
+
+
+def brute_spans(docs, queries, span):
+    out = {}
+    for q in {q for q, *_ in queries}:
+        for i, text in docs:
+            words = text.split()
+            lists = [x for x in ([k for k, w in enumerate(words) if w == t] for t in sorted(t for p, t, _ in queries if p == q)) if x]
+            if len(lists) >= 2:
+                out[q, i] = len(lists), span(lists)
+    return out
+
+
+ASKED = [(1, "a", 1), (1, "j", 2), (2, "h", 1), (2, "i", 1), (2, "g", 3), (2, "zz", 1), (3, "zz", 2), (4, "a", 1), (5, "b", 1), (5, "c", 1), (6, "d", 1), (6, "e", 1), (6, "f", 1), (6, "g", 1), (6, "h", 1)]
+
+
+@pytest.mark.parametrize("block,dense", [(10**6, 10**9), (400, 0)])
+@pytest.mark.parametrize("greedy", [False, True])
+def test_spans_of_blocks_equal_those_of_lists(monkeypatch, greedy, block, dense):
+    monkeypatch.setattr(bl, "BLOCK", block)
+    monkeypatch.setattr(bl, "DENSE", dense)
+    docs = texts()
+    batches, _, _ = batch_of(docs, ASKED, 100)
+    got = {(r["query_id"], r["doc_id"]): (r["n_met"], r["span"]) for out in bl._all_spans(iter(batches), greedy, pa.int32()) for r in out.to_pylist()}
+    assert got == brute_spans(docs, ASKED, px.greedy_span if greedy else px.minimal_span)
+
+
+@pytest.mark.parametrize("depth,block", [(3, 10**6), (40, 400), (5000, 10**6)])
+def test_nearest_equal_brute_force(monkeypatch, depth, block):
+    monkeypatch.setattr(bl, "BLOCK", block)
+    docs = texts()
+    batches, stats, _ = batch_of(docs, ASKED, 100)
+    got = {}
+    for out in bl._nearest(iter(batches), px.REACH, stats, depth, pa.int32()):
+        for r in out.to_pylist():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], r["score"]))
+    length, sizes, want = {i: len(t.split()) for i, t in docs}, {}, {}
+    for q, _, n in ASKED:
+        sizes[q] = sizes.get(q, 0) + n
+    for (q, i), (_, span) in brute_spans(docs, ASKED, px.minimal_span).items():
+        want.setdefault(q, []).append((-float(bl.six_places(np.array([(px.REACH - span) * sizes[q] / (length[i] + stats.vocabulary)]))[0]), i))
+    assert got == {q: [(k + 1, i, -x) for k, (x, i) in enumerate(sorted(v)[:depth])] for q, v in want.items()}
