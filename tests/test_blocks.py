@@ -12,7 +12,7 @@ from tidemark.operators import proximity as px
 from tidemark.operators import ranking as rk
 from tidemark.plans.registry import QUERIES
 
-RANKED = ["bm25", "jelinek_mercer", "tf_idf", "jm_constant_bg", "laplace", "run_topk", "tf_idf_log2", "laplace_log2", "okapi_tf", "proximity", "min_span", "min_span_greedy"]
+RANKED = ["bm25", "jelinek_mercer", "tf_idf", "jm_constant_bg", "laplace", "run_topk", "tf_idf_log2", "laplace_log2", "okapi_tf", "proximity", "min_span", "min_span_greedy", "ltr_features"]
 
 
 def texts(n=1500, seed=5):
@@ -148,3 +148,39 @@ def test_nearest_equal_brute_force(monkeypatch, depth, block):
     for (q, i), (_, span) in brute_spans(docs, ASKED, px.minimal_span).items():
         want.setdefault(q, []).append((-float(bl.six_places(np.array([(px.REACH - span) * sizes[q] / (length[i] + stats.vocabulary)]))[0]), i))
     assert got == {q: [(k + 1, i, -x) for k, (x, i) in enumerate(sorted(v)[:depth])] for q, v in want.items()}
+
+
+@pytest.mark.parametrize("block", [10**6, 400])
+def test_features_of_each_match_equal_brute_force(monkeypatch, block):
+    from tidemark.operators import ltr
+
+    monkeypatch.setattr(bl, "BLOCK", block)
+    docs, sets = texts(), [(q, t, 1) for q, t, _ in ASKED]
+    batches, stats, known = batch_of(docs, sets, 100)
+    got = {(r["query_id"], r["doc_id"]): r for out in bl._each_match(iter(batches), ltr._of_lists, stats, "doc_id", pa.int32()) for r in out.to_pylist()}
+    held, back = {i: t.split() for i, t in docs}, 0.5 * stats.total_len / stats.vocabulary
+    seen = 0
+    for q in {q for q, *_ in sets}:
+        terms = [t for p, t, _ in sets if p == q]
+        for i, words in held.items():
+            met = [t for t in terms if t in words]
+            if not met:
+                continue
+            seen += 1
+            dl = np.array([len(words)])
+            weigh = lambda m: sum(float(rk.MODELS[m].weight(np.array([words.count(t)]), dl, *known[t], stats)[0]) for t in met)  # noqa: B023, E731
+            want = {"okapi_tf": weigh("okapi_tf"), "tf_idf": weigh("tf_idf_log2"), "bm25": weigh("bm25"), "laplace": weigh("laplace_log2") - len(terms) * np.log2(len(words) + stats.vocabulary)}
+            want |= {"jm": sum(np.log2(back + 0.5 * words.count(t) / len(words)) for t in terms), "text_term_appeared_in_query_len": len(met) / len(terms), "doc_len": len(words)}
+            assert {c: got[q, i][c] for c in want} == pytest.approx(want, abs=1e-6)
+    assert seen == len(got)
+
+
+def test_page_features_of_parts_equal_those_of_rows(spark):
+    from tidemark.operators import ltr
+
+    docs = texts(300)
+    pages = spark.createDataFrame([(i, None if k % 7 == 0 else docs[-k - 1][1][:9].upper(), None if k % 11 == 0 else t) for k, (i, t) in enumerate(docs)], "page_id long, title string, text string")
+    asked = spark.createDataFrame(ASKED, "query_id int, term string, qtf long")
+    got = {(r.query_id, r.page_id): tuple(r)[2:] for r in ltr.page_matches(bl.Parts.build(pages, "page_id", title="title"), asked, "page_id").collect()}
+    want = {(r.query_id, r.page_id): tuple(r)[2:] for r in ltr.page_features(pages, asked, "page_id").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in got)
