@@ -12,7 +12,7 @@ from tidemark.operators import proximity as px
 from tidemark.operators import ranking as rk
 from tidemark.plans.registry import QUERIES
 
-RANKED = ["bm25", "jelinek_mercer", "tf_idf", "jm_constant_bg", "laplace", "run_topk", "tf_idf_log2", "laplace_log2", "okapi_tf", "proximity", "min_span", "min_span_greedy", "ltr_features"]
+RANKED = ["bm25", "jelinek_mercer", "tf_idf", "jm_constant_bg", "laplace", "run_topk", "tf_idf_log2", "laplace_log2", "okapi_tf", "proximity", "min_span", "min_span_greedy", "ltr_features", "ltr_page_features"]
 
 
 def texts(n=1500, seed=5):
